@@ -91,15 +91,17 @@ def normalize_model(model: Column) -> Column:
 # --- wording ------------------------------------------------------------------------------------
 
 
-def trimmed(value: Column, digits: int) -> Column:
-    """Number text with at most ``digits`` decimals and no trailing zeros (half away from zero)."""
-    fixed = F.round(value, digits).cast(f"decimal(30,{digits})").cast("string")
-    return F.regexp_replace(F.regexp_replace(fixed, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+def fixed(value: Column, digits: int) -> Column:
+    """Number text with exactly ``digits`` decimals, half away from zero on the decimal reading.
 
+    Going through a decimal first means 0.405 held as 0.40499999999999997 still reads 0.41.
+    """
+    return F.round(value.cast("decimal(30,9)"), digits).cast(f"decimal(30,{digits})").cast("string")
 
-def fixed(value: Column, digits: int) -> Column:
-    """Number text with exactly ``digits`` decimals (half away from zero)."""
-    return F.round(value, digits).cast(f"decimal(30,{digits})").cast("string")
+
+def trimmed(value: Column, digits: int) -> Column:
+    """:func:`fixed` without trailing zeros."""
+    return F.regexp_replace(F.regexp_replace(fixed(value, digits), r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
 def fmt_duration(seconds: Column) -> Column:

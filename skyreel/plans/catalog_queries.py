@@ -302,7 +302,7 @@ def _(t):
 
 @query(
     "p30_search_documents",
-    f"""{CATALOG} select {FLAT} from catalog where contains(lower(file_name), 'oc-1') and file_name like '%.mp4'
+    f"""{CATALOG} select {FLAT} from catalog where contains(lower(file_name), 'oc-1') and (file_name like '%.mp4' or file_name like '%.ts')
   and created_at > timestamp '2000-01-01' - interval 30 days""",
 )
 def _(t):
@@ -480,12 +480,14 @@ def _(t):
 @query(
     "j17_locate_position",
     f"""{OFFSETS}, positions as (select doc_no, part_no as request_id, o1 % 400 as position from parts)
-select p.doc_no, p.request_id, p.position, o.part_no, p.position - o.start_byte as offset_in_part
+select p.doc_no, p.request_id, p.position, coalesce(o.part_no, -1) as part_no,
+  coalesce(p.position - o.start_byte, -1) as offset_in_part
 from positions p left join offsets o on p.doc_no = o.doc_no and o.start_byte <= p.position and p.position < o.end_byte""",
 )
 def _(t):
     positions = shapes.parts(t).select("doc_no", F.col("part_no").alias("request_id"), (F.col("o1") % 400).alias("position"))
-    return ops.locate_position(offsets(t), positions, block_bytes=1 << 26)
+    found = ops.locate_position(offsets(t), positions, block_bytes=1 << 26)
+    return found.fillna(-1, ["part_no", "offset_in_part"])  # past the end
 
 
 @query(
