@@ -101,4 +101,4 @@ NOTE_FAILED_TRUNCATED = (
     "failed before it finished. It is short of what was asked for."
 )
 
-BEAT_BOUNDS_SECONDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
+BEAT_BOUNDS_SECONDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 5.0, 10.0]

@@ -31,12 +31,24 @@ def by_name(df: DataFrame, name: str = "name", ignore_case: bool = False) -> Dat
     return df.orderBy(F.upper(name), name) if ignore_case else df.orderBy(name)
 
 
-def fair_pick(candidates: DataFrame, slots: int, seed: int, key: str = "name") -> DataFrame:
-    """``slots`` candidates in an order that differs per ``seed`` and repeats for the same one."""
-    return candidates.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(slots)
+def turn(key: Column, seed: str) -> Column:
+    """Where a key stands in the shuffled order of ``seed``; the same seed always gives the same order."""
+    return F.md5(F.concat_ws("|", F.lit(seed), key))
 
 
-def newest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows: int) -> DataFrame:
-    """The first ``rows`` rows per key in ``order``; map tasks keep only that many before the shuffle."""
+def fair_pick(candidates: DataFrame, slots: int, seed: str, key: str = "name") -> DataFrame:
+    """``slots`` candidates in an order that differs per ``seed``."""
+    return candidates.orderBy(turn(F.col(key), seed), key).limit(slots)
+
+
+def newest_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows: int, keep: str | None = None
+) -> DataFrame:
+    """The first ``rows`` rows per key in ``order``; map tasks keep only that many before the shuffle.
+
+    ``keep`` names a column to hold each row's place.
+    """
+    place = keep or "__place"
     spot = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__spot", spot).where(F.col("__spot") <= rows).drop("__spot")
+    kept = df.withColumn(place, spot).where(F.col(place) <= rows)
+    return kept if keep else kept.drop(place)
