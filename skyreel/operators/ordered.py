@@ -125,14 +125,14 @@ def previous(
 
     # The chunk's last answering row: max_by skips null positions and combines on the map side.
     pick = F.min_by if on.descending else F.max_by
-    last = base.groupBy(*on.keys, CHUNK).agg(pick(packed, position).alias("__v"))
-    carry = last.select(*on.keys, CHUNK, F.last("__v", ignorenulls=True).over(earlier).alias("__before"))
+    last = base.groupBy(*on.keys, CHUNK).agg(pick(packed, position).alias("__lane_value"))
+    carry = last.select(*on.keys, CHUNK, F.last("__lane_value", ignorenulls=True).over(earlier).alias("__lane_before"))
 
-    local = base.withColumn("__here", F.last(packed, ignorenulls=True).over(frame))
+    local = base.withColumn("__lane_here", F.last(packed, ignorenulls=True).over(frame))
     joined = _join_carry(local, carry, on)
-    answer = F.coalesce(F.col("__here"), F.col("__before"))
-    return joined.withColumn("__a", answer).select(
-        *df.columns, *[F.col("__a").getField(name).alias(name) for name in values]
+    answer = F.coalesce(F.col("__lane_here"), F.col("__lane_before"))
+    return joined.withColumn("__lane_answer", answer).select(
+        *df.columns, *[F.col("__lane_answer").getField(name).alias(name) for name in values]
     )
 
 

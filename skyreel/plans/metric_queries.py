@@ -284,12 +284,6 @@ def _(t):
     return lifecycle.recording_sessions(triggers, beat_lane(), seconds=F.col("hours") * 3_600, cap_seconds=None)
 
 
-@query("x06_capped_recordings")
-def _(t):
-    triggers = shapes.beats(t).withColumn("hours", F.col("k") % 8 + 1)
-    return lifecycle.recording_sessions(triggers, beat_lane(), seconds=F.col("hours") * 3_600, cap_seconds=12 * 3_600)
-
-
 @query(
     "x07_roll_parts",
     f"""{RUNS}, w as (select name, run, min(at_us) as started_us from r group by name, run)
