@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordered import Lane, lane, block, previous, running, sessions
 from .sequential import replay
 
@@ -48,7 +49,7 @@ def buffer_retained(
     limits, which is a reverse running sum.  A segment above the ceiling is thrown away while it is still
     growing, so what remains of it depends on the path: those streams, and only those, are replayed.
     """
-    segments = segment_stats(segmented, on, size)
+    segments = cut_lineage(segment_stats(segmented, on, size))  # one small row per segment, read several times
     seg_lane = Lane(on.keys, ("segment",), block("segment", 1 << 12))
     ordered = previous(segments, seg_lane, __end=F.col("end_pts"))
     odd = (F.col("bytes") > ceiling) | (F.col("end_pts") < F.col("__end"))
@@ -73,6 +74,8 @@ def buffer_retained(
     )
 
     strange = shape.where("__odd").select(*keys)
+    if strange.isEmpty():
+        return closed
     rows = segmented.join(strange, keys, "left_semi").select(
         *keys, *on.order, "pts", F.col(size).alias("__size"), "segment"
     )

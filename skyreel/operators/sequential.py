@@ -55,7 +55,9 @@ def replay(
         if live is not None:
             yield from _some(live.finish())
 
-    placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    # An explicit count: these rows are few but slow, so AQE must not fold them into one task by size.
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartition(width, *keys).sortWithinPartitions(*keys, *order)
     return placed.mapInPandas(run, schema)
 
 

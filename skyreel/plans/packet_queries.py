@@ -14,7 +14,7 @@ BY_STREAM = "over (partition by stream order by at_us, seq)"
 SEGMENTED = f"""{PACKETS}, segmented as (select *, cast(sum(case when is_key then 1 else 0 end) {BY_STREAM} as bigint) as segment from packets)"""
 STATS = f"""{SEGMENTED}, segs as (select stream, segment, arg_min(pts, seq) as start_pts, max(pts) as end_pts,
     cast(sum(size) as bigint) as bytes, segment > 0 as startable, count(*) as packets from segmented group by stream, segment)"""
-WINDOW, CEILING = 20 * 86_400, 400_000  # twenty days and 400 kB: events are hours apart and small
+WINDOW, CEILING = 30 * 86_400, 245_000  # thirty days and 245 kB: events are hours apart and small
 
 
 def segmented(t):
