@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import following, lane, previous
+from .ordered import around, lane, previous
 
 
 def _one_lane(left, right, key, left_pos, right_pos, right_order, chunk_size):
@@ -76,15 +76,13 @@ def nearest(
         F.min_by(F.struct(*right.columns), F.col(right_order)).alias("__only")
     ).select("__only.*")
     both, on = _one_lane(left, first, key, left_pos, right_pos, right_order, chunk_size)
-    is_right = F.col("__side") == 0
-    before = previous(both, on, where=is_right, __b=F.col("__r"), __bp=F.col("__pos"), __bt=F.col("__tie"))
-    around = following(before, on, where=is_right, __a=F.col("__r"), __ap=F.col("__pos"), __at=F.col("__tie"))
-    gap_before = F.col("__pos") - F.col("__bp")
-    gap_after = F.col("__ap") - F.col("__pos")
-    take_before = F.col("__ap").isNull() | (
-        F.col("__bp").isNotNull()
-        & ((gap_before < gap_after) | ((gap_before == gap_after) & (F.col("__bt") <= F.col("__at"))))
+    found = around(both, on, F.col("__side") == 0, row=F.col("__r"), pos=F.col("__pos"), tie=F.col("__tie"))
+    gap_before = F.col("__pos") - F.col("before_pos")
+    gap_after = F.col("after_pos") - F.col("__pos")
+    take_before = F.col("after_pos").isNull() | (
+        F.col("before_pos").isNotNull()
+        & ((gap_before < gap_after) | ((gap_before == gap_after) & (F.col("before_tie") <= F.col("after_tie"))))
     )
-    return around.where(F.col("__side") == 1).select(
-        "__l.*", F.when(take_before, F.col("__b")).otherwise(F.col("__a")).alias(into)
+    return found.where(F.col("__side") == 1).select(
+        "__l.*", F.when(take_before, F.col("before_row")).otherwise(F.col("after_row")).alias(into)
     )

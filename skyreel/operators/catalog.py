@@ -347,11 +347,17 @@ def byte_range_plan(offsets: DataFrame, requests: DataFrame, block_bytes: int) -
         .where((F.col("from_byte") >= 0) & (F.col("from_byte") < F.col("__to")))
         .drop("__end")
     )
-    first = locate_position(offsets, asked.withColumn("position", F.col("from_byte")), block_bytes)
-    first = first.withColumnRenamed("part_no", "__first").drop("offset_in_part", "position")
-    last = locate_position(offsets, first.withColumn("position", F.col("__to") - 1), block_bytes)
-    numbers = last.withColumn("part_no", F.explode(F.sequence(F.col("__first"), F.col("part_no")))).drop("__first")
-    touched = numbers.join(offsets.where("size > 0").select("doc_no", "part_no", "start_byte", "end_byte"), ["doc_no", "part_no"])
+    ends = F.array(
+        F.struct(F.lit("first").alias("which"), F.col("from_byte").alias("position")),
+        F.struct(F.lit("last").alias("which"), (F.col("__to") - 1).alias("position")),
+    )
+    both = asked.withColumn("__e", F.explode(ends)).select(*asked.columns, "__e.which", "__e.position")
+    found = locate_position(offsets, both, block_bytes)
+    side = lambda w: F.max(F.when(F.col("which") == w, F.col("part_no")))
+    spans = found.groupBy("request_id", "doc_no", "from_byte", "__to").agg(side("first").alias("__a"), side("last").alias("__z"))
+    numbers = spans.withColumn("part_no", F.explode(F.sequence(F.col("__a"), F.col("__z")))).drop("__a", "__z")
+    stored = offsets.where("size > 0").select("doc_no", "part_no", "start_byte", "end_byte")
+    touched = numbers.join(stored, ["doc_no", "part_no"])
     begin = F.greatest("from_byte", "start_byte")
     return touched.select(
         "request_id",

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordered import Lane, previous, running, sessions
 from .sequential import replay
 
@@ -85,10 +86,13 @@ def recording_sessions(triggers: DataFrame, on: Lane, at_us: str = "at_us", seco
     outlast the cap - and only those - are replayed in order to find where the next recording starts.
     """
     lasting = F.lit(RECORDING_SECONDS) if seconds is None else seconds
-    timed = triggers.withColumn("__until", F.col(at_us) + (lasting.cast("double") * 1e6).cast("long"))
+    until = F.col(at_us) + (lasting.cast("double") * 1e6).cast("long")
+    timed = triggers.select(*dict.fromkeys([*on.keys, *on.order, at_us]), until.alias("__until"))
     ends = running(timed, on, inclusive=False, __open=("max", F.col("__until")))
     fresh = F.col("__open").isNull() | (F.col(at_us) >= F.col("__open"))
     runs = sessions(ends, on, fresh, "run")
+    if cap_seconds is not None:
+        runs = cut_lineage(runs)  # read three times below
     whole = runs.groupBy(*on.keys, "run").agg(
         F.min(at_us).alias("started_us"), F.max("__until").alias("ends_us"), F.count(F.lit(1)).alias("triggers")
     )

@@ -143,6 +143,39 @@ def following(
     return previous(df, on.reversed(), where, inclusive, **values)
 
 
+def around(df: DataFrame, on: Lane, where: Column, **values: Column) -> DataFrame:
+    """Add ``before_*`` and ``after_*``: ``values`` on the nearest earlier and later rows for which ``where`` holds.
+
+    Both directions share one shuffle, one sort and one summary per chunk.
+    """
+    base = df.withColumn(CHUNK, on.chunk)
+    packed = F.when(where, F.struct(*[column.alias(name) for name, column in values.items()]))
+    position = F.when(where, F.struct(*[F.col(c) for c in on.order]))
+    ends = base.groupBy(*on.keys, CHUNK).agg(
+        F.min_by(packed, position).alias("__lane_first"), F.max_by(packed, position).alias("__lane_last")
+    )
+    whole = Window.unboundedPreceding, Window.unboundedFollowing
+    carry = ends.select(
+        *on.keys, CHUNK,
+        F.last("__lane_last", ignorenulls=True).over(on.across().rowsBetween(whole[0], -1)).alias("__lane_before"),
+        F.first("__lane_first", ignorenulls=True).over(on.across().rowsBetween(1, whole[1])).alias("__lane_after"),
+    )
+    local = base.withColumns(
+        {
+            "__lane_l": F.last(packed, ignorenulls=True).over(on.within().rowsBetween(whole[0], -1)),
+            "__lane_r": F.first(packed, ignorenulls=True).over(on.within().rowsBetween(1, whole[1])),
+        }
+    )
+    joined = _join_carry(local, carry, on).withColumns(
+        {
+            "__lane_before": F.coalesce("__lane_l", "__lane_before"),
+            "__lane_after": F.coalesce("__lane_r", "__lane_after"),
+        }
+    )
+    pick = lambda side, name: F.col(f"__lane_{side}").getField(name).alias(f"{side}_{name}")
+    return joined.select(*df.columns, *[pick("before", n) for n in values], *[pick("after", n) for n in values])
+
+
 def numbered(df: DataFrame, on: Lane, name: str = "row_no", start: int = 1) -> DataFrame:
     """Add the row's position in its key, counted from ``start``."""
     numbered_rows = running(df, on, **{name: ("count", F.lit(1))})

@@ -49,16 +49,19 @@ def buffer_retained(
     limits, which is a reverse running sum.  A segment above the ceiling is thrown away while it is still
     growing, so what remains of it depends on the path: those streams, and only those, are replayed.
     """
-    segments = cut_lineage(segment_stats(segmented, on, size))  # one small row per segment, read several times
+    keys = list(on.keys)
+    # Narrow rows written once, then read by every pass below.
+    segmented = cut_lineage(segmented.select(*keys, *on.order, "pts", F.col(size).alias("__size"), "segment"))
+    size = "__size"
+    segments = cut_lineage(segment_stats(segmented, on, size))
     seg_lane = Lane(on.keys, ("segment",), block("segment", 1 << 12))
     ordered = previous(segments, seg_lane, __end=F.col("end_pts"))
     odd = (F.col("bytes") > ceiling) | (F.col("end_pts") < F.col("__end"))
-    shape = ordered.groupBy(*on.keys).agg(
+    shape = ordered.groupBy(*keys).agg(
         F.max(odd).alias("__odd"), F.max("segment").alias("__last"), F.max_by("end_pts", "segment").alias("__live_edge")
     )
     window_ticks = window_seconds / seconds_per_tick
 
-    keys = list(on.keys)
     plain = shape.where(~F.coalesce(F.col("__odd"), F.lit(False)))
     held = running(segments.join(plain, keys), seg_lane.reversed(), __suffix=("sum", F.col("bytes")))
     fits = (F.col("__suffix") <= ceiling) & (
@@ -76,9 +79,7 @@ def buffer_retained(
     strange = shape.where("__odd").select(*keys)
     if strange.isEmpty():
         return closed
-    rows = segmented.join(strange, keys, "left_semi").select(
-        *keys, *on.order, "pts", F.col(size).alias("__size"), "segment"
-    )
+    rows = segmented.join(strange, keys, "left_semi")
     types = dict(segmented.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + (
         ", segment long, start_pts long, end_pts long, bytes long, startable boolean, ceiling_binding boolean"
@@ -181,8 +182,10 @@ def newest_startable_packets(segmented: DataFrame, keys: list[str]) -> DataFrame
 def resume_shift(packets: DataFrame, on: Lane, resumed: Column) -> DataFrame:
     """Packets on one clock: every reconnect continues one tick after where the feed before it ended."""
     numbered = sessions(packets, on, resumed, "feed")
-    feeds = numbered.groupBy(*on.keys, "feed").agg(
-        F.min_by("pts", F.struct(*on.order)).alias("first_pts"), F.max("pts").alias("last_pts")
+    feeds = cut_lineage(
+        numbered.groupBy(*on.keys, "feed").agg(
+            F.min_by("pts", F.struct(*on.order)).alias("first_pts"), F.max("pts").alias("last_pts")
+        )
     )
     feed_lane = Lane(on.keys, ("feed",), block("feed", 1 << 12))
     known = previous(feeds, feed_lane, __before=F.col("last_pts"))
@@ -206,9 +209,11 @@ def rebase_timeline(
     """
     limit = reset_seconds / seconds_per_tick
     keys = list(on.keys)
-    seen = previous(packets.withColumn("__s", stamp), on, where=F.col("__s").isNotNull(), __p=F.col("__s"))
+    # Only key, order and stamp take part: written once, read by the passes below.
+    narrow = cut_lineage(packets.select(*keys, *on.order, stamp.alias("__s")))
+    seen = previous(narrow, on, where=F.col("__s").isNotNull(), __p=F.col("__s"))
     stepped = F.coalesce(F.col("__s") < F.col("__p") - limit, F.lit(False))
-    runs = sessions(seen, on, stepped, "__run").drop("__p")
+    runs = cut_lineage(sessions(seen, on, stepped, "__run").drop("__p"))
     in_run = on.by(*keys, "__run")
     sunk = running(runs, in_run, inclusive=False, __top=("max", F.col("__s")))
     drifting = F.coalesce(F.col("__s") < F.col("__top") - limit, F.lit(False))
@@ -223,7 +228,7 @@ def rebase_timeline(
         lambda: _Breaks(where, limit),
         f"{fields}, __sub long",
     )
-    placed = runs.join(found, where, "left").withColumn("__sub", F.coalesce("__sub", F.lit(0)))
+    placed = cut_lineage(runs.join(found, where, "left").withColumn("__sub", F.coalesce("__sub", F.lit(0))))
     stretch = placed.groupBy(*keys, "__run", "__sub").agg(
         F.min_by("__s", F.when(F.col("__s").isNotNull(), F.struct(*on.order))).alias("__first"), F.max("__s").alias("__max")
     )
@@ -231,11 +236,10 @@ def rebase_timeline(
     stretch_lane = Lane(on.keys, ("__run", "__sub"), block("__run", 1 << 12))
     upto = running(stretch, stretch_lane, inclusive=False, __before=("sum", F.col("__max") - F.col("__first")))
     shifts = upto.select(*keys, "__run", "__sub", (F.lit(origin) + F.col("__before") - F.col("__first")).alias("shift"))
-    return (
-        placed.join(shifts, [*keys, "__run", "__sub"])
-        .withColumn("rebased", F.col("__s") + F.col("shift"))
-        .select(*packets.columns, "shift", "rebased")
+    moved = placed.join(shifts, [*keys, "__run", "__sub"]).select(
+        *keys, *on.order, "shift", (F.col("__s") + F.col("shift")).alias("rebased")
     )
+    return packets.join(moved, [*keys, *on.order]).select(*packets.columns, "shift", "rebased")
 
 
 class _Breaks:
@@ -294,18 +298,17 @@ def decode_plan(packets: DataFrame, on: Lane, rate: Column, seconds_per_tick: fl
     A predicted packet is skipped when keyframes alone satisfy the rate, and once one is skipped all are
     until the next keyframe: the newest skip is compared with the newest keyframe.
     """
-    known = keyframe_intervals(packets, on, seconds_per_tick)
-    everything = rate == float("inf")
+    spot = [*on.keys, *on.order]
+    narrow = cut_lineage(packets.select(*spot, "pts", "is_key", rate.alias("__rate")))
+    known = keyframe_intervals(narrow, on, seconds_per_tick)
+    rate = F.col("__rate")
     suffice = (F.col("keyframe_interval") <= 0) | (rate * F.col("keyframe_interval") <= 1.0001)
-    skip = ~F.col("is_key") & ((rate <= 0) | (~everything & suffice))
-    numbered = running(known.withColumn("__skip", skip), on, __n=("count", F.lit(1)))
-    newest = running(
-        numbered, on,
-        __key=("max", F.when(F.col("is_key"), F.col("__n"))),
-        __skipped=("max", F.when(F.col("__skip"), F.col("__n"))),
-    )
-    waiting = F.coalesce(F.col("__skipped"), F.lit(0)) > F.coalesce(F.col("__key"), F.lit(0))
-    return newest.withColumn("decode", F.col("is_key") | ~waiting).select(*packets.columns, "keyframe_interval", "decode")
+    skip = ~F.col("is_key") & ((rate <= 0) | ((rate != float("inf")) & suffice))
+    here = F.struct(*on.order)
+    newest = running(known, on, __key=("max", F.when(F.col("is_key"), here)), __skipped=("max", F.when(skip, here)))
+    waiting = F.col("__skipped").isNotNull() & (F.col("__key").isNull() | (F.col("__skipped") > F.col("__key")))
+    plan = newest.select(*spot, "keyframe_interval", (F.col("is_key") | ~waiting).alias("decode"))
+    return packets.join(plan, spot)
 
 
 __all__ = [

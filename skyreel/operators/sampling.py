@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordered import Lane, numbered
 from .sequential import replay
 
@@ -70,10 +71,9 @@ def due_rows(
         return frames
     interval = 1 / frames_per_second
     keys = list(on.keys)
-    timed = numbered(frames.where(F.col(seconds).isNotNull()), on, "__n")
-    narrow = timed.select(
-        *keys, "__n", F.floor((F.col("__n") - 1) / F.lit(block_rows)).alias("__b"), F.col(seconds).cast("double").alias("__s")
-    )
+    spot = [*keys, *on.order]
+    timed = numbered(frames.where(F.col(seconds).isNotNull()).select(*spot, F.col(seconds).cast("double").alias("__s")), on, "__n")
+    narrow = cut_lineage(timed.withColumn("__b", F.floor((F.col("__n") - 1) / F.lit(block_rows))))
     types = dict(frames.dtypes)
     key_fields = ", ".join(f"{k} {types[k]}" for k in keys)
 
@@ -91,10 +91,11 @@ def due_rows(
         rows = rows.sort_values("__n")
         times, last = rows["__s"].to_numpy(), rows["__last"].iloc[0]
         first = 0 if last != last else _next_choice(times, last, 0, interval)
-        return rows[[*keys, "__n"]].iloc[_walk(times, first, interval)]
+        return rows[spot].iloc[_walk(times, first, interval)]
 
-    taken = narrow.join(begun, [*keys, "__b"]).groupBy(*keys, "__b").applyInPandas(walk, f"{key_fields}, __n long")
-    chosen = timed.join(taken, [*keys, "__n"], "left_semi").select(*frames.columns)
+    spot_fields = ", ".join(f"{c} {types[c]}" for c in spot)
+    taken = narrow.join(begun, [*keys, "__b"]).groupBy(*keys, "__b").applyInPandas(walk, spot_fields)
+    chosen = frames.join(taken, spot, "left_semi")
     return chosen.unionByName(frames.where(F.col(seconds).isNull()))
 
 

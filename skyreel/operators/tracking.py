@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import TRACKER_NAME
 from ..session import cut_lineage
-from .ordered import Lane, block, following, previous, running, sessions
+from .ordered import Lane, around, block, previous, running, sessions
 from .sequential import replay
 
 FLOOR = 0.1
@@ -186,6 +186,8 @@ class Tracker:
         active = self._status(ACTIVE)
 
         def settle(tracks: np.ndarray, found: np.ndarray, limit: float, fused: bool):
+            if not len(tracks) or not len(found):
+                return tracks, found
             likeness = overlap(self.motion.edges()[tracks], seen[found])
             cost = 1 - likeness * score[found][None, :] if fused else 1 - likeness
             pairs = assign(cost, limit)
@@ -316,10 +318,10 @@ def pending_steps(frames: DataFrame, packets: DataFrame, block_rows: int = 65_53
     )
     on = Lane(("stream",), ("seq", "__frame"), block("seq", block_rows))
     is_frame = F.col("__frame")
-    before = previous(rows, on, where=is_frame, __from=F.col("pts"))
-    around = following(before, on, where=is_frame, __to=F.col("pts"))
-    between = ~is_frame & (F.col("pts") > F.col("__from")) & (F.col("pts") < F.col("__to"))
-    counted = running(around, on, __steps=("count", F.when(between, 1)))
+    # Several passes follow over a few narrow columns: they are written once and read back by each.
+    placed = cut_lineage(around(rows, on, is_frame, pts=F.col("pts")))
+    between = ~is_frame & (F.col("pts") > F.col("before_pts")) & (F.col("pts") < F.col("after_pts"))
+    counted = running(placed, on, __steps=("count", F.when(between, 1)))
     marked = previous(counted, on, where=is_frame, __earlier=F.col("__steps"))
     steps = F.least(F.col("__steps") - F.coalesce("__earlier", F.lit(0)), F.lit(PENDING_STEPS))
     return marked.where(is_frame).select(*names, steps.alias("steps_before"))
@@ -343,21 +345,21 @@ def track_objects(
     usable = boxes.groupBy("stream", "seq").agg(
         F.max(F.coalesce("confidence", F.lit(100)) / 100.0 > FLOOR).alias("usable")
     )
-    seen = frames.join(usable, ["stream", "seq"], "left").fillna(False, ["usable"])
+    # One narrow row per frame; each cut is written once and read by the passes after it.
+    seen = cut_lineage(frames.join(usable, ["stream", "seq"], "left").fillna(False, ["usable"]))
 
     before = previous(seen, on, __p=F.col("pts"), __w=F.col("width"), __h=F.col("height"))
     anew = F.col("__p").isNull() | (F.col("pts") < F.col("__p")) | (F.col("width") != F.col("__w")) | (F.col("height") != F.col("__h"))
     started = before.withColumn("steps_before", F.when(anew, 0).otherwise(F.col("steps_before")))
-    epochs = sessions(started, on, anew, "epoch").drop("__p", "__w", "__h")
+    epochs = cut_lineage(sessions(started, on, anew, "epoch").drop("__p", "__w", "__h"))
 
     in_epoch = on.by("stream", "epoch")
     stepped = running(epochs, in_epoch, step=("sum", F.col("steps_before") + 1))
-    latest = running(stepped, in_epoch, __used=("max", F.when(F.col("usable"), F.col("step"))))
-    # Empty for certain: a frame without usable boxes, later after the last usable one than tracks are kept.
-    empty = ~F.col("usable") & (F.col("__used").isNull() | (F.col("step") - F.col("__used") > buffer))
-    rested = previous(latest.withColumn("__empty", empty), in_epoch, __was=F.col("__empty"))
-    fresh = F.col("usable") & F.coalesce(F.col("__was"), F.lit(False))
-    runs = sessions(rested, in_epoch, fresh, "run").drop("__used", "__empty", "__was", "usable")
+    latest = running(cut_lineage(stepped), in_epoch, inclusive=False, __used=("max", F.when(F.col("usable"), F.col("step"))))
+    # Empty for certain: the frame before came later after the last usable one than lost tracks are kept.
+    frame_before = F.col("step") - F.col("steps_before") - 1
+    empty = (frame_before > 0) & (F.col("__used").isNull() | (frame_before - F.col("__used") > buffer))
+    runs = sessions(latest, in_epoch, F.col("usable") & empty, "run").drop("__used", "usable")
 
     rows = runs.join(boxes, ["stream", "seq"], "left")
     settings = {"threshold": threshold, "match": match, "buffer": buffer}

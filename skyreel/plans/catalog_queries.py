@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import media, names
 from ..functions.constants import DETECTION_KEY, STARTED_KEY, STREAM_KEY
 from ..operators import catalog as ops
+from ..session import cut_lineage
 from . import shapes
 from .registry import query
 from .shapes import with_shapes
@@ -449,6 +450,11 @@ def offsets(t):
     return ops.part_offsets(shapes.parts(t).select("doc_no", "part_no", "size"))
 
 
+def stored_offsets(t):
+    """The part index as a stored table: the searches below read it several times."""
+    return cut_lineage(offsets(t))
+
+
 @query(
     "a01_assemble_parts",
     "select l_orderkey as doc_no, cast(sum(cast(l_quantity as bigint)) as bigint) as size, count(*) as part_count "
@@ -486,7 +492,7 @@ from positions p left join offsets o on p.doc_no = o.doc_no and o.start_byte <=
 )
 def _(t):
     positions = shapes.parts(t).select("doc_no", F.col("part_no").alias("request_id"), (F.col("o1") % 400).alias("position"))
-    found = ops.locate_position(offsets(t), positions, block_bytes=1 << 26)
+    found = ops.locate_position(stored_offsets(t), positions, block_bytes=1 << 26)
     return found.fillna(-1, ["part_no", "offset_in_part"])  # past the end
 
 
@@ -505,4 +511,4 @@ def _(t):
         (F.col("o1") % 300).alias("from_byte"),
         (F.col("size") * 3).alias("length"),
     )
-    return ops.byte_range_plan(offsets(t), requests, block_bytes=1 << 26)
+    return ops.byte_range_plan(stored_offsets(t), requests, block_bytes=1 << 26)

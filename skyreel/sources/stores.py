@@ -2,57 +2,44 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..schemas import SOURCE
+from .snapshots import latest_version, write_version
+
+CORRUPT = "_corrupt"
 
 
 def read_registry(stored: DataFrame, column: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
     """Entries that parse, spread into columns in name order, and the rows that do not."""
-    parsed = stored.withColumn("__e", F.from_json(column, _with_corrupt(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
-    broken = F.col("__e").isNull() | F.col("__e._corrupt").isNotNull() | F.col("__e.name").isNull()
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    wide = StructType([*schema.fields]).add(CORRUPT, "string")
+    parsed = stored.withColumn("__e", F.from_json(column, wide, options))
+    entry = F.col("__e")
+    broken = entry.isNull() | entry.getField(CORRUPT).isNotNull() | entry.getField("name").isNull()
     others = [c for c in stored.columns if c != column]
     fields = [F.col(f"__e.{f.name}").alias(f.name) for f in schema.fields]
     return parsed.where(~broken).select(*others, *fields).orderBy("name"), parsed.where(broken).select(*stored.columns)
 
 
-def _with_corrupt(schema: StructType) -> StructType:
-    return StructType([*schema.fields]).add("_corrupt", "string")
-
-
 def read_sources(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Configured sources, one JSON object a line, and the unreadable lines for quarantine."""
-    schema = StructType([*SOURCE.fields]).add("_corrupt", "string")
-    lines = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    bad = F.col("_corrupt").isNotNull() | F.col("name").isNull()
-    return lines.where(~bad).drop("_corrupt"), lines.select(*lines.columns).where(bad).select("_corrupt")
+    lines = spark.read.text(path)
+    readable, broken = read_registry(lines, "value", SOURCE)
+    return readable, broken
 
 
 def write_sources(sources: DataFrame, root: str) -> str:
-    """Write a new version next to the old ones and point ``CURRENT`` at it; readers never see half of one."""
-    version = uuid.uuid4().hex
-    sources.write.mode("errorifexists").json(f"{root}/{version}")
-    spark = sources.sparkSession
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path
-    files = path(root).getFileSystem(conf)
-    staged = path(f"{root}/.current-{version}")
-    out = files.create(staged, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    current = path(f"{root}/CURRENT")
-    if files.exists(current):
-        files.delete(current, False)
-    if not files.rename(staged, current):
-        raise OSError(f"could not publish {current}")
-    return version
+    """Replace the configured list; readers see the old version until the new one is whole."""
+    return write_version(sources, root, "json")
 
 
 def current_sources(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    version = spark.read.text(f"{root}/CURRENT").first()[0]
-    return read_sources(spark, f"{root}/{version}")
+    """The newest whole list; a store nothing was written to yet is empty."""
+    path = latest_version(spark, root)
+    if path is None:
+        empty = spark.createDataFrame([], SOURCE)
+        return empty, spark.createDataFrame([], "value string")
+    return read_sources(spark, path)
