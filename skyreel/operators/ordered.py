@@ -25,7 +25,7 @@ CHUNK = "__chunk"
 class Lane:
     """Rows of ``keys`` in the order of ``order``, split where ``chunk`` changes.
 
-    ``keys`` and ``order`` are column names; ``order`` has to be unique within a key for
+    ``keys`` and ``order`` are column names without nulls; ``order`` has to be unique within a key for
     deterministic results.  ``descending`` walks the lane from its end.
     """
 
@@ -216,9 +216,5 @@ def trailing(
 
 
 def _join_carry(local: DataFrame, carry: DataFrame, on: Lane) -> DataFrame:
-    keys = [*on.keys, CHUNK]
-    renamed = carry.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[c for c in carry.columns if c not in keys])
-    match = F.lit(True)
-    for key in keys:
-        match = match & F.col(key).eqNullSafe(F.col(f"__k_{key}"))
-    return local.join(renamed, match, "left")
+    """Plain equality keeps the partitioning and order the window left: the wide rows do not move again."""
+    return local.join(carry, [*on.keys, CHUNK], "left")
