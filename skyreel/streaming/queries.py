@@ -159,7 +159,7 @@ class LeaseProcessor(_Remembering):
     def __init__(self, lease_us: int):
         self.lease_us = lease_us
 
-    def handleInputRows(self, key, rows, timers):
+    def handleInputRows(self, key, rows, timerValues):
         lease = self.recall(lambda: Lease(self.lease_us))
         batch = self.ordered(rows)
         out = []
@@ -179,7 +179,7 @@ class ClaimProcessor(_Remembering):
     def __init__(self, beat_us: int, grace_us: int):
         self.beat_us, self.grace_us = beat_us, grace_us
 
-    def handleInputRows(self, key, rows, timers):
+    def handleInputRows(self, key, rows, timerValues):
         claim = self.recall(lambda: NameClaim(self.beat_us, self.grace_us))
         out = []
         for row in self.ordered(rows).itertuples():
@@ -195,7 +195,7 @@ def name_claims(attempts: DataFrame, beat_us: int = 2_000_000, grace_us: int = 3
 
 
 class ChangeProcessor(_Remembering):
-    def handleInputRows(self, key, rows, timers):
+    def handleInputRows(self, key, rows, timerValues):
         last = self.recall(lambda: None)
         out = []
         for row in self.ordered(rows).itertuples():
@@ -227,7 +227,7 @@ class LifecycleProcessor(StatefulProcessor):
             self.handle.deleteTimer(earlier)
         self.handle.registerTimer(at_ms)
 
-    def handleInputRows(self, key, rows, timers):
+    def handleInputRows(self, key, rows, timerValues):
         state, last = self.life.get() if self.life.exists() else (None, None)
         out = []
         times = sorted(int(ms) for batch in rows for ms in batch["at_us"] // 1000)
@@ -248,7 +248,7 @@ class LifecycleProcessor(StatefulProcessor):
         if out:
             yield pd.DataFrame(out, columns=["name", "state", "at_ms"])
 
-    def handleExpiredTimer(self, key, timers, expired):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         state, last = self.life.get()
         if state == "Live":
             self.life.update(("Interrupted", last))
@@ -276,7 +276,7 @@ class TrackProcessor(_Remembering):
     def __init__(self, settings: dict):
         self.settings = settings
 
-    def handleInputRows(self, key, rows, timers):
+    def handleInputRows(self, key, rows, timerValues):
         memory = self.recall(lambda: {"tracker": None, "pts": None, "epoch": 0})
         out = []
         for seq, frame in self.ordered(rows).groupby("seq", sort=True):
