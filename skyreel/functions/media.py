@@ -101,7 +101,7 @@ def fixed(value: Column, digits: int) -> Column:
 
 def trimmed(value: Column, digits: int) -> Column:
     """:func:`fixed` without trailing zeros."""
-    return F.regexp_replace(F.regexp_replace(fixed(value, digits), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.rtrim(F.rtrim(fixed(value, digits), F.lit("0")), F.lit("."))
 
 
 def fmt_duration(seconds: Column) -> Column:

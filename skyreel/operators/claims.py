@@ -6,7 +6,6 @@ whatever came before, so the log falls apart there and the pieces run in paralle
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,24 +70,24 @@ def detector_leases(events: DataFrame, on: Lane, lease_us: int = LEASE_US) -> Da
     fields = ", ".join(f"{c} {types[c]}" for c in [*keys, "seq", "at_us", "action", "worker"])
     columns = [*keys, "seq", "at_us", "action", "worker"]
     return replay(
-        pieces.select(*dict.fromkeys([*columns, *order]), "__piece"), [*keys, "__piece"], order,
-        lambda: _Leases(columns, lease_us), f"{fields}, granted boolean, holder string",
+        pieces.select(*columns, "__piece"), [*keys, "__piece"], order,
+        lambda: _Leases(lease_us), f"{fields}, granted boolean, holder string",
     )
 
 
 class _Leases:
-    def __init__(self, columns, lease_us):
-        self.columns, self.lease = columns, Lease(lease_us)
+    def __init__(self, lease_us: int):
+        self.lease = Lease(lease_us)
 
-    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
-        granted, holders = [], []
-        for action, worker, at in zip(rows["action"], rows["worker"], rows["at_us"].tolist()):
-            granted.append(self.lease.apply(action, worker, at))
-            holders.append(self.lease.holder(at))
-        return rows[self.columns].assign(granted=granted, holder=holders)
+    def feed(self, rows: list[tuple]) -> list[tuple]:
+        out = []
+        for *event, _piece in rows:
+            at, action, worker = event[-3:]
+            out.append((*event, self.lease.apply(action, worker, at), self.lease.holder(at)))
+        return out
 
-    def finish(self) -> None:
-        return None
+    def finish(self) -> list[tuple]:
+        return []
 
 
 def name_claims(attempts: DataFrame, on: Lane, beat_us: int = BEAT_US, grace_us: int = GRACE_US) -> DataFrame:
@@ -101,21 +100,21 @@ def name_claims(attempts: DataFrame, on: Lane, beat_us: int = BEAT_US, grace_us:
     columns = [*keys, "seq", "at_us", "owner"]
     fields = ", ".join(f"{c} {types[c]}" for c in columns)
     return replay(
-        pieces.select(*dict.fromkeys([*columns, *order]), "__piece"), [*keys, "__piece"], order,
-        lambda: _Claims(columns, beat_us, grace_us), f"{fields}, outcome string, started_us long",
+        pieces.select(*columns, "__piece"), [*keys, "__piece"], order,
+        lambda: _Claims(beat_us, grace_us), f"{fields}, outcome string, started_us long",
     )
 
 
 class _Claims:
-    def __init__(self, columns, beat_us, grace_us):
-        self.columns, self.claim = columns, NameClaim(beat_us, grace_us)
-
-    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
-        outcomes, started = [], []
-        for owner, at in zip(rows["owner"], rows["at_us"].tolist()):
-            outcomes.append(self.claim.apply(owner, at))
-            started.append(self.claim.started)
-        return rows[self.columns].assign(outcome=outcomes, started_us=started)
-
-    def finish(self) -> None:
-        return None
+    def __init__(self, beat_us: int, grace_us: int):
+        self.claim = NameClaim(beat_us, grace_us)
+
+    def feed(self, rows: list[tuple]) -> list[tuple]:
+        out = []
+        for *attempt, _piece in rows:
+            at, owner = attempt[-2:]
+            out.append((*attempt, self.claim.apply(owner, at), self.claim.started))
+        return out
+
+    def finish(self) -> list[tuple]:
+        return []

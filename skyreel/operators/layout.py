@@ -113,10 +113,11 @@ def describe_media(containers: DataFrame, tracks: DataFrame) -> DataFrame:
     only = lambda kind, value: F.when(F.col("kind") == kind, value)
     sized = (F.col("width") > 0) & (F.col("height") > 0)
     shape_w, shape_h = F.col("width").cast("long") * F.col("sar_num"), F.col("height").cast("long") * F.col("sar_den")
-    common = _gcd(shape_w, shape_h)
-    aspect = F.when(
-        sized & (common > 0), media.fmt_aspect(F.floor(shape_w / common), F.floor(shape_h / common))
+    shaped = (F.col("kind") == "video") & sized & (F.col("sar_num") > 0) & (F.col("sar_den") > 0)
+    reduced = F.transform(
+        F.array(_gcd(shape_w, shape_h)), lambda g: media.fmt_aspect(F.floor(shape_w / g), F.floor(shape_h / g))
     )
+    aspect = F.when(shaped, reduced[0])  # worked out for pictures only, and once each
     per_track = ordinal.select(
         "doc_no",
         _entries(
@@ -124,7 +125,7 @@ def describe_media(containers: DataFrame, tracks: DataFrame) -> DataFrame:
             [
                 (named("codec"), F.col("codec")),
                 (named("dimensions"), only("video", F.when(sized, media.fmt_dimensions(F.col("width"), F.col("height"))))),
-                (named("aspect ratio"), only("video", aspect)),
+                (named("aspect ratio"), aspect),
                 (named("pixel format"), only("video", F.col("pixel_format"))),
                 (named("frame rate"), only("video", media.fmt_frame_rate(F.col("avg_num"), F.col("avg_den")))),
                 (named("frames"), only("video", F.when(F.col("frames") > 0, F.col("frames").cast("string")))),

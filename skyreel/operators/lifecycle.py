@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .ordered import Lane, previous, running, sessions
+from .ordered import Lane, running, sessions
 from .sequential import replay
 
 FEED_TIMEOUT_US = 5_000_000
@@ -103,48 +102,35 @@ def recording_sessions(triggers: DataFrame, on: Lane, at_us: str = "at_us", seco
     short = whole.where(~long_run).drop("run")
     replayed = runs.join(whole.where(long_run).select(*on.keys, "run"), [*on.keys, "run"], "left_semi")
     keys = list(on.keys)
-    rows = replayed.select(*keys, "run", *on.order, F.col(at_us).alias("__at"), "__until")
+    others = [c for c in on.order if c != at_us]
+    rows = replayed.select(*keys, "run", *others, at_us, "__until")
     fields = ", ".join(f"{k} {dict(triggers.dtypes)[k]}" for k in keys)
     schema = f"{fields}, started_us long, ends_us long, triggers long"
-    capped = replay(rows, [*keys, "run"], list(on.order), lambda: _CappedRecordings(keys, cap), schema)
+    capped = replay(rows, [*keys, "run"], list(on.order), lambda: _CappedRecordings(len(keys), cap), schema)
     return short.unionByName(capped)
 
 
 class _CappedRecordings:
-    def __init__(self, keys: list[str], cap: int):
+    def __init__(self, keys: int, cap: int):
         self.keys, self.cap = keys, cap
-        self.open = None  # (started, ends, triggers)
+        self.open: tuple | None = None  # started, ends, triggers
 
-    def _row(self):
-        started, ends, triggers = self.open
-        return (*self.who, started, ends, triggers)
-
-    def feed(self, rows: pd.DataFrame) -> pd.DataFrame | None:
-        self.who = tuple(rows[self.keys].iloc[0])
-        done = []
-        for at, until in zip(rows["__at"].tolist(), rows["__until"].tolist()):
+    def feed(self, rows: list[tuple]) -> list[tuple]:
+        self.who, done = rows[0][: self.keys], []
+        for *_, at, until in rows:
             if self.open is not None and at < self.open[1]:
                 started, ends, triggers = self.open
                 self.open = (started, max(ends, min(until, started + self.cap)), triggers + 1)
                 continue
-            if self.open is not None:
-                done.append(self._row())
+            done.extend(self.finish())
             self.open = (at, until, 1)
-        return self._frame(done)
-
-    def finish(self) -> pd.DataFrame | None:
-        return self._frame([self._row()]) if self.open else None
+        return done
 
-    def _frame(self, rows):
-        return pd.DataFrame(rows, columns=[*self.keys, "started_us", "ends_us", "triggers"]) if rows else None
+    def finish(self) -> list[tuple]:
+        return [(*self.who, *self.open)] if self.open else []
 
 
 def roll_parts(packets: DataFrame, started_us: str, at_us: str = "at_us", part_seconds: int = 300) -> DataFrame:
     """Which part of its recording a packet lands in; parts are tumbling from the recording's start."""
     return packets.withColumn("part", F.floor((F.col(at_us) - F.col(started_us)) / F.lit(part_seconds * 1_000_000)))
 
-
-__all__ = [
-    "gap_sessions", "live_sessions", "lifecycle_events", "never_fed", "bursts", "recording_sessions", "roll_parts",
-    "Window", "previous",
-]

@@ -5,7 +5,6 @@ Packets carry ``stream`` and an arrival order; ``pts`` and ``dts`` are ticks of
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,7 +83,7 @@ def buffer_retained(
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + (
         ", segment long, start_pts long, end_pts long, bytes long, startable boolean, ceiling_binding boolean"
     )
-    walked = replay(rows, keys, list(on.order), lambda: _Buffer(keys, window_ticks, ceiling), schema)
+    walked = replay(rows, keys, list(on.order), lambda: _Buffer(len(keys), window_ticks, ceiling), schema)
     return closed.unionByName(walked)
 
 
@@ -107,14 +106,14 @@ def _binding(segmented, kept, on, window_ticks, ceiling, size) -> DataFrame:
 class _Buffer:
     """The buffer itself, a packet at a time; it never holds more than the window's segments."""
 
-    def __init__(self, keys, window_ticks, ceiling):
+    def __init__(self, keys: int, window_ticks: float, ceiling: int):
         self.keys, self.window, self.ceiling = keys, window_ticks, ceiling
-        self.segments: list[list] = []  # [segment, start, end, bytes, startable]
+        self.segments: list[list] = []  # segment, start, end, bytes, startable
         self.bytes, self.binding, self.seen = 0, False, None
 
-    def feed(self, rows: pd.DataFrame) -> None:
-        self.who = tuple(rows[self.keys].iloc[0])
-        for pts, size, segment in zip(rows["pts"].tolist(), rows["__size"].tolist(), rows["segment"].tolist()):
+    def feed(self, rows: list[tuple]) -> list[tuple]:
+        self.who = rows[0][: self.keys]
+        for *_, pts, size, segment in rows:
             starts = segment > 0 and segment != self.seen
             self.seen = segment
             if starts or not self.segments:
@@ -124,8 +123,9 @@ class _Buffer:
             newest[3] += size
             self.bytes += size
             self._evict()
+        return []
 
-    def _evict(self):
+    def _evict(self) -> None:
         while self.segments:
             heavy = self.bytes > self.ceiling
             if not heavy and (self.segments[-1][2] - self.segments[0][1] <= self.window or len(self.segments) == 1):
@@ -134,9 +134,8 @@ class _Buffer:
             self.bytes -= self.segments.pop(0)[3]
         self.binding = True
 
-    def finish(self) -> pd.DataFrame:
-        columns = [*self.keys, "segment", "start_pts", "end_pts", "bytes", "startable", "ceiling_binding"]
-        return pd.DataFrame([(*self.who, *s, self.binding) for s in self.segments], columns=columns)
+    def finish(self) -> list[tuple]:
+        return [(*self.who, *segment, self.binding) for segment in self.segments]
 
 
 def preroll_start(segments: DataFrame, keys: list[str], seconds_back: Column, seconds_per_tick: float) -> DataFrame:
@@ -225,7 +224,7 @@ def rebase_timeline(
         runs.join(suspect, [*keys, "__run"], "left_semi").where("__s is not null").select(*where, "__s"),
         [*keys, "__run"],
         list(on.order),
-        lambda: _Breaks(where, limit),
+        lambda: _Breaks(limit),
         f"{fields}, __sub long",
     )
     placed = cut_lineage(runs.join(found, where, "left").withColumn("__sub", F.coalesce("__sub", F.lit(0))))
@@ -245,22 +244,22 @@ def rebase_timeline(
 class _Breaks:
     """Numbers the stretches of a run; a row far below the stretch's maximum begins the next."""
 
-    def __init__(self, columns, limit):
-        self.columns, self.limit, self.top, self.sub = columns, limit, None, 0
+    def __init__(self, limit: float):
+        self.limit, self.top, self.sub = limit, None, 0
 
-    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
-        subs = []
-        for stamp in rows["__s"].tolist():
+    def feed(self, rows: list[tuple]) -> list[tuple]:
+        out = []
+        for *where, stamp in rows:
             if self.top is not None and stamp < self.top - self.limit:
                 self.sub += 1
                 self.top = stamp
             else:
                 self.top = stamp if self.top is None else max(self.top, stamp)
-            subs.append(self.sub)
-        return rows[self.columns].assign(__sub=subs)
+            out.append((*where, self.sub))
+        return out
 
-    def finish(self) -> None:
-        return None
+    def finish(self) -> list[tuple]:
+        return []
 
 
 def monotonic_dts(packets: DataFrame, on: Lane) -> DataFrame:

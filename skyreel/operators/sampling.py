@@ -11,7 +11,6 @@ spread evenly.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,42 +76,69 @@ def due_rows(
     types = dict(frames.dtypes)
     key_fields = ", ".join(f"{k} {types[k]}" for k in keys)
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("__n")
-        head, final = _solve_block(rows["__s"].to_numpy(), interval)
-        out = rows[[*keys, "__b"]].iloc[:1].copy()
-        out["head"], out["final"] = [head.tolist()], [final]
-        return out
-
-    tables = narrow.groupBy(*keys, "__b").applyInPandas(solve, f"{key_fields}, __b long, head array<double>, final array<double>")
-    begun = replay(tables, keys, ["__b"], lambda: _Chain(keys, interval), f"{key_fields}, __b long, __last double")
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("__n")
-        times, last = rows["__s"].to_numpy(), rows["__last"].iloc[0]
-        first = 0 if last != last else _next_choice(times, last, 0, interval)
-        return rows[spot].iloc[_walk(times, first, interval)]
-
+    blocks = [*keys, "__b"]
+    rows = narrow.select(*blocks, *on.order, "__n", "__s")
+    tables = replay(
+        rows, blocks, ["__n"], lambda: _Block(len(blocks), interval), f"{key_fields}, __b long, head array<double>, final array<double>"
+    )
+    begun = replay(tables, keys, ["__b"], lambda: _Chain(interval), f"{key_fields}, __b long, __last double")
     spot_fields = ", ".join(f"{c} {types[c]}" for c in spot)
-    taken = narrow.join(begun, [*keys, "__b"]).groupBy(*keys, "__b").applyInPandas(walk, spot_fields)
+    known = rows.join(begun, blocks).select(*rows.columns, "__last")
+    taken = replay(known, blocks, ["__n"], lambda: _Walk(len(keys), interval), spot_fields)
     chosen = frames.join(taken, spot, "left_semi")
     return chosen.unionByName(frames.where(F.col(seconds).isNull()))
 
 
+class _Block:
+    """Collects a block's times and sums it up as a table; a block is never longer than ``block_rows``."""
+
+    def __init__(self, width: int, interval: float):
+        self.width, self.interval, self.times = width, interval, []
+
+    def feed(self, rows: list[tuple]) -> list[tuple]:
+        self.who = rows[0][: self.width]
+        self.times.extend(row[-1] for row in rows)
+        return []
+
+    def finish(self) -> list[tuple]:
+        head, final = _solve_block(np.array(self.times), self.interval)
+        return [(*self.who, head.tolist(), final)]
+
+
 class _Chain:
     """Passes the last choice from block to block; one small row per block."""
 
-    def __init__(self, keys, interval):
-        self.keys, self.interval, self.last = keys, interval, float("nan")
+    def __init__(self, interval: float):
+        self.interval, self.last = interval, None
 
-    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
-        began = []
-        for head, final in zip(rows["head"], rows["final"]):
-            began.append(self.last)
-            first = 0 if self.last != self.last else _next_choice(np.asarray(head), self.last, 0, self.interval)
+    def feed(self, rows: list[tuple]) -> list[tuple]:
+        out = []
+        for *who, head, final in rows:
+            out.append((*who, self.last))
+            first = 0 if self.last is None else _next_choice(np.array(head), self.last, 0, self.interval)
             if first < len(head):
                 self.last = final[first]
-        return rows[[*self.keys, "__b"]].assign(__last=began)
+        return out
+
+    def finish(self) -> list[tuple]:
+        return []
+
+
+class _Walk:
+    """Takes the due rows of a block whose beginning is known."""
+
+    def __init__(self, keys: int, interval: float):
+        self.keys, self.interval, self.fresh = keys, interval, True
+
+    def feed(self, rows: list[tuple]) -> list[tuple]:
+        if self.fresh:
+            self.last, self.fresh = rows[0][-1], False
+        times = np.array([row[-2] for row in rows])
+        first = 0 if self.last is None else _next_choice(times, self.last, 0, self.interval)
+        taken = _walk(times, first, self.interval)
+        if taken:
+            self.last = float(times[taken[-1]])
+        return [(*rows[i][: self.keys], *rows[i][self.keys + 1 : -3]) for i in taken]
 
-    def finish(self) -> None:
-        return None
+    def finish(self) -> list[tuple]:
+        return []

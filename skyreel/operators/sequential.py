@@ -3,25 +3,28 @@
 Some rules are sequential by nature (a tracker, a lease).  Their rows are hashed by key and *epoch* -
 an epoch starts where the machine's state provably no longer matters, so one busy key spreads over
 many tasks - sorted inside each partition by Spark's spilling sort, and streamed through a Python
-machine in Arrow batches.  Nothing is gathered per group: the machine sees one batch at a time.
+machine in Arrow batches.  Nothing is gathered per group: a machine sees a batch's rows at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
+from operator import itemgetter
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 
 class Machine(Protocol):
-    """Consumes the rows of one run in order; what it returns goes to the output."""
+    """Takes the rows of one run in order, as tuples of the frame's columns; returns output tuples."""
 
-    def feed(self, rows: pd.DataFrame) -> pd.DataFrame | None: ...
+    def feed(self, rows: list[tuple]) -> list[tuple]: ...
 
-    def finish(self) -> pd.DataFrame | None: ...
+    def finish(self) -> list[tuple]: ...
 
 
 def replay(
@@ -33,34 +36,33 @@ def replay(
 ) -> DataFrame:
     """Run a fresh ``machine`` over every run of ``run_keys``, rows in ``order``."""
     keys = list(run_keys)
+    out_type = _parse_datatype_string(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(out_type)
+    spots = [df.columns.index(k) for k in keys]
+    run_of = itemgetter(*spots)
 
-    def pieces(batch: pd.DataFrame) -> Iterator[tuple[tuple, pd.DataFrame]]:
-        ids = batch[keys]
-        change = (ids != ids.shift()).any(axis=1).to_numpy()
-        starts = [i for i, flag in enumerate(change) if flag or i == 0]
-        for start, stop in zip(starts, [*starts[1:], len(batch)]):
-            yield tuple(ids.iloc[start]), batch.iloc[start:stop]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, live = None, None
         for batch in batches:
-            if batch.empty:
-                continue
-            for run_id, rows in pieces(batch):
-                if run_id != current:
+            rows = zip(*[column.to_pylist() for column in batch.columns])
+            out: list[tuple] = []
+            for run_id, piece in groupby(rows, key=run_of):
+                if live is None or run_id != current:
                     if live is not None:
-                        yield from _some(live.finish())
+                        out.extend(live.finish())
                     current, live = run_id, machine()
-                yield from _some(live.feed(rows))
+                out.extend(live.feed(list(piece)))
+            yield from _batch(out, arrow)
         if live is not None:
-            yield from _some(live.finish())
+            yield from _batch(live.finish(), arrow)
 
     # An explicit count: these rows are few but slow, so AQE must not fold them into one task by size.
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartition(width, *keys).sortWithinPartitions(*keys, *order)
-    return placed.mapInPandas(run, schema)
+    return placed.mapInArrow(run, out_type)
 
 
-def _some(out: pd.DataFrame | None) -> Iterator[pd.DataFrame]:
-    if out is not None and len(out):
-        yield out
+def _batch(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    if rows:
+        columns = [pa.array(values, type=field.type) for values, field in zip(zip(*rows), schema)]
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)

@@ -9,7 +9,6 @@ nothing earlier matters except how many ids are used up, which is added afterwar
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -255,55 +254,38 @@ OUT_FIELDS = (
 class _Run:
     """One stretch of one stream: gathers the boxes of a frame, steps the tracker, reports its tracks."""
 
-    def __init__(self, keys: list[str], settings: dict):
-        self.keys, self.settings = keys, settings
+    def __init__(self, settings: dict):
+        self.settings = settings
         self.tracker: Tracker | None = None
         self.frame: list[tuple] = []
 
-    def feed(self, rows: pd.DataFrame) -> pd.DataFrame | None:
-        self.who = tuple(rows[self.keys].iloc[0])
-        out = []
-        columns = ["seq", "pts", "width", "height", "step", "steps_before", "left", "top", "right", "bottom", "confidence", "class_name"]
-        for row in rows[columns].itertuples(index=False, name=None):
-            if self.frame and row[0] != self.frame[0][0]:
+    def feed(self, rows: list[tuple]) -> list[tuple]:
+        self.who, out = rows[0][:3], []
+        for row in rows:
+            if self.frame and row[3] != self.frame[0][3]:
                 out.extend(self._frame_done())
             self.frame.append(row)
-        return self._table(out)
+        return out
 
-    def finish(self) -> pd.DataFrame | None:
+    def finish(self) -> list[tuple]:
         out = self._frame_done()
-        seq, pts = self.last
-        out.append((seq, pts, *[None] * 10, self.tracker.born))
-        return self._table(out)
+        out.append((*self.who, *self.last, *[None] * 10, self.tracker.born))
+        return out
 
     def _frame_done(self) -> list[tuple]:
-        seq, pts, width, height, step, before = self.frame[0][:6]
+        seq, pts, width, height, step, before = self.frame[0][3:9]
         self.last = (seq, pts)
-        first = self.tracker is None
-        if first:
+        if self.tracker is None:
             self.tracker = Tracker(width, height, frame=step - 1, **self.settings)
         else:
-            for _ in range(int(before)):
+            for _ in range(before):
                 self.tracker.predict()
-        boxes = [r for r in self.frame if r[6] == r[6] and r[6] is not None]
-        array = np.array([r[6:10] for r in boxes], dtype=float).reshape(-1, 4)
-        sure = np.array([np.nan if r[10] is None else r[10] for r in boxes], dtype=float)
-        self.tracker.update(pts, array, sure, [r[11] for r in boxes])
+        boxes = [row[9:] for row in self.frame if row[10] is not None]
+        array = np.array([b[1:5] for b in boxes], dtype=float).reshape(-1, 4)
+        sure = np.array([np.nan if b[5] is None else b[5] for b in boxes], dtype=float)
+        self.tracker.update(pts, array, sure, [b[6] for b in boxes])
         self.frame = []
-        return [(seq, pts, *track, None) for track in self.tracker.reported()]
-
-    def _table(self, rows: list[tuple]) -> pd.DataFrame | None:
-        if not rows:
-            return None
-        names = [f.split()[0] for f in OUT_FIELDS.split(", ")]
-        table = pd.DataFrame(rows, columns=names)
-        for name in ("local_id", "left", "top", "right", "bottom", "confidence", "hits", "born"):
-            table[name] = table[name].astype("Int32")
-        for name in ("seq", "pts", "started_pts", "last_seen_pts"):
-            table[name] = table[name].astype("Int64")
-        for position, key in enumerate(self.keys):
-            table.insert(position, key, self.who[position])
-        return table
+        return [(*self.who, seq, pts, *track, None) for track in self.tracker.reported()]
 
 
 # --- the job ------------------------------------------------------------------------------------
@@ -361,11 +343,14 @@ def track_objects(
     empty = (frame_before > 0) & (F.col("__used").isNull() | (frame_before - F.col("__used") > buffer))
     runs = sessions(latest, in_epoch, F.col("usable") & empty, "run").drop("__used", "usable")
 
-    rows = runs.join(boxes, ["stream", "seq"], "left")
+    rows = runs.join(boxes, ["stream", "seq"], "left").select(
+        "stream", "epoch", "run", "seq", "pts", "width", "height", "step", "steps_before",
+        "det", "left", "top", "right", "bottom", "confidence", "class_name",
+    )
     settings = {"threshold": threshold, "match": match, "buffer": buffer}
     keys = ["stream", "epoch", "run"]
     tracked = cut_lineage(
-        replay(rows, keys, ["seq", "det"], lambda: _Run(keys, settings), f"stream string, epoch long, run long, {OUT_FIELDS}")
+        replay(rows, keys, ["seq", "det"], lambda: _Run(settings), f"stream string, epoch long, run long, {OUT_FIELDS}")
     )
     births = tracked.where("born is not null").select("stream", "epoch", "run", "born")
     used = running(births, Lane(("stream", "epoch"), ("run",), block("run", 4_096)), inclusive=False, __used=("sum", F.col("born")))

@@ -5,17 +5,18 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions import klv
 from ..functions.constants import ST0903_KEY
 from ..schemas import VMTI_TARGET
+from .sequential import replay
 
 MAX_TARGET_ID = 2_097_151
-MAX_TARGETS = MAX_TARGET_ID  # ids are unique within a frame
 
 # --- encoding -----------------------------------------------------------------------------------
 
@@ -39,68 +40,67 @@ def refuse_target() -> Column:
 def encode_vmti(frames: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     """One packet per frame, ``frames(*keys, timestamp_us, frame_width, frame_height, sensor, ontology)``.
 
-    Targets (:data:`VMTI_TARGET` plus the keys) become packs row by row, in parallel; a frame then only
-    strings its packs together.  Rows :func:`refuse_target` names must be taken out before.
+    Frames and their targets (:data:`VMTI_TARGET` plus the keys) are laid in one order, the frame before its
+    targets, and streamed: one shuffle, no join, and no frame is held but the one being written.  Rows
+    :func:`refuse_target` names must be taken out before.
     """
-    context = targets.join(frames.select(*keys, "frame_width", "ontology"), keys)
-    key_fields = [f for f in frames.schema.fields if f.name in keys]
-    schema = StructType([*key_fields]).add("target_id", IntegerType()).add("pack", BinaryType())
+    marked = frames.select(*keys, *HEADER).unionByName(targets.select(*keys, *TARGET_COLUMNS), allowMissingColumns=True)
+    rows = marked.select(*keys, F.coalesce("target_id", F.lit(0)).alias("target_id"), *HEADER, *TARGET_COLUMNS[1:])
+    types = dict(frames.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", data binary"
+    return replay(rows, keys, ["target_id"], lambda: _Frame(len(keys)), schema)
 
-    def packs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = batch.astype(object).where(batch.notna(), None).to_dict("records")
-            yield batch[[*keys, "target_id"]].assign(pack=[_pack(row) for row in rows])
 
-    packed = context.mapInPandas(packs, schema)
-    series = packed.groupBy(*keys).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("target_id", "pack"))), lambda p: p["pack"]).alias("packs")
-    )
-    whole = frames.join(series, keys, "left")
-    out_schema = StructType([*key_fields]).add("data", BinaryType())
+HEADER = ["timestamp_us", "frame_width", "frame_height", "sensor", "ontology"]
+TARGET_COLUMNS = [f.name for f in VMTI_TARGET.fields]
 
-    def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            data = [_packet(row) for row in batch.to_dict("records")]
-            yield batch[keys].assign(data=data)
 
-    return whole.mapInPandas(assemble, out_schema)
+class _Frame:
+    """Writes one frame: its header row comes first, then its targets by id."""
+
+    def __init__(self, keys: int):
+        self.keys, self.header, self.packs = keys, None, []
+
+    def feed(self, rows: list[tuple]) -> list[tuple]:
+        for row in rows:
+            target, body = row[self.keys], row[self.keys + 1 :]
+            if target == 0:
+                self.who, self.header = row[: self.keys], body[:5]
+            elif self.header is not None:  # targets of frames nobody listed have no packet to go into
+                self.packs.append(_pack(target, self.header[1], self.header[4], *body[5:]))
+        return []
 
+    def finish(self) -> list[tuple]:
+        return [] if self.header is None else [(*self.who, _packet(self.header, self.packs))]
 
-def _pack(row: dict) -> bytes:
-    width = row["frame_width"]
+
+def _pack(target, width, ontology, left, top, right, bottom, confidence, name, track, status, started, seen, algorithm, sure) -> bytes:
     pixel = lambda column, line: klv.shortest(column + (line - 1) * width)
-    left, top, right, bottom = (int(row[c]) for c in ("left", "top", "right", "bottom"))
-    out = klv.oid(int(row["target_id"]))
+    out = klv.oid(target)
     out += klv.item(1, pixel((left + right) // 2, (top + bottom) // 2))
     out += klv.item(2, pixel(left, top)) + klv.item(3, pixel(right, bottom))
-    if row["confidence"] is not None:
-        out += klv.item(5, bytes([int(row["confidence"])]))
-    if row["ontology_class"] is not None:
-        ontology = klv.item(1, row["ontology"].encode()) if row["ontology"] is not None else b""
-        out += klv.item(102, ontology + klv.item(2, row["ontology_class"].encode()))
-    if row["track_uuid"] is not None:
-        out += klv.item(104, _tracker(row))
-    return out
-
-
-def _tracker(row: dict) -> bytes:
-    out = klv.item(1, uuid.UUID(row["track_uuid"]).bytes) + klv.item(2, bytes([int(row["track_status"])]))
-    out += klv.item(3, klv.shortest(int(row["track_started_us"]))) + klv.item(4, klv.shortest(int(row["track_last_seen_us"])))
-    if row["track_algorithm"] is not None:
-        out += klv.item(6, row["track_algorithm"].encode())
-    if row["track_confidence"] is not None:
-        out += klv.item(7, bytes([int(row["track_confidence"])]))
+    if confidence is not None:
+        out += klv.item(5, bytes([confidence]))
+    if name is not None:
+        uri = klv.item(1, ontology.encode()) if ontology is not None else b""
+        out += klv.item(102, uri + klv.item(2, name.encode()))
+    if track is not None:
+        tracker = klv.item(1, uuid.UUID(track).bytes) + klv.item(2, bytes([status]))
+        tracker += klv.item(3, klv.shortest(started)) + klv.item(4, klv.shortest(seen))
+        if algorithm is not None:
+            tracker += klv.item(6, algorithm.encode())
+        if sure is not None:
+            tracker += klv.item(7, bytes([sure]))
+        out += klv.item(104, tracker)
     return out
 
 
-def _packet(row: dict) -> bytes:
-    packs = row["packs"] if row["packs"] is not None else []
-    body = klv.item(2, int(row["timestamp_us"]).to_bytes(8, "big")) + klv.item(4, b"\x04")
-    body += klv.item(6, klv.shortest(len(packs)))
-    body += klv.item(8, klv.shortest(int(row["frame_width"]))) + klv.item(9, klv.shortest(int(row["frame_height"])))
-    body += klv.item(10, row["sensor"].encode())
-    if len(packs):
-        body += klv.item(101, b"".join(klv.length_bytes(len(p)) + bytes(p) for p in packs))
+def _packet(header: tuple, packs: list[bytes]) -> bytes:
+    timestamp, width, height, sensor, _ = header
+    body = klv.item(2, timestamp.to_bytes(8, "big")) + klv.item(4, b"\x04") + klv.item(6, klv.shortest(len(packs)))
+    body += klv.item(8, klv.shortest(width)) + klv.item(9, klv.shortest(height)) + klv.item(10, sensor.encode())
+    if packs:
+        body += klv.item(101, b"".join(klv.length_bytes(len(p)) + p for p in packs))
     body += b"\x01\x02"
     whole = ST0903_KEY + klv.length_bytes(len(body) + 2) + body
     return whole + klv.checksum(whole).to_bytes(2, "big")
@@ -114,22 +114,21 @@ def decode_vmti(packets: DataFrame, data: str = "data") -> DataFrame:
     kept = [f for f in packets.schema.fields if f.name != data]
     names = [f.name for f in kept]
     schema = StructType([*kept, *FRAME.fields, *VMTI_TARGET.fields])
-    own = schema.fieldNames()[len(names) :]
+    own = [f.name for f in schema.fields[len(names) :]]
+    arrow = to_arrow_schema(schema)
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             places, rows = [], []
-            for place, packet in enumerate(batch[data]):
-                found = decode_vmti_packet(bytes(packet))
+            for place, packet in enumerate(batch.column(data).to_pylist()):
+                found = decode_vmti_packet(packet or b"")
                 places.extend([place] * len(found))
                 rows.extend(found)
-            columns = {
-                f.name: pd.array([r.get(f.name) for r in rows], dtype=_DTYPES.get(f.dataType.simpleString(), object))
-                for f in schema.fields[len(names) :]
-            }
-            yield pd.concat([batch[names].iloc[places].reset_index(drop=True), pd.DataFrame(columns)[own]], axis=1)
+            carried = [batch.column(n).take(pa.array(places, pa.int64())) for n in names]
+            decoded = [pa.array([r.get(n) for r in rows], type=arrow.field(n).type) for n in own]
+            yield pa.RecordBatch.from_arrays([*carried, *decoded], schema=arrow)
 
-    return packets.mapInPandas(decode, schema)
+    return packets.mapInArrow(decode, schema)
 
 
 FRAME = StructType(
@@ -143,7 +142,6 @@ FRAME = StructType(
         StructField("ontology", StringType()),
     ]
 )
-_DTYPES = {"int": "Int32", "bigint": "Int64"}
 
 
 def decode_vmti_packet(packet: bytes) -> list[dict]:
