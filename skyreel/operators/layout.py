@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,16 +110,15 @@ def describe_media(containers: DataFrame, tracks: DataFrame) -> DataFrame:
         ).alias("e"),
     )
     ordinal = numbered(tracks, lane(("doc_no", "kind"), "index", block("index", 4_096)), "__n")
-    label = media.stream_label(F.col("kind"), F.col("__n"))
-    named = lambda what: F.concat(label, F.lit(f" {what}"))
+    ordinal = ordinal.withColumn("__label", media.stream_label(F.col("kind"), F.col("__n")))
+    named = lambda what: F.concat("__label", F.lit(f" {what}"))
     only = lambda kind, value: F.when(F.col("kind") == kind, value)
     sized = (F.col("width") > 0) & (F.col("height") > 0)
     shape_w, shape_h = F.col("width").cast("long") * F.col("sar_num"), F.col("height").cast("long") * F.col("sar_den")
     shaped = (F.col("kind") == "video") & sized & (F.col("sar_num") > 0) & (F.col("sar_den") > 0)
-    reduced = F.transform(
-        F.array(_gcd(shape_w, shape_h)), lambda g: media.fmt_aspect(F.floor(shape_w / g), F.floor(shape_h / g))
-    )
-    aspect = F.when(shaped, reduced[0])  # worked out for pictures only, and once each
+    ordinal = ordinal.withColumn("__gcd", _gcd(shape_w, shape_h))
+    part = F.when(F.col("__gcd") > 0, F.col("__gcd"))
+    aspect = F.when(shaped, media.fmt_aspect(F.floor(shape_w / part), F.floor(shape_h / part)))
     per_track = ordinal.select(
         "doc_no",
         _entries(
@@ -137,22 +138,25 @@ def describe_media(containers: DataFrame, tracks: DataFrame) -> DataFrame:
         ).alias("e"),
     )
     entries = whole.unionByName(per_track).select("doc_no", F.explode("e").alias("e"))
-    return entries.select("doc_no", "e.position", "e.label", "e.text")
+    worded = entries.select("doc_no", "e.position", "e.label", media.meaningful(F.col("e.text")).alias("text"))
+    return worded.where("text is not null")
 
 
 def _entries(base: Column | int, pairs: list[tuple[Column, Column]]) -> Column:
     start = F.lit(base) if isinstance(base, int) else base
-    made = [
-        F.struct((start * 100 + n).cast("long").alias("position"), label.alias("label"), media.meaningful(value).alias("text"))
-        for n, (label, value) in enumerate(pairs)
-    ]
-    return F.filter(F.array(*made), lambda e: e["text"].isNotNull())
+    return F.array(
+        *[
+            F.struct((start * 100 + n).cast("long").alias("position"), label.alias("label"), value.alias("text"))
+            for n, (label, value) in enumerate(pairs)
+        ]
+    )
 
 
 def _gcd(a: Column, b: Column) -> Column:
-    """Greatest common divisor by Euclid's rule; 48 rounds settle any pair of picture sizes."""
-    step = lambda acc, _: F.when(acc["b"] == 0, acc).otherwise(
-        F.struct(acc["b"].alias("a"), (acc["a"] % F.when(acc["b"] != 0, acc["b"])).alias("b"))
-    )
-    begin = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(48)), begin, step)["a"]
+    """Greatest common divisor, which Spark has no function for; whole Arrow batches at a time."""
+
+    @F.pandas_udf("long")
+    def gcd(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(np.gcd(x.fillna(0).to_numpy(np.int64), y.fillna(0).to_numpy(np.int64)))
+
+    return gcd(a.cast("long"), b.cast("long"))
