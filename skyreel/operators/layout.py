@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,9 +114,10 @@ def describe_media(containers: DataFrame, tracks: DataFrame) -> DataFrame:
     sized = (F.col("width") > 0) & (F.col("height") > 0)
     shape_w, shape_h = F.col("width").cast("long") * F.col("sar_num"), F.col("height").cast("long") * F.col("sar_den")
     shaped = (F.col("kind") == "video") & sized & (F.col("sar_num") > 0) & (F.col("sar_den") > 0)
-    ordinal = ordinal.withColumn("__gcd", _gcd(shape_w, shape_h))
-    part = F.when(F.col("__gcd") > 0, F.col("__gcd"))
-    aspect = F.when(shaped, media.fmt_aspect(F.floor(shape_w / part), F.floor(shape_h / part)))
+    reduced = F.transform(
+        F.array(_gcd(shape_w, shape_h)), lambda g: media.fmt_aspect(F.floor(shape_w / g), F.floor(shape_h / g))
+    )
+    aspect = F.when(shaped, reduced[0])  # worked out for pictures only, and once each
     per_track = ordinal.select(
         "doc_no",
         _entries(
@@ -153,10 +152,10 @@ def _entries(base: Column | int, pairs: list[tuple[Column, Column]]) -> Column:
 
 
 def _gcd(a: Column, b: Column) -> Column:
-    """Greatest common divisor, which Spark has no function for; whole Arrow batches at a time."""
-
-    @F.pandas_udf("long")
-    def gcd(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(np.gcd(x.fillna(0).to_numpy(np.int64), y.fillna(0).to_numpy(np.int64)))
-
-    return gcd(a.cast("long"), b.cast("long"))
+    """Greatest common divisor by Euclid's rule, in as many rounds as the smaller number can need: five per digit."""
+    rounds = F.length(F.least(a, b).cast("string")) * 5
+    step = lambda acc, _: F.when(acc["b"] == 0, acc).otherwise(
+        F.struct(acc["b"].alias("a"), (acc["a"] % F.when(acc["b"] != 0, acc["b"])).alias("b"))
+    )
+    begin = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+    return F.aggregate(F.sequence(F.lit(1), rounds), begin, step)["a"]
