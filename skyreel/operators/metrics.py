@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import BEAT_BOUNDS_SECONDS
-from .ordered import Lane, block, lane, previous, running
+from .ordered import CHUNK, Lane, block, lane, previous, running
 
 # --- counters -----------------------------------------------------------------------------------
 
@@ -68,16 +68,29 @@ def nearest_rank(
     """Exact order statistics of an integer column per key, for groups of any size.
 
     Equal values collapse to a count first; a running count along blocks of the value range then finds
-    the value at each rank.  ``ranks`` maps a name to a zero-based rank, written over the column ``n``.
+    the value at each rank.  ``ranks`` maps a name to a zero-based rank, written over the column ``n``; the
+    number of rows ``n`` and their ``total`` come along.
     """
     counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__times"))
-    total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     on = lane(tuple(keys), value, block(value, block_size))
-    upto = running(counted, on, __upto=("sum", F.col("__times")))
-    placed = upto.join(total, list(keys))
+    placed = counted.withColumn(CHUNK, on.chunk)
+    blocks = placed.groupBy(*keys, CHUNK).agg(
+        F.sum("__times").alias("__in"), F.sum(F.col(value) * F.col("__times")).alias("__sum")
+    )
+    everywhere = Window.partitionBy(*keys)
+    earlier = on.across().rowsBetween(Window.unboundedPreceding, -1)
+    known = blocks.select(
+        *keys, CHUNK,
+        F.coalesce(F.sum("__in").over(earlier), F.lit(0)).alias("__before"),
+        F.sum("__in").over(everywhere).alias("n"),
+        F.sum("__sum").over(everywhere).alias("total"),
+    )
+    local = F.sum("__times").over(on.within().rowsBetween(Window.unboundedPreceding, 0))
+    upto = placed.withColumn("__local", local).join(known, [*keys, CHUNK]).withColumn("__upto", F.col("__before") + F.col("__local"))
     covers = lambda rank: (F.col("__upto") > rank) & (F.col("__upto") - F.col("__times") <= rank)
-    return placed.groupBy(*keys).agg(
-        F.first("n").alias("n"),
+    return upto.groupBy(*keys).agg(
+        F.max("n").alias("n"),
+        F.max("total").alias("total"),
         *[F.max(F.when(covers(rank), F.col(value))).alias(name) for name, rank in ranks.items()],
     )
 
@@ -145,11 +158,10 @@ def delivery_report(rates: DataFrame, offered_bps: float) -> DataFrame:
     """Median, 95th percentile, slowest and delivered share of per-stream rates (whole bits a second)."""
     last = F.col("n") - 1
     ranks = {"median": F.floor(F.col("n") / 2), "p95": F.least(F.floor(F.col("n") * 0.95), last), "slowest": last}
-    spread = nearest_rank(rates.withColumn("__all", F.lit(1)), ["__all"], "bps", ranks, 1 << 14)
-    total = rates.agg(F.sum("bps").alias("total_bps"), F.count(F.lit(1)).alias("__n")).withColumn("__all", F.lit(1))
-    share = F.col("total_bps") / (F.col("__n") * F.lit(float(offered_bps)))
-    return spread.join(total, "__all").select(
-        F.col("n").alias("streams"), "median", "p95", "slowest", "total_bps", share.alias("delivered_share")
+    spread = nearest_rank(rates, [], "bps", ranks, 1 << 14)
+    share = F.col("total") / (F.col("n") * F.lit(float(offered_bps)))
+    return spread.select(
+        F.col("n").alias("streams"), "median", "p95", "slowest", F.col("total").alias("total_bps"), share.alias("delivered_share")
     )
 
 

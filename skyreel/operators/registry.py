@@ -164,9 +164,8 @@ def adopt_candidates(
     # An order of its own per replica keeps a fleet from reaching for one source on the same beat.
     first = fair_pick(free, max_streams, me)
     spot = F.row_number().over(Window.orderBy(turn(F.col("name"), me), "name"))  # at most max_streams rows
-    load = local.agg(F.count(F.lit(1)).alias("__load")).withColumn("__one", F.lit(1))
-    ranked = first.withColumn("__spot", spot).withColumn("__one", F.lit(1)).join(load, "__one")
-    return ranked.where(F.col("__spot") <= max_streams - F.col("__load")).select("name", "url")
+    free_slots = F.lit(max_streams) - local.agg(F.count(F.lit(1))).scalar()
+    return first.withColumn("__spot", spot).where(F.col("__spot") <= free_slots).select("name", "url")
 
 
 def prune_stale_keys(cache: DataFrame, current: DataFrame, key: str = "name") -> DataFrame:

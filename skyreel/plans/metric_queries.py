@@ -85,7 +85,7 @@ from r group by kind""",
 )
 def _(t):
     ranks = {"p50": F.floor(F.col("n") / 2), "p99": F.floor(F.col("n") * 99 / 100)}
-    return metrics.nearest_rank(shapes.beats(t), ["kind"], "bytes", ranks, 4_096)
+    return metrics.nearest_rank(shapes.beats(t), ["kind"], "bytes", ranks, 4_096).drop("total")
 
 
 COUNTERS = f"""{BEATS}, totals as (select name, seq, at_us, seq as packets, seq * 1000 + bytes % 1000 as bytes, cast(k as bigint) as klv from beats)"""
