@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .ordered import Lane, lane, block, previous, running, sessions
+from .ordered import Lane, block, previous, running, sessions
 from .sequential import replay
 
 WINDOW_SECONDS = 30.0
@@ -308,9 +308,3 @@ def decode_plan(packets: DataFrame, on: Lane, rate: Column, seconds_per_tick: fl
     waiting = F.col("__skipped").isNotNull() & (F.col("__key").isNull() | (F.col("__skipped") > F.col("__key")))
     plan = newest.select(*spot, "keyframe_interval", (F.col("is_key") | ~waiting).alias("decode"))
     return packets.join(plan, spot)
-
-
-__all__ = [
-    "assign_segments", "segment_stats", "buffer_retained", "preroll_start", "packets_from", "newest_startable_packets",
-    "resume_shift", "rebase_timeline", "monotonic_dts", "keyframe_intervals", "decode_plan", "lane",
-]

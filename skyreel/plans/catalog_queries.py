@@ -38,9 +38,8 @@ def _(t):
 
 @query("s03_get_document", f"{CATALOG} select {FLAT} from catalog where id = '1234'")
 def _(t):
-    wanted = t.orders.where(F.col("o_orderkey") == 1234)  # the key the id text is made of: reaches the scan
-    source = type("One", (), {"orders": wanted})()
-    return flat(ops.get_document(shapes.catalog(source), "1234"))
+    narrowed = shapes.catalog(t).where("doc_no = 1234")  # the number the id is made of: reaches the scan
+    return flat(ops.get_document(narrowed, "1234"))
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators.ordered import Lane, block, lane, numbered, time_chunk
+from ..operators.ordered import Lane, block, lane, numbered
 from .registry import Tables
 
 EXTENSIONS = [".pdf", ".mp4", ".jpg", ".txt", ".ts", ".svg", ""]
@@ -224,5 +224,3 @@ def with_shapes(*shapes: str) -> str:
     """``with a as (...), b as (...)`` for the named shapes, to which a statement adds its own."""
     return "with " + ",\n".join(CTE[s] for s in shapes)
 
-
-__all__ = ["CTE", "with_shapes", "time_chunk"]

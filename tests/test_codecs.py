@@ -112,3 +112,13 @@ def test_vmti_round_trip(spark):
     assert (got[2].reported, got[2].timestamp_us, got[2].status) == (0, 8_000_000, "ok")
     raw = packets.where("frame = 1").first().data
     assert bytes.fromhex(uuid.replace("-", "")) in raw  # network order
+
+
+def test_table_functions(spark):
+    from skyreel.functions.udtfs import register
+
+    register(spark)
+    spark.createDataFrame([(packet(*MINIMUM),)], "data binary").createOrReplaceTempView("raw_packets")
+    row = spark.sql("select t.* from raw_packets, lateral decode_telemetry(data) t").first()
+    assert (row.status, row.mission_id, row.version) == ("ok", "MISSION-42", 14)
+    assert spark.sql("select t.status from raw_packets, lateral decode_vmti(data) t").first().status == "not_0903"
