@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import group_join
+from . import bpe, group_join
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,3 +28,14 @@ def query(name: str, sql: str | None = None):
 @query("op6_ngram_jaccard_join")
 def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return group_join.near_groups(table(spark, folder, "documents"))
+
+
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op4_bpe_codec")
+def bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(table(spark, folder, "documents"), vocabulary())
