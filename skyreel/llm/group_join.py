@@ -45,11 +45,15 @@ def set_table(texts: DataFrame, keys: DataFrame) -> DataFrame:
 
     def pack(batches):
         for batch in batches:
-            for found, _, _ in P.document_sets(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(found.key.view(np.int64)), pa.array([found.tokens[a:b].tobytes() for a, b in zip(found.first, found.last)], pa.binary())], ["key", "tokens"])
+            wanted, at = batch.column("key").to_numpy(zero_copy_only=False), 0
+            for found, ids, _ in P.document_sets(batch):
+                key = found.key.view(np.int64)
+                right = np.flatnonzero(key == wanted[at + found.unit])
+                at += len(ids)
+                tokens = [found.tokens[a:b].tobytes() for a, b in zip(found.first[right], found.last[right])]
+                yield pa.RecordBatch.from_arrays([pa.array(key[right]), pa.array(tokens, pa.binary())], ["key", "tokens"])
 
-    chosen = texts.join(keys.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")
-    return chosen.mapInArrow(pack, "key long, tokens binary").join(keys.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    return texts.join(keys.select("id", "key").hint("shuffle_hash"), "id").select("id", "text", "key").mapInArrow(pack, "key long, tokens binary")
 
 
 def _open_groups(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
@@ -110,9 +114,9 @@ def near_groups(documents: DataFrame) -> DataFrame:
     common = P.common_tokens(live, P.document_sets)
     packed = P.dealt(live, P.document_sets, common, P.buckets_for(volume, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     found = checkpointed(P.candidates(packed))
-    pairs = found.where(F.col("kind") == P.PAIR).select("a", "b").distinct()
-    members = found.where(F.col("kind") == P.MEMBER).select("token", "a", "n")
-    named = found.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    pairs = checkpointed(P.promising(found))
+    members = found.where(F.col("kind") == P.MEMBER).select("token", "a", F.col("na").alias("n"))
+    named = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(members.select(F.col("a").alias("key"))).distinct()
     sets = checkpointed(set_table(live, named.join(classes.select("key", "id"), "key")))
     links = P.verified(pairs, sets).select(F.col("a").alias("u"), F.col("b").alias("v"))
     first = components(links)

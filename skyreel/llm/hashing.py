@@ -116,7 +116,7 @@ def shingles(words: np.ndarray, unit: np.ndarray, size: int) -> tuple[np.ndarray
         for short in range(1, size):
             at = first[length == short]
             if len(at):
-                total = np.full(len(at), U(short) * STEP)
+                total = np.full(len(at), PLACES[short])
                 for k in range(short):
                     total += words[at + k] * PLACES[k]
                 out.append(mixed(total))

@@ -217,19 +217,20 @@ def similar_enough(nx, ny, ix, iy):
     return (DEN * np.minimum(nx, ny) >= NUM * np.maximum(nx, ny)) & ((NUM + DEN) * most >= NUM * (nx + ny))
 
 
-RUN_SCHEMA = "kind int, token long, a long, b long, n long, i int"
+RUN_SCHEMA = "kind int, token long, a long, b long, na long, nb long, shared long, close boolean"
 PAIR, MEMBER = 0, 1
 
 
 def runs(batches) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of sets that share a token. Runs of more than ALL_PAIRS sets give pairs with their PIVOTS (the
-    sets in which the token comes first) and one MEMBER row a set, for a second look."""
+    """Pairs of sets of fitting lengths that share tokens of their prefixes: in how many they met (``shared``), and
+    whether one of these passes the positional filter (``close``). Runs of more than ALL_PAIRS sets give pairs with
+    their PIVOTS (the sets in which the token comes first) and one MEMBER row a set, for a second look."""
 
-    def rows(kind, token, a, b, n, i):
-        size = len(a)
+    def rows(kind, token, a, b, na, nb, shared, close):
+        long = lambda x: pa.array(np.ascontiguousarray(x).astype(np.uint64, copy=False).view(np.int64))
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(size, kind, np.int32)), pa.array(token.view(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(i.astype(np.int32))],
-            names=["kind", "token", "a", "b", "n", "i"],
+            [pa.array(np.full(len(a), kind, np.int32)), long(token), long(a), long(b), long(na), long(nb), long(shared), pa.array(close)],
+            names=["kind", "token", "a", "b", "na", "nb", "shared", "close"],
         )
 
     for part in whole_buckets(batches):
@@ -239,28 +240,52 @@ def runs(batches) -> Iterator[pa.RecordBatch]:
         part = part[many > 1]
         many = many[many > 1]
         found = []
+
+        def meet(x, y, keep):
+            keep = keep & (DEN * np.minimum(x["n"], y["n"]).astype(np.int64) >= NUM * np.maximum(x["n"], y["n"]).astype(np.int64))
+            x, y = x[keep], y[keep]
+            turn = x["key"] > y["key"]
+            a, b = np.where(turn, y, x), np.where(turn, x, y)
+            found.append((a["key"], b["key"], a["n"], b["n"], similar_enough(x["n"], y["n"], x["i"], y["i"])))
+
         small, widest = part[many <= ALL_PAIRS], int(many[many <= ALL_PAIRS].max(initial=0))
         for step in range(1, widest):
             x, y = small[:-step], small[step:]
-            keep = (x["token"] == y["token"]) & similar_enough(x["n"], y["n"], x["i"], y["i"])
-            found.append(np.stack([x["key"][keep], y["key"][keep]]))
+            meet(x, y, x["token"] == y["token"])
         large = part[many > ALL_PAIRS]
         if len(large):
             large = large[np.lexsort((large["key"], large["i"], large["token"]))]
             _, first, last = hashing.spans(large["token"])
             start = np.repeat(first, last - first)
             for k in range(PIVOTS):
-                pivot = large[start + k]
-                keep = (np.arange(len(large)) > start + k) & similar_enough(large["n"], pivot["n"], large["i"], pivot["i"])
-                found.append(np.stack([large["key"][keep], pivot["key"][keep]]))
-            yield rows(MEMBER, large["token"], large["key"], large["key"], large["n"], large["i"])
+                meet(large, large[start + k], np.arange(len(large)) > start + k)
+            none = np.zeros(len(large), np.uint64)
+            yield rows(MEMBER, large["token"], large["key"], large["key"], large["n"], large["n"], none, none.astype(bool))
         if found:
-            pairs = np.concatenate(found, axis=1)
-            low, high = pairs.min(axis=0), pairs.max(axis=0)
-            pairs = np.unique(np.stack([low, high], axis=1), axis=0)
-            if len(pairs):
-                zero = np.zeros(len(pairs), np.uint64)
-                yield rows(PAIR, zero, np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), zero, zero)
+            a, b, na, nb, close = (np.concatenate(x) for x in zip(*found))
+            if len(a):
+                by = np.lexsort((b, a))
+                a, b, na, nb, close = a[by], b[by], na[by], nb[by], close[by]
+                at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+                shared = np.diff(np.r_[at, len(a)])
+                yield rows(PAIR, np.zeros(len(at), np.uint64), a[at], b[at], na[at], nb[at], shared, np.maximum.reduceat(close, at))
+
+
+def promising(found: DataFrame) -> DataFrame:
+    """The pairs (a, b) that can still be similar.
+
+    All common tokens but those that both prefixes hold lie behind the prefix that ends first, so with ``shared`` common
+    tokens in the prefixes the overlap is at most ``shared + max(ceil(t na), ceil(t nb)) - 1``. Tokens of long runs, in
+    which a pair may not have met, count as shared.
+    """
+    pairs = found.where(F.col("kind") == PAIR).groupBy("a", "b").agg(
+        F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("shared").alias("shared"), F.max("close").alias("close")
+    )
+    long = found.where(F.col("kind") == MEMBER).groupBy("a").agg(F.count(F.lit(1)).alias("la"))
+    need = lambda n: F.ceil(F.lit(NUM) * F.col(n) / F.lit(DEN))
+    pairs = pairs.where("close").join(long, "a", "left").join(long.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b", "left")
+    most = F.col("shared") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) + F.greatest(need("na"), need("nb")) - 1
+    return pairs.where((NUM + DEN) * most >= NUM * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def candidates(packed: DataFrame) -> DataFrame:
