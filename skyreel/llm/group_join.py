@@ -20,40 +20,8 @@ from .common import checkpointed, prepared
 from .components import components
 
 GROUP_MOST = 256
-
-
-def sketch(texts: DataFrame) -> DataFrame:
-    """For each row (id, text): n_shingles and two hashes (key, sig) of its shingle set; 0 shingles: no hashes."""
-
-    def measure(batches):
-        for batch in batches:
-            size = len(batch)
-            n, key, sig = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
-            at = 0
-            for found, ids, _ in P.document_sets(batch):
-                rows = at + found.unit
-                n[rows], key[rows], sig[rows] = found.size, found.key.view(np.int64), found.check.view(np.int64)
-                at += len(ids)
-            none = n == 0
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(key, mask=none), pa.array(sig, mask=none)], ["id", "n_shingles", "key", "sig"])
-
-    return texts.mapInArrow(measure, "id long, n_shingles long, key long, sig long")
-
-
-def set_table(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, tokens) of the sets named in ``keys`` (key, id): the texts of those rows are read again."""
-
-    def pack(batches):
-        for batch in batches:
-            wanted, at = batch.column("key").to_numpy(zero_copy_only=False), 0
-            for found, ids, _ in P.document_sets(batch):
-                key = found.key.view(np.int64)
-                right = np.flatnonzero(key == wanted[at + found.unit])
-                at += len(ids)
-                tokens = [found.tokens[a:b].tobytes() for a, b in zip(found.first[right], found.last[right])]
-                yield pa.RecordBatch.from_arrays([pa.array(key[right]), pa.array(tokens, pa.binary())], ["key", "tokens"])
-
-    return texts.join(keys.select("id", "key").hint("shuffle_hash"), "id").select("id", "text", "key").mapInArrow(pack, "key long, tokens binary")
+NO_WORDS = r"id is null or text is null or not rlike(text, '[^\\x20\\x09-\\x0D]')"
+"""Rows that take no part: without a doc_id, a text, or a word."""
 
 
 def _open_groups(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
@@ -101,23 +69,23 @@ def _open_groups(members: DataFrame, labels: DataFrame, sets: DataFrame) -> Data
 def near_groups(documents: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), n_classes.
 
-    Rows without words, with null text or null doc_id link with nothing; a null doc_id keeps a null component. Rows that
+    Rows without words, with null text or null doc_id have no shingles and link with nothing; a null doc_id keeps a null component. Rows that
     repeat a doc_id are compared like others. Extra columns are not read. ``n_classes`` counts the different sets in the
     component.
     """
     spark = prepared(documents.sparkSession)
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    rows = checkpointed(sketch(texts))
-    classes = rows.where("key is not null and id is not null").groupBy("key", "sig").agg(F.min("id").alias("id"))
-    volume = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.lit(0).cast("long").alias("mark"), F.col("text").cast("string").alias("text"))
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    seen = checkpointed(P.survey(texts.where("id is not null and text is not null"), P.document_sets))
+    rows = seen.where(F.col("kind") == P.UNIT)
+    classes = rows.groupBy("key", "sig").agg(F.min("id").alias("id"))
+    volume = rows.agg(F.sum("n")).first()[0] or 0
     live = texts.where("id is not null and text is not null")
-    common = P.common_tokens(live, P.document_sets)
-    packed = P.dealt(live, P.document_sets, common, P.buckets_for(volume, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    found = checkpointed(P.candidates(packed))
+    found = checkpointed(P.candidates(P.dealt(live, P.document_sets, P.common_tokens(seen), P.buckets_for(volume, width))))
     pairs = checkpointed(P.promising(found))
     members = found.where(F.col("kind") == P.MEMBER).select("token", "a", F.col("na").alias("n"))
     named = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(members.select(F.col("a").alias("key"))).distinct()
-    sets = checkpointed(set_table(live, named.join(classes.select("key", "id"), "key")))
+    sets = checkpointed(P.set_table(live, P.document_sets, named.join(classes.select("key", "id"), "key")))
     links = P.verified(pairs, sets).select(F.col("a").alias("u"), F.col("b").alias("v"))
     first = components(links)
     labels = first.select(F.col("node").alias("a"), "root")
@@ -126,6 +94,6 @@ def near_groups(documents: DataFrame) -> DataFrame:
     labelled = classes.join(final.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = labelled.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("n_classes"))
     member = labelled.join(least, "root").select("key", "sig", "component_id", "n_classes")
-    return rows.join(member, ["key", "sig"], "left").select(
-        F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_classes", F.lit(1)).cast("long").alias("n_classes")
-    )
+    grouped = rows.join(member, ["key", "sig"]).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "n_classes")
+    nothing = texts.where(NO_WORDS).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(1).cast("long").alias("n_classes"))
+    return grouped.unionByName(nothing)

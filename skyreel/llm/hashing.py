@@ -98,9 +98,9 @@ def word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def shingles(words: np.ndarray, unit: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(words: np.ndarray, unit: np.ndarray, size: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Hash and unit of every ``size``-word shingle inside a unit (a document, a line), in order of units; a shorter
-    unit is one shingle as a whole. ``unit`` ascends."""
+    unit of at least ``least`` words is one shingle as a whole. ``unit`` ascends."""
     count = len(words)
     out, owner = [], []
     if count >= size:
@@ -110,10 +110,10 @@ def shingles(words: np.ndarray, unit: np.ndarray, size: int) -> tuple[np.ndarray
             total += words[whole + k] * PLACES[k]
         out.append(mixed(total))
         owner.append(unit[whole])
-    if count:
+    if count and least < size:
         first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
         length = np.diff(np.r_[first, count])
-        for short in range(1, size):
+        for short in range(least, size):
             at = first[length == short]
             if len(at):
                 total = np.full(len(at), PLACES[short])
@@ -128,8 +128,14 @@ def shingles(words: np.ndarray, unit: np.ndarray, size: int) -> tuple[np.ndarray
 
 def sets(hashes: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of each unit, ascending inside it; units ascend."""
-    order = np.lexsort((hashes, unit))
-    hashes, unit = hashes[order], unit[order]
+    if len(hashes):
+        bits = 64 - int(unit.max()).bit_length()
+        packed = (unit.astype(U) << U(bits)) | (hashes >> U(64 - bits)) if bits < 64 else hashes
+        order = np.argsort(packed)
+        packed, hashes, unit = packed[order], hashes[order], unit[order]
+        if ((packed[1:] == packed[:-1]) & (hashes[1:] != hashes[:-1])).any():  # equal leading bits of different hashes
+            order = np.lexsort((hashes, unit))
+            hashes, unit = hashes[order], unit[order]
     keep = np.r_[True, (hashes[1:] != hashes[:-1]) | (unit[1:] != unit[:-1])] if len(hashes) else np.zeros(0, bool)
     return hashes[keep], unit[keep]
 

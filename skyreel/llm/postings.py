@@ -50,71 +50,86 @@ class Sets:
 
 
 Reader = Callable[[pa.RecordBatch], Iterator[tuple[Sets, np.ndarray, np.ndarray]]]
-"""Yields the sets of a slice, and for each unit number its row's id and its number within the row."""
+"""Yields the sets of a slice, and for each unit number its row in the batch and its number within the row."""
 
 
 def document_sets(batch: pa.RecordBatch) -> Iterator[tuple[Sets, np.ndarray, np.ndarray]]:
     """One unit a row: the row's whole text."""
     data, offsets = hashing.text_bytes(batch.column("text"))
-    ids = batch.column("id").to_numpy(zero_copy_only=False)
     for a, b in hashing.pieces(data, offsets):
         part = data[offsets[a] : offsets[b]]
         starts = offsets[a:b] - offsets[a]
         words, at = hashing.word_hashes(part, starts)
         unit = np.searchsorted(starts, at, "right") - 1
-        yield Sets(*hashing.shingles(words, unit, SHINGLE)), ids[a:b], np.zeros(b - a, np.int64)
+        yield Sets(*hashing.shingles(words, unit, SHINGLE)), np.arange(a, b), np.zeros(b - a, np.int64)
 
 
 def line_sets(batch: pa.RecordBatch) -> Iterator[tuple[Sets, np.ndarray, np.ndarray]]:
-    """One unit a line, numbered from 0 in its row; lines end at a newline."""
+    """One unit a line of at least SHINGLE words, numbered from 0 in its row; lines end at a newline."""
     data, offsets = hashing.text_bytes(batch.column("text"))
-    ids = batch.column("id").to_numpy(zero_copy_only=False)
     for a, b in hashing.pieces(data, offsets):
         part = data[offsets[a] : offsets[b]]
         rows = offsets[a:b] - offsets[a]
-        breaks = np.flatnonzero(part == hashing.NEWLINE) + 1
-        row_of_break = np.searchsorted(offsets[a : b + 1] - offsets[a], breaks - 1, "right") - 1
-        starts = np.r_[rows, breaks]
-        owner = np.r_[np.arange(b - a), row_of_break]
-        order = np.lexsort((starts, owner))
-        starts, owner = starts[order], owner[order]
-        begin = np.searchsorted(owner, owner, "left")
-        words, at = hashing.word_hashes(part, np.minimum(starts, len(part)))
+        words, at = hashing.word_hashes(part, rows)
+        breaks = np.flatnonzero(part == hashing.NEWLINE)
         row = np.searchsorted(rows, at, "right") - 1
-        # empty rows share their start with the next row: look a word's line up inside its own row
-        wide = owner * (len(part) + 2) + starts
-        unit = np.searchsorted(wide, row * (len(part) + 2) + at, "right") - 1
-        yield Sets(*hashing.shingles(words, unit, SHINGLE)), ids[a:b][owner], np.arange(len(owner)) - begin
+        line = np.searchsorted(breaks, at, "left")  # newlines before the word, in the slice
+        unit = line + row  # ascends, and differs between rows and between lines
+        number = np.zeros(int(unit[-1]) + 1 if len(unit) else 0, np.int64)
+        owner = np.zeros(len(number), np.int64)
+        owner[unit] = row + a
+        number[unit] = line - np.searchsorted(breaks, rows[row], "left")
+        yield Sets(*hashing.shingles(words, unit, SHINGLE, SHINGLE)), owner, number
 
 
-def common_tokens(rows: DataFrame, reader: Reader, least: int = COMMON_LEAST, most: int = COMMON_MOST) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that many sets hold, with counts, ascending by token.
+UNIT, TOKEN = 0, 1
 
-    Every task counts all tokens of its rows and passes on those that it meets twice in a chunk; the sums are taken over
-    the whole corpus. At most ``most`` of them reach the driver. The table only orders tokens: results don't depend on it.
-    """
 
-    def count(batches):
+def survey(texts: DataFrame, reader: Reader) -> DataFrame:
+    """One pass over (id, mark, text). UNIT rows: id, mark and number of every unit with tokens, the size n of its set and
+    two hashes (key, sig) of it. TOKEN rows: tokens (key) that a task meets in several different sets of a chunk, with
+    counts (n)."""
+
+    def look(batches):
         held, total = [], 0
 
+        def row(kind, id_, mark, number, n, key, sig):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), id_, mark, pa.array(number), pa.array(n), pa.array(key), pa.array(sig)], ["kind", "id", "mark", "number", "n", "key", "sig"])
+
         def flush():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             twice = counts > 1
-            return pa.RecordBatch.from_arrays([pa.array(values[twice].view(np.int64)), pa.array(counts[twice])], ["token", "n"])
+            values, counts = values[twice], counts[twice]
+            none = pa.nulls(len(values), pa.int64())
+            zero = np.zeros(len(values), np.int64)
+            return row(TOKEN, none, none, zero, counts.astype(np.int64), values.view(np.int64), zero)
 
         for batch in batches:
-            for found, _, _ in reader(batch):
-                held.append(found.tokens)
-                total += len(found.tokens)
+            for found, rows, number in reader(batch):
+                at = pa.array(rows[found.unit])
+                yield row(UNIT, batch.column("id").take(at), batch.column("mark").take(at), number[found.unit], found.size, found.key.view(np.int64), found.check.view(np.int64))
+                _, once = np.unique(found.key, return_index=True)
+                fresh = np.zeros(len(found.key), bool)
+                fresh[once] = True
+                held.append(found.tokens[np.repeat(fresh, found.size)])
+                total += len(held[-1])
                 if total >= CHUNK:
                     yield flush()
                     held, total = [], 0
         if held:
             yield flush()
 
-    counted = rows.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    got = counted.orderBy(F.desc("n"), "token").limit(most).toArrow()
-    tokens, counts = got["token"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    return texts.mapInArrow(look, "kind int, id long, mark long, number long, n long, key long, sig long")
+
+
+def common_tokens(seen: DataFrame, least: int = COMMON_LEAST, most: int = COMMON_MOST) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that many sets hold, with counts, ascending by token: sums of the survey's counts over the whole corpus.
+
+    At most ``most`` of them reach the driver. The table only orders tokens: results don't depend on it.
+    """
+    counted = seen.where(F.col("kind") == TOKEN).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    got = counted.orderBy(F.desc("n"), "key").limit(most).toArrow()
+    tokens, counts = got["key"].to_numpy().view(np.uint64), got["n"].to_numpy()
     order = np.argsort(tokens)
     return tokens[order], counts[order]
 
@@ -137,20 +152,32 @@ class Order:
         return out
 
 
-def prefixes(found: Sets, order: Order) -> np.ndarray:
-    """The postings of a slice's sets."""
-    if not len(found.tokens):
+def prefixes(found: Sets, order: Order, chosen: np.ndarray) -> np.ndarray:
+    """The postings of the ``chosen`` sets of a slice."""
+    if not chosen.any():
         return np.zeros(0, POSTING)
-    owner = np.repeat(np.arange(len(found.unit)), found.size)
-    rank, tokens = order.rank(found.tokens), found.tokens
-    if rank.any():
-        moved = np.lexsort((tokens, rank, owner))
-        tokens = tokens[moved]
-    place = np.arange(len(tokens)) - found.first[owner]
-    keep = place < (found.size - needed(found.size) + 1)[owner]
+    tokens = found.tokens[np.repeat(chosen, found.size)]
+    size, key = found.size[chosen], found.key[chosen]
+    owner = np.repeat(np.arange(len(size)), size)
+    first = np.cumsum(size) - size
+    rank = order.rank(tokens)
+    late = np.flatnonzero(rank)
+    if len(late):  # the common ones go behind the others of their set
+        early = np.flatnonzero(rank == 0)
+        moved = late[np.lexsort((tokens[late], rank[late], owner[late]))]
+        ahead = np.bincount(owner[early], minlength=len(size))
+        place = np.empty(len(tokens), np.int64)
+        place[early] = (np.arange(len(early)) - (np.cumsum(ahead) - ahead)[owner[early]]) + first[owner[early]]
+        behind = np.bincount(owner[moved], minlength=len(size))
+        place[moved] = (np.arange(len(moved)) - (np.cumsum(behind) - behind)[owner[moved]]) + (first + ahead)[owner[moved]]
+        ordered = np.empty_like(tokens)
+        ordered[place] = tokens
+        tokens = ordered
+    place = np.arange(len(tokens)) - first[owner]
+    keep = place < (size - needed(size) + 1)[owner]
     owner, place = owner[keep], place[keep]
     out = np.empty(len(owner), POSTING)
-    out["token"], out["key"], out["n"], out["i"] = tokens[keep], found.key[owner], found.size[owner], np.minimum(place, PLACE_MOST)
+    out["token"], out["key"], out["n"], out["i"] = hashing.mixed(tokens[keep]), key[owner], size[owner], np.minimum(place, PLACE_MOST)
     return out
 
 
@@ -165,25 +192,27 @@ def dealt(rows: DataFrame, reader: Reader, common: tuple[np.ndarray, np.ndarray]
 
     def pack(batches):
         order = Order(*shared.value)
-        held, total = [], 0
+        held, total, met = [], 0, set()
 
         def flush():
             part = np.concatenate(held)
-            bucket = (part["token"] % np.uint64(buckets)).astype(np.int32)
-            by = np.lexsort((part["key"], part["token"], bucket))
-            part, bucket = part[by], bucket[by]
-            fresh = np.r_[True, (part["token"][1:] != part["token"][:-1]) | (part["key"][1:] != part["key"][:-1])]
-            part, bucket = part[fresh], bucket[fresh]
+            part = part[np.argsort(part["token"])]
+            bucket = ((part["token"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
             which, first, last = hashing.spans(bucket)
             return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([part[a:b].tobytes() for a, b in zip(first, last)], pa.binary())], ["bucket", "postings"])
 
         for batch in batches:
             for found, _, _ in reader(batch):
-                held.append(prefixes(found, order))
+                chosen = np.zeros(len(found.key), bool)
+                for at, key in enumerate(found.key.tolist()):  # a set that this chunk has had adds nothing
+                    if key not in met:
+                        met.add(key)
+                        chosen[at] = True
+                held.append(prefixes(found, order, chosen))
                 total += len(held[-1])
                 if total >= CHUNK:
                     yield flush()
-                    held, total = [], 0
+                    held, total, met = [], 0, set()
         if total:
             yield flush()
 
@@ -191,13 +220,16 @@ def dealt(rows: DataFrame, reader: Reader, common: tuple[np.ndarray, np.ndarray]
 
 
 def whole_buckets(batches) -> Iterator[np.ndarray]:
-    """The postings of each bucket, sorted by token and set, each once."""
+    """The postings of each bucket whose token occurs again, sorted by token and set, each once."""
     current, held = None, []
 
     def done():
         part = np.concatenate([np.frombuffer(h, POSTING) for h in held])
+        part = part[np.argsort(part["token"])]
+        same = part["token"][1:] == part["token"][:-1]
+        part = part[np.r_[False, same] | np.r_[same, False]]
         part = part[np.lexsort((part["key"], part["token"]))]
-        return part[np.r_[True, (part["token"][1:] != part["token"][:-1]) | (part["key"][1:] != part["key"][:-1])]]
+        return part[np.r_[True, (part["token"][1:] != part["token"][:-1]) | (part["key"][1:] != part["key"][:-1])]] if len(part) else part
 
     for batch in batches:
         for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("postings")):
@@ -224,7 +256,7 @@ PAIR, MEMBER = 0, 1
 def runs(batches) -> Iterator[pa.RecordBatch]:
     """Pairs of sets of fitting lengths that share tokens of their prefixes: in how many they met (``shared``), and
     whether one of these passes the positional filter (``close``). Runs of more than ALL_PAIRS sets give pairs with
-    their PIVOTS (the sets in which the token comes first) and one MEMBER row a set, for a second look."""
+    their PIVOTS (the sets in which the token comes first) and one MEMBER row a set (its size in na, its place in nb), for a second look."""
 
     def rows(kind, token, a, b, na, nb, shared, close):
         long = lambda x: pa.array(np.ascontiguousarray(x).astype(np.uint64, copy=False).view(np.int64))
@@ -234,7 +266,9 @@ def runs(batches) -> Iterator[pa.RecordBatch]:
         )
 
     for part in whole_buckets(batches):
-        token, first, last = hashing.spans(part["token"])
+        if not len(part):
+            continue
+        _, first, last = hashing.spans(part["token"])
         length = last - first
         many = np.repeat(length, length)
         part = part[many > 1]
@@ -260,7 +294,7 @@ def runs(batches) -> Iterator[pa.RecordBatch]:
             for k in range(PIVOTS):
                 meet(large, large[start + k], np.arange(len(large)) > start + k)
             none = np.zeros(len(large), np.uint64)
-            yield rows(MEMBER, large["token"], large["key"], large["key"], large["n"], large["n"], none, none.astype(bool))
+            yield rows(MEMBER, large["token"], large["key"], large["key"], large["n"], large["i"], none, none.astype(bool))
         if found:
             a, b, na, nb, close = (np.concatenate(x) for x in zip(*found))
             if len(a):
@@ -301,6 +335,25 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum()) if len(y) else 0
 
 
+def set_table(texts: DataFrame, reader: Reader, keys: DataFrame) -> DataFrame:
+    """(key, tokens) of the sets named in ``keys`` (id, key): the texts of those rows are read again."""
+
+    def pack(batches):
+        for batch in batches:
+            lists = batch.column("keys")
+            wanted = lists.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            asked = set(zip(owner.tolist(), wanted.tolist()))
+            for found, rows, _ in reader(batch):
+                key = found.key.view(np.int64)
+                right = [k for k, pair in enumerate(zip(rows[found.unit].tolist(), key.tolist())) if pair in asked]
+                tokens = [found.tokens[found.first[k] : found.last[k]].tobytes() for k in right]
+                yield pa.RecordBatch.from_arrays([pa.array(key[right]), pa.array(tokens, pa.binary())], ["key", "tokens"])
+
+    named = keys.groupBy("id").agg(F.collect_set("key").alias("keys")).hint("shuffle_hash")
+    return texts.join(named, "id").select("id", "text", "keys").mapInArrow(pack, "key long, tokens binary")
+
+
 def linked(common: int, nx: int, ny: int) -> bool:
     return DEN * common >= NUM * (nx + ny - common)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, group_join
+from . import bpe, group_join, line_dedup
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,3 +39,10 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 @query("op4_bpe_codec")
 def bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), vocabulary())
+
+
+@query("op9_line_dedup")
+def line_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    kept = line_dedup.without_later_lines(documents)
+    return kept.select("doc_id", F.size(F.split("text", "\n")).alias("n_lines"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
