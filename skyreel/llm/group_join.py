@@ -24,6 +24,11 @@ NO_WORDS = r"id is null or text is null or not rlike(text, '[^\\x20\\x09-\\x0D]'
 """Rows that take no part: without a doc_id, a text, or a word."""
 
 
+def _fitting(large: str, small: str):
+    """Whether sets of at most ``large`` tokens can be similar to sets of at least ``small``."""
+    return (F.col(large) * P.DEN >= F.col(small) * P.NUM) | (F.col(large) >= P.MOST)
+
+
 def _open_groups(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Links across groups that the first look could not see."""
     rows = members.join(labels, "a", "left").select("token", F.col("a").alias("key"), "n", F.coalesce("root", "a").alias("label"))
@@ -34,9 +39,9 @@ def _open_groups(members: DataFrame, labels: DataFrame, sets: DataFrame) -> Data
     # of two groups in a run the one with fewer rows asks
     meet = held.join(other, "token").where(
         (F.struct("rows", "label") < F.struct("o_rows", "o_label"))
-        & (F.col("most") * P.DEN >= F.col("o_least") * P.NUM) & (F.col("o_most") * P.DEN >= F.col("least") * P.NUM)
+        & _fitting("most", "o_least") & _fitting("o_most", "least")
     ).select("token", "label", "o_label", "o_least", "o_most")
-    asks = rows.join(meet, ["token", "label"]).where((F.col("n") * P.DEN >= F.col("o_least") * P.NUM) & (F.col("o_most") * P.DEN >= F.col("n") * P.NUM))
+    asks = rows.join(meet, ["token", "label"]).where(_fitting("n", "o_least") & _fitting("o_most", "n"))
     asks = checkpointed(asks.select("key", F.col("o_label").alias("label")).distinct())
     # the members of the asked groups, in groups of GROUP_MOST at most (on average)
     asked = labels.select(F.col("a").alias("key"), F.col("root").alias("label")).join(asks.select("label").distinct(), "label", "left_semi")

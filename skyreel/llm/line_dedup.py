@@ -47,8 +47,7 @@ def later_lines(documents: DataFrame) -> DataFrame:
         most = F.least(F.col("n") - F.col("i"), F.col("nb") - F.col("ib"))
         meet = left.join(before, "token").where(
             (F.col("at_b") < F.col("at"))
-            & (P.DEN * F.least("n", "nb") >= P.NUM * F.greatest("n", "nb"))
-            & ((P.NUM + P.DEN) * most >= P.NUM * (F.col("n") + F.col("nb")))
+            & ((F.greatest("n", "nb") >= P.MOST) | (P.DEN * F.least("n", "nb") >= P.NUM * F.greatest("n", "nb")) & ((P.NUM + P.DEN) * most >= P.NUM * (F.col("n") + F.col("nb"))))
         ).select(F.col("key").alias("a"), "b").distinct()
         gone = checkpointed(gone.unionByName(P.verified(meet, sets).select(F.col("a").alias("key"))).distinct())
     kept = place.join(gone.withColumn("gone", F.lit(True)), "key", "left").select("key", "sig", "at", F.coalesce("gone", F.lit(False)).alias("gone"))
@@ -64,7 +63,10 @@ def without_later_lines(documents: DataFrame) -> DataFrame:
     Every row stays; a text may end up empty. Null texts, and rows with a null doc_id, stay as they are. Rows that repeat
     a doc_id and a text count as one. Other columns go through.
     """
-    gone = later_lines(documents).groupBy("id", "mark").agg(F.collect_set("number").alias("__gone"))
+    lines = checkpointed(later_lines(documents))
+    gone = lines.groupBy("id", "mark").agg(F.collect_set("number").alias("__gone"))
+    if lines.count() <= P.BROADCAST_ROWS:
+        gone = F.broadcast(gone)
     rows = documents.withColumn("__mark", F.xxhash64("text")).withColumn("__id", F.col("doc_id").cast("long"))
     joined = rows.join(gone.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "__gone"), ["__id", "__mark"], "left")
     lines = F.split("text", "\n")

@@ -26,9 +26,13 @@ COMMON_MOST = 1 << 17
 CHUNK = 1 << 20
 """Tokens a task counts or packs at once."""
 BUCKET_ROWS = 400_000
-PLACE_MOST = 65_535
-"""Places in the order are kept up to here; a smaller place only weakens a filter."""
-POSTING = np.dtype([("token", "<u8"), ("key", "<u8"), ("n", "<u4"), ("i", "<u2")])
+BROADCAST_ROWS = 1 << 19
+"""A list of rows to read again is broadcast up to so many (about 40 bytes each), else joined by a shuffle."""
+MOST = 65_535
+"""Sizes and places are kept exactly below this. A larger set passes the filters unseen and is decided by its exact
+overlap; a smaller place only weakens a filter."""
+POSTING = np.dtype([("token", "<u4"), ("key", "<u8"), ("n", "<u2"), ("i", "<u2")])
+"""32 bits of a token besides those that choose its bucket: a chance match only makes a candidate more."""
 ALL_PAIRS = 16
 """Sets that share a token are compared pair by pair up to so many, else with PIVOTS of them first."""
 PIVOTS = 6
@@ -152,10 +156,10 @@ class Order:
         return out
 
 
-def prefixes(found: Sets, order: Order, chosen: np.ndarray) -> np.ndarray:
-    """The postings of the ``chosen`` sets of a slice."""
+def prefixes(found: Sets, order: Order, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The postings of the ``chosen`` sets of a slice, and their tokens, mixed."""
     if not chosen.any():
-        return np.zeros(0, POSTING)
+        return np.zeros(0, POSTING), np.zeros(0, np.uint64)
     tokens = found.tokens[np.repeat(chosen, found.size)]
     size, key = found.size[chosen], found.key[chosen]
     owner = np.repeat(np.arange(len(size)), size)
@@ -177,8 +181,8 @@ def prefixes(found: Sets, order: Order, chosen: np.ndarray) -> np.ndarray:
     keep = place < (size - needed(size) + 1)[owner]
     owner, place = owner[keep], place[keep]
     out = np.empty(len(owner), POSTING)
-    out["token"], out["key"], out["n"], out["i"] = hashing.mixed(tokens[keep]), key[owner], size[owner], np.minimum(place, PLACE_MOST)
-    return out
+    out["key"], out["n"], out["i"] = key[owner], np.minimum(size, MOST)[owner], np.minimum(place, MOST)
+    return out, hashing.mixed(tokens[keep])
 
 
 def buckets_for(tokens: int, width: int) -> int:
@@ -195,9 +199,11 @@ def dealt(rows: DataFrame, reader: Reader, common: tuple[np.ndarray, np.ndarray]
         held, total, met = [], 0, set()
 
         def flush():
-            part = np.concatenate(held)
-            part = part[np.argsort(part["token"])]
-            bucket = ((part["token"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            token = np.concatenate([t for _, t in held])
+            by = np.argsort(token)
+            part, token = np.concatenate([p for p, _ in held])[by], token[by]
+            bucket = ((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            part["token"] = token.astype(np.uint32)
             which, first, last = hashing.spans(bucket)
             return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([part[a:b].tobytes() for a, b in zip(first, last)], pa.binary())], ["bucket", "postings"])
 
@@ -209,7 +215,7 @@ def dealt(rows: DataFrame, reader: Reader, common: tuple[np.ndarray, np.ndarray]
                         met.add(key)
                         chosen[at] = True
                 held.append(prefixes(found, order, chosen))
-                total += len(held[-1])
+                total += len(held[-1][1])
                 if total >= CHUNK:
                     yield flush()
                     held, total, met = [], 0, set()
@@ -242,11 +248,17 @@ def whole_buckets(batches) -> Iterator[np.ndarray]:
         yield done()
 
 
+def fitting(nx, ny):
+    """Length filter."""
+    nx, ny = np.asarray(nx).astype(np.int64), np.asarray(ny).astype(np.int64)
+    return (DEN * np.minimum(nx, ny) >= NUM * np.maximum(nx, ny)) | (np.maximum(nx, ny) >= MOST)
+
+
 def similar_enough(nx, ny, ix, iy):
     """Length and positional filters for two sets whose first common token lies at places ``ix`` and ``iy``."""
     nx, ny, ix, iy = (np.asarray(v).astype(np.int64) for v in (nx, ny, ix, iy))
     most = np.minimum(nx - ix, ny - iy)
-    return (DEN * np.minimum(nx, ny) >= NUM * np.maximum(nx, ny)) & ((NUM + DEN) * most >= NUM * (nx + ny))
+    return fitting(nx, ny) & (((NUM + DEN) * most >= NUM * (nx + ny)) | (np.maximum(nx, ny) >= MOST))
 
 
 RUN_SCHEMA = "kind int, token long, a long, b long, na long, nb long, shared long, close boolean"
@@ -276,7 +288,7 @@ def runs(batches) -> Iterator[pa.RecordBatch]:
         found = []
 
         def meet(x, y, keep):
-            keep = keep & (DEN * np.minimum(x["n"], y["n"]).astype(np.int64) >= NUM * np.maximum(x["n"], y["n"]).astype(np.int64))
+            keep = keep & fitting(x["n"], y["n"])
             x, y = x[keep], y[keep]
             turn = x["key"] > y["key"]
             a, b = np.where(turn, y, x), np.where(turn, x, y)
@@ -319,7 +331,7 @@ def promising(found: DataFrame) -> DataFrame:
     need = lambda n: F.ceil(F.lit(NUM) * F.col(n) / F.lit(DEN))
     pairs = pairs.where("close").join(long, "a", "left").join(long.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b", "left")
     most = F.col("shared") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) + F.greatest(need("na"), need("nb")) - 1
-    return pairs.where((NUM + DEN) * most >= NUM * (F.col("na") + F.col("nb"))).select("a", "b")
+    return pairs.where(((NUM + DEN) * most >= NUM * (F.col("na") + F.col("nb"))) | (F.greatest("na", "nb") >= MOST)).select("a", "b")
 
 
 def candidates(packed: DataFrame) -> DataFrame:
@@ -350,7 +362,8 @@ def set_table(texts: DataFrame, reader: Reader, keys: DataFrame) -> DataFrame:
                 tokens = [found.tokens[found.first[k] : found.last[k]].tobytes() for k in right]
                 yield pa.RecordBatch.from_arrays([pa.array(key[right]), pa.array(tokens, pa.binary())], ["key", "tokens"])
 
-    named = keys.groupBy("id").agg(F.collect_set("key").alias("keys")).hint("shuffle_hash")
+    named = keys.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    named = F.broadcast(named) if keys.count() <= BROADCAST_ROWS else named.hint("shuffle_hash")
     return texts.join(named, "id").select("id", "text", "keys").mapInArrow(pack, "key long, tokens binary")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, group_join, line_dedup
+from . import bpe, decontamination, group_join, line_dedup
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,3 +46,8 @@ def line_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     kept = line_dedup.without_later_lines(documents)
     return kept.select("doc_id", F.size(F.split("text", "\n")).alias("n_lines"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
+@query("op2_benchmark_decontamination")
+def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
