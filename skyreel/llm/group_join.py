@@ -29,24 +29,32 @@ def _fitting(large: str, small: str):
     return (F.col(large) * P.DEN >= F.col(small) * P.NUM) | (F.col(large) >= P.MOST)
 
 
-def _open_groups(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links across groups that the first look could not see."""
+def _open_groups(members: DataFrame, labels: DataFrame, set_of) -> DataFrame:
+    """Links across groups that the first look could not see: those of pairs that only met in long runs.
+
+    ``set_of`` reads the sets of a table of keys.
+    """
     rows = members.join(labels, "a", "left").select("token", F.col("a").alias("key"), "n", F.coalesce("root", "a").alias("label"))
-    held = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least"), F.max("n").alias("most"))
+    held = rows.groupBy("token", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     split = held.groupBy("token").agg(F.count(F.lit(1)).alias("labels")).where("labels > 1").select("token")
-    held = checkpointed(held.join(split, "token"))
+    size = rows.select("label", "key").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
+    held = checkpointed(held.join(split, "token").join(size, "label"))
     other = held.select("token", *(F.col(c).alias(f"o_{c}") for c in ("label", "rows", "least", "most")))
-    # of two groups in a run the one with fewer rows asks
-    meet = held.join(other, "token").where(
-        (F.struct("rows", "label") < F.struct("o_rows", "o_label"))
-        & _fitting("most", "o_least") & _fitting("o_most", "least")
-    ).select("token", "label", "o_label", "o_least", "o_most")
+    # of two groups the one with fewer members asks
+    meet = held.join(other, "token").where((F.struct("rows", "label") < F.struct("o_rows", "o_label")) & _fitting("most", "o_least") & _fitting("o_most", "least"))
+    meet = meet.select("token", "label", "o_label", "o_least", "o_most")
     asks = rows.join(meet, ["token", "label"]).where(_fitting("n", "o_least") & _fitting("o_most", "n"))
-    asks = checkpointed(asks.select("key", F.col("o_label").alias("label")).distinct())
+    asks = asks.groupBy("key", F.col("o_label").alias("label")).agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.min("o_least").alias("least"), F.max("o_most").alias("most"))
+    # the bound on shared tokens is weakest at the ends of the group's sizes
+    low = F.least(F.greatest("least", F.ceil(F.col("n") * P.NUM / P.DEN)), "most")
+    high = F.greatest(F.least("most", F.floor(F.col("n") * P.DEN / P.NUM)), "least")
+    asks = asks.where(P.reachable(F.col("shared"), F.col("n"), low) | P.reachable(F.col("shared"), F.col("n"), high))
+    asks = checkpointed(asks.select("key", "label"))
     # the members of the asked groups, in groups of GROUP_MOST at most (on average)
     asked = labels.select(F.col("a").alias("key"), F.col("root").alias("label")).join(asks.select("label").distinct(), "label", "left_semi")
     alone = asks.select("label").distinct().join(labels.select(F.col("root").alias("label")).distinct(), "label", "left_anti")
     asked = asked.select("key", "label").unionByName(alone.select(F.col("label").alias("key"), "label"))
+    sets = checkpointed(set_of(asked.select("key").unionByName(asks.select("key")).distinct()))
     width = asked.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP_MOST)).cast("int").alias("width"))
     groups = asked.join(width, "label").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("width")).cast("int")).join(sets, "key")
     queries = asks.join(width, "label").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("width") - 1))).join(sets, "key")
@@ -89,12 +97,12 @@ def near_groups(documents: DataFrame) -> DataFrame:
     found = checkpointed(P.candidates(P.dealt(live, P.document_sets, P.common_tokens(seen), P.buckets_for(volume, width))))
     pairs = checkpointed(P.promising(found))
     members = found.where(F.col("kind") == P.MEMBER).select("token", "a", F.col("na").alias("n"))
-    named = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(members.select(F.col("a").alias("key"))).distinct()
-    sets = checkpointed(P.set_table(live, P.document_sets, named.join(classes.select("key", "id"), "key")))
-    links = P.verified(pairs, sets).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    set_of = lambda keys: P.set_table(live, P.document_sets, keys.join(classes.select("key", "id"), "key"))
+    sets = set_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    links = P.verified(pairs, checkpointed(sets)).select(F.col("a").alias("u"), F.col("b").alias("v"))
     first = components(links)
     labels = first.select(F.col("node").alias("a"), "root")
-    more = _open_groups(members, labels, sets).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    more = _open_groups(members, labels, set_of).select(F.col("a").alias("u"), F.col("b").alias("v"))
     final = components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     labelled = classes.join(final.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = labelled.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("n_classes"))

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
@@ -317,21 +317,27 @@ def runs(batches) -> Iterator[pa.RecordBatch]:
                 yield rows(PAIR, np.zeros(len(at), np.uint64), a[at], b[at], na[at], nb[at], shared, np.maximum.reduceat(close, at))
 
 
+def reachable(shared: Column, nx: Column, ny: Column) -> Column:
+    """Whether sets of these sizes with at most so many common prefix tokens can be similar."""
+    need = lambda n: F.ceil(F.lit(NUM) * n / F.lit(DEN))
+    most = shared + F.greatest(need(nx), need(ny)) - 1
+    return ((NUM + DEN) * most >= NUM * (nx + ny)) | (F.greatest(nx, ny) >= MOST)
+
+
 def promising(found: DataFrame) -> DataFrame:
     """The pairs (a, b) that can still be similar.
 
     All common tokens but those that both prefixes hold lie behind the prefix that ends first, so with ``shared`` common
     tokens in the prefixes the overlap is at most ``shared + max(ceil(t na), ceil(t nb)) - 1``. Tokens of long runs, in
-    which a pair may not have met, count as shared.
+    which a pair may not have met, count as shared, and may hold the first common token, for the positional filter.
     """
     pairs = found.where(F.col("kind") == PAIR).groupBy("a", "b").agg(
         F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("shared").alias("shared"), F.max("close").alias("close")
     )
     long = found.where(F.col("kind") == MEMBER).groupBy("a").agg(F.count(F.lit(1)).alias("la"))
-    need = lambda n: F.ceil(F.lit(NUM) * F.col(n) / F.lit(DEN))
-    pairs = pairs.where("close").join(long, "a", "left").join(long.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b", "left")
-    most = F.col("shared") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) + F.greatest(need("na"), need("nb")) - 1
-    return pairs.where(((NUM + DEN) * most >= NUM * (F.col("na") + F.col("nb"))) | (F.greatest("na", "nb") >= MOST)).select("a", "b")
+    pairs = pairs.join(long, "a", "left").join(long.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b", "left")
+    unmet = F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
+    return pairs.where(F.col("close") | (unmet > 0)).where(reachable(F.col("shared") + unmet, F.col("na"), F.col("nb"))).select("a", "b")
 
 
 def candidates(packed: DataFrame) -> DataFrame:

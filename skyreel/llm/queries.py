@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, group_join, line_dedup
+from . import bpe, decontamination, group_join, language, line_dedup, toxicity
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +51,23 @@ def line_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_benchmark_decontamination")
 def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def held_out(parts: int, remainder: int):
+    """Whether crc32 of the doc_id leaves ``remainder``; false for a null doc_id."""
+    return F.coalesce(fold("doc_id", parts) == remainder, F.lit(False))
+
+
+@query("op7_toxicity")
+def toxicity_query(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.train(documents, labels.where(~held_out(5, 0)).select("doc_id", F.col("toxic").alias("y")))
+    found = toxicity.scored(documents, model)
+    return found.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+
+
+@query("op8_language_id")
+def language_query(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    learned = language.dictionaries(documents.where(~held_out(3, 1)).select("doc_id", "text", "lang"))
+    return language.identified(documents, learned).select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score", "rejected")
