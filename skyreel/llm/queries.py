@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, group_join, language, line_dedup, toxicity
+from . import bpe, decontamination, group_join, language, line_dedup, quality, top_k, toxicity
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,30 @@ def language_query(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     learned = language.dictionaries(documents.where(~held_out(3, 1)).select("doc_id", "text", "lang"))
     return language.identified(documents, learned).select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op3_quality_classifier")
+def quality_query(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    found = quality.scored(documents, labels.where(~held_out(4, 2)).select("doc_id", F.col("quality").alias("y")))
+    return found.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_rules")
+
+
+@query(
+    "op5_exact_top_k",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    ), met AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+    )
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM met QUALIFY rank <= 10
+    """,
+)
+def top_k_query(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return top_k.top_k(vectors, vectors.where("vec_id % 100 = 0"))
