@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import configure, cut_lineage
 
-__all__ = ["checkpointed", "fold", "prepared", "table"]
+__all__ = ["checkpointed", "fold", "prepared", "shared_folder", "table"]
 
 BATCH_ROWS = 256
 """Rows of an Arrow batch that carries whole texts."""
@@ -32,3 +32,12 @@ def fold(key: Column | str, parts: int) -> Column:
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows written once in the cluster's shared checkpoint folder."""
     return cut_lineage(df)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all hosts of the cluster share, as a URI."""
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
+        checkpointed(spark.range(1))
+    place = context.getCheckpointDir().get()
+    return place if "://" in place else f"file://{place.removeprefix('file:')}"

@@ -15,6 +15,8 @@ from . import postings as P
 from .common import checkpointed, prepared
 
 EARLIEST = 4
+BROADCAST_LINES = 1 << 21
+"""The list of lines to cut is broadcast up to so many (at most about 60 bytes each), else joined by a shuffle."""
 
 
 def _later(links: DataFrame, place: DataFrame) -> DataFrame:
@@ -29,14 +31,15 @@ def later_lines(documents: DataFrame) -> DataFrame:
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
     seen = checkpointed(P.survey(texts, P.line_sets))
     lines = seen.where(F.col("kind") == P.UNIT)
-    place = checkpointed(lines.groupBy("key", "sig").agg(F.min(F.struct("id", "mark", "number")).alias("at")))
+    classes = checkpointed(lines.groupBy("key", "sig").agg(F.min(F.struct("id", "mark", "number")).alias("at"), F.count(F.lit(1)).alias("lines")))
     volume = lines.agg(F.sum("n")).first()[0] or 0
     packed = P.dealt(texts, P.line_sets, P.common_tokens(seen), P.buckets_for(volume, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     found = checkpointed(P.candidates(packed))
     pairs = checkpointed(P.promising(found))
     members = found.where(F.col("kind") == P.MEMBER).select("token", F.col("a").alias("key"), F.col("na").alias("n"), F.col("nb").alias("i"))
     named = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(members.select("key")).distinct()
-    sets = checkpointed(P.set_table(texts, P.line_sets, named.join(place.select("key", F.col("at.id").alias("id")), "key")).dropDuplicates(["key"]))
+    place = checkpointed(classes.select("key", "at").join(named, "key"))  # of the classes that met another
+    sets = checkpointed(P.set_table(texts, P.line_sets, place.select("key", F.col("at.id").alias("id"))))
     gone = checkpointed(_later(P.verified(pairs, sets), place))
     # classes of long runs that are left: against the earliest of their runs, then against all that come before them
     placed = checkpointed(members.join(place.select("key", "at"), "key"))
@@ -50,10 +53,9 @@ def later_lines(documents: DataFrame) -> DataFrame:
             & ((F.greatest("n", "nb") >= P.MOST) | (P.DEN * F.least("n", "nb") >= P.NUM * F.greatest("n", "nb")) & ((P.NUM + P.DEN) * most >= P.NUM * (F.col("n") + F.col("nb"))))
         ).select(F.col("key").alias("a"), "b").distinct()
         gone = checkpointed(gone.unionByName(P.verified(meet, sets).select(F.col("a").alias("key"))).distinct())
-    kept = place.join(gone.withColumn("gone", F.lit(True)), "key", "left").select("key", "sig", "at", F.coalesce("gone", F.lit(False)).alias("gone"))
     # only classes with something to remove meet their lines again
-    again = lines.groupBy("key", "sig").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("key", "sig", F.lit(True).alias("many"))
-    touched = kept.join(again, ["key", "sig"], "left").where("gone or many").drop("many")
+    kept = classes.join(gone.withColumn("gone", F.lit(True)), "key", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    touched = kept.where("gone or lines > 1").select("key", "sig", "at", "gone")
     return lines.join(touched, ["key", "sig"]).where(F.col("gone") | (F.struct("id", "mark", "number") != F.col("at"))).select("id", "mark", "number")
 
 
@@ -65,7 +67,7 @@ def without_later_lines(documents: DataFrame) -> DataFrame:
     """
     lines = checkpointed(later_lines(documents))
     gone = lines.groupBy("id", "mark").agg(F.collect_set("number").alias("__gone"))
-    if lines.count() <= P.BROADCAST_ROWS:
+    if lines.count() <= BROADCAST_LINES:
         gone = F.broadcast(gone)
     rows = documents.withColumn("__mark", F.xxhash64("text")).withColumn("__id", F.col("doc_id").cast("long"))
     joined = rows.join(gone.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "__gone"), ["__id", "__mark"], "left")

@@ -364,7 +364,11 @@ def set_table(texts: DataFrame, reader: Reader, keys: DataFrame) -> DataFrame:
             asked = set(zip(owner.tolist(), wanted.tolist()))
             for found, rows, _ in reader(batch):
                 key = found.key.view(np.int64)
-                right = [k for k, pair in enumerate(zip(rows[found.unit].tolist(), key.tolist())) if pair in asked]
+                right = []
+                for k, pair in enumerate(zip(rows[found.unit].tolist(), key.tolist())):
+                    if pair in asked:
+                        asked.remove(pair)
+                        right.append(k)
                 tokens = [found.tokens[found.first[k] : found.last[k]].tobytes() for k in right]
                 yield pa.RecordBatch.from_arrays([pa.array(key[right]), pa.array(tokens, pa.binary())], ["key", "tokens"])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, group_join, language, line_dedup, quality, top_k, toxicity
+from . import bpe, decontamination, group_join, language, line_dedup, quality, surrogates, token_files, top_k, toxicity
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +98,18 @@ def quality_query(spark: SparkSession, folder: str) -> DataFrame:
 def top_k_query(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return top_k.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+END_OF_DOCUMENT = 49_407
+
+
+@query("op10_token_counts")
+def token_count_query(spark: SparkSession, folder: str) -> DataFrame:
+    coded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), vocabulary(), special=False)
+    return token_files.counts_of_documents(coded, END_OF_DOCUMENT)
+
+
+@query("op1_pii_surrogates")
+def surrogate_query(spark: SparkSession, folder: str) -> DataFrame:
+    found = surrogates.replaced(table(spark, folder, "documents"), key="benchmark key")
+    return found.select("doc_id", "text", "n_entities", "kinds")
