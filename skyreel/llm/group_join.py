@@ -110,3 +110,16 @@ def near_groups(documents: DataFrame) -> DataFrame:
     grouped = rows.join(member, ["key", "sig"]).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "n_classes")
     nothing = texts.where(NO_WORDS).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(1).cast("long").alias("n_classes"))
     return grouped.unionByName(nothing)
+
+
+def first_of_groups(documents: DataFrame) -> DataFrame:
+    """``documents`` with one row of each group of near copies: that of the smallest doc_id.
+
+    Rows that link with nothing stay, among them those without words, text or doc_id. doc_id is the key: rows that repeat
+    it stay or go together.
+    """
+    gone = checkpointed( near_groups(documents).where("doc_id is not null and n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct())
+    if gone.count() <= P.BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    left = documents.withColumn("__id", F.col("doc_id").cast("long")).join(gone.withColumnRenamed("doc_id", "__id"), "__id", "left_anti")
+    return left.select(*documents.columns)
