@@ -96,11 +96,11 @@ def to_frame(
         gain, at = letterbox_gain(width, height, size), place(width, height, strategy, size)
         px, py = at.getField("left"), at.getField("top")
         fx1, fy1, fx2, fy2 = (x1 - px) / gain, (y1 - py) / gain, (x2 - px) / gain, (y2 - py) / gain
-    one = F.lit(1)
-    left = _clamp(F.rint(fx1).cast("int") + 1, one, width)
-    top = _clamp(F.rint(fy1).cast("int") + 1, one, height)
-    right = F.greatest(left, _clamp(F.rint(fx2).cast("int"), one, width))
-    bottom = F.greatest(top, _clamp(F.rint(fy2).cast("int"), one, height))
+    # clamped as doubles: what a model returns may lie beyond an int, or be no number at all
+    pixel = lambda edge, most, first: _clamp(F.rint(F.nanvl(edge, F.lit(0.0))) + first, F.lit(1.0), most.cast("double")).cast("int")
+    left, top = pixel(fx1, width, 1.0), pixel(fy1, height, 1.0)
+    right = F.greatest(left, pixel(fx2, width, 0.0))
+    bottom = F.greatest(top, pixel(fy2, height, 0.0))
     return F.struct(left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom"))
 
 

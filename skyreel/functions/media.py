@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import names
 from .constants import MAGIC_BYTES, MEDIA_TYPES, MODEL_ALIASES, UNKNOWN_TYPE
 
 HEAD_BYTES = 512
@@ -22,7 +23,7 @@ def guess_content_type(file_name: Column) -> Column:
 
 
 def _useless(content_type: Column) -> Column:
-    return content_type.isNull() | (F.trim(content_type) == "") | (content_type == UNKNOWN_TYPE)
+    return content_type.isNull() | (names.trimmed(content_type) == "") | (content_type == UNKNOWN_TYPE)
 
 
 def effective_type(content_type: Column, file_name: Column) -> Column:
@@ -77,8 +78,8 @@ def resolve_content_type(declared: Column, file_name: Column, content: Column) -
 
 def normalize_model(model: Column) -> Column:
     """Canonical detector name; null for the worker's default; an unknown name fails the query."""
-    word = F.lower(F.trim(model))
-    default = model.isNull() | (F.trim(model) == "") | (F.lower(model) == "default")
+    word = F.lower(names.trimmed(model))
+    default = model.isNull() | (names.trimmed(model) == "") | (F.lower(model) == "default")
     known = _literal_map(MODEL_ALIASES)[word]
     return F.when(default, F.lit(None).cast("string")).otherwise(
         F.coalesce(
@@ -152,7 +153,7 @@ def stream_label(kind: Column, ordinal: Column) -> Column:
 
 def meaningful(value: Column) -> Column:
     """The trimmed value, or null for blanks and probe placeholders."""
-    return F.when((F.trim(value) != "") & ~value.isin("N/A", "unknown"), F.trim(value))
+    return F.when((names.trimmed(value) != "") & ~value.isin("N/A", "unknown"), names.trimmed(value))
 
 
 def put_if_meaningful(entries: Column, key: Column, value: Column) -> Column:

@@ -10,6 +10,11 @@ NAME_PATTERN = r"^[A-Za-z0-9._/-]{1,128}$"
 MAX_IDENTIFIER_BYTES = 512
 
 
+def trimmed(text: Column) -> Column:
+    """Without leading and trailing white space of any kind."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def last_segment(path: Column) -> Column:
     return F.element_at(F.split(path, "/", -1), -1)
 
@@ -17,12 +22,12 @@ def last_segment(path: Column) -> Column:
 def sanitize_file_name(name: Column) -> Column:
     """Drop any client path; a name that is only blanks becomes ``file``."""
     bare = F.regexp_replace(last_segment(F.regexp_replace(name, r"\\", "/")), "\u0000", "_")
-    return F.when(F.trim(bare) == "", F.lit("file")).otherwise(bare)
+    return F.when(trimmed(bare) == "", F.lit("file")).otherwise(bare)
 
 
 def file_name_from_key(key: Column) -> Column:
     last = last_segment(key)
-    return F.when(F.trim(last) == "", key).otherwise(last)
+    return F.when(trimmed(last) == "", key).otherwise(last)
 
 
 def document_key(doc_id: Column, name: Column) -> Column:
@@ -84,7 +89,7 @@ def scheme_of(url: Column) -> Column:
 
 
 def scheme_allowed(url: Column, allowed: list[str]) -> Column:
-    blank = url.isNull() | (F.trim(url) == "")
+    blank = url.isNull() | (trimmed(url) == "")
     return ~blank & F.coalesce(scheme_of(url).isin([a.lower() for a in allowed]), F.lit(False))
 
 
@@ -124,9 +129,9 @@ def name_rejection(candidate: Column) -> Column:
 
 
 def _presented(identifier: Column) -> Column:
-    """Identifier without padding NULs and blanks, with the percent-escaped envelope undone."""
-    bare = F.trim(F.regexp_replace(identifier, "\u0000+$", ""))
-    return F.when(bare.startswith("%23!::"), F.concat(F.lit("#!::"), F.substring(bare, 7, 1 << 20))).otherwise(bare)
+    """Identifier without padding NULs and white space, with the percent-escaped envelope undone."""
+    bare = trimmed(F.regexp_replace(identifier, "\u0000+$", ""))
+    return F.when(bare.startswith("%23!::"), F.concat(F.lit("#!::"), bare.substr(F.lit(7), F.length(bare)))).otherwise(bare)
 
 
 def envelope_pairs(content: Column) -> Column:
@@ -145,14 +150,14 @@ def envelope_pairs(content: Column) -> Column:
 
 
 def _strict_pairs(identifier: Column) -> Column:
-    return F.when(identifier.startswith("#!::"), envelope_pairs(F.substring(identifier, 5, 1 << 20)))
+    return F.when(identifier.startswith("#!::"), envelope_pairs(identifier.substr(F.lit(5), F.length(identifier))))
 
 
 def parse_stream_id(identifier: Column, intent: str = "publish") -> Column:
     """``struct(name, rejection)`` of a presented identifier; exactly one of the two is null."""
     value = _presented(identifier)
     enveloped = value.startswith("#!::")
-    pairs = envelope_pairs(F.substring(value, 5, 1 << 20))
+    pairs = envelope_pairs(value.substr(F.lit(5), F.length(value)))
     refused_mode, refusal = {
         "publish": ("request", "the caller asked to receive (m=request) and this is the ingest port"),
         "subscribe": ("publish", "the caller offered to send (m=publish) and this is the consumption port"),
@@ -177,7 +182,7 @@ def parse_stream_id(identifier: Column, intent: str = "publish") -> Column:
 
 def preroll_position(identifier: Column) -> Column:
     """Seconds a viewer asked to start back from the live edge, or null."""
-    asked = F.trim(_strict_pairs(identifier)["user_from"]).try_cast("double")
+    asked = trimmed(_strict_pairs(identifier)["user_from"]).try_cast("double")
     return F.when(asked > 0, asked)
 
 

@@ -303,9 +303,14 @@ def assemble_parts(parts: DataFrame) -> DataFrame:
     return parts.groupBy("doc_no").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("part_count"))
 
 
-def part_lists(parts: DataFrame, key: Column, per_list: int = 1_000) -> DataFrame:
-    """The ordered part list of each document in consecutive slices of at most ``per_list`` parts."""
-    slice_no = F.floor((F.col("part_no") - 1) / F.lit(per_list))
+def part_lists(parts: DataFrame, key: Column) -> DataFrame:
+    """The whole ordered part list of each document, one row a document."""
+    return part_slices(parts, key, None).drop("slice_no")
+
+
+def part_slices(parts: DataFrame, key: Column, per_slice: int | None = 1_000) -> DataFrame:
+    """Part lists as they are stored: consecutive slices of at most ``per_slice`` parts."""
+    slice_no = F.lit(0).cast("long") if per_slice is None else F.floor((F.col("part_no") - 1) / F.lit(per_slice))
     entry = F.struct(F.col("part_no"), key.alias("key"), F.col("size"))
     return (
         parts.withColumn("slice_no", slice_no)

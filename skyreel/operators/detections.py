@@ -102,7 +102,7 @@ def decode_sorted_rows(
     every = F.when(count > 0, F.sequence(F.lit(0), count - 1))
     end = F.coalesce(F.array_min(F.filter(every, lambda r: at(r, 4) <= cutoff)), count)
     table = class_table(family)
-    named = lambda r: F.when(at(r, 5) > -1, F.get(table, at(r, 5).cast("int")))
+    named = lambda r: F.when((at(r, 5) > -1) & (at(r, 5) < F.size(table)), F.get(table, at(r, 5).cast("int")))
     kept_rows = F.filter(every, lambda r: (r < end) & named(r).isNotNull())
     kept = [c for c in tensors.columns if c != rows]
     hits = tensors.select(*kept, rows, F.posexplode(kept_rows).alias("__n", "__r"))

@@ -85,7 +85,8 @@ def recording_sessions(triggers: DataFrame, on: Lane, at_us: str = "at_us", seco
     outlast the cap - and only those - are replayed in order to find where the next recording starts.
     """
     lasting = F.lit(RECORDING_SECONDS) if seconds is None else seconds
-    until = F.col(at_us) + (lasting.cast("double") * 1e6).cast("long")
+    lasting = lasting.cast("double") if cap_seconds is None else F.least(lasting.cast("double"), F.lit(float(cap_seconds)))
+    until = F.col(at_us) + (lasting * 1e6).cast("long")
     timed = triggers.select(*dict.fromkeys([*on.keys, *on.order, at_us]), until.alias("__until"))
     ends = running(timed, on, inclusive=False, __open=("max", F.col("__until")))
     fresh = F.col("__open").isNull() | (F.col(at_us) >= F.col("__open"))
@@ -123,7 +124,7 @@ class _CappedRecordings:
                 self.open = (started, max(ends, min(until, started + self.cap)), triggers + 1)
                 continue
             done.extend(self.finish())
-            self.open = (at, until, 1)
+            self.open = (at, min(until, at + self.cap), 1)
         return done
 
     def finish(self) -> list[tuple]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import BEAT_BOUNDS_SECONDS
 from .ordered import CHUNK, Lane, block, lane, previous, running
+from .sampling import due_rows
 
 # --- counters -----------------------------------------------------------------------------------
 
@@ -95,10 +96,6 @@ def nearest_rank(
     )
 
 
-def approximate_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: list[float]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.percentile_approx(value, probabilities, 10_000).alias("quantiles"))
-
-
 # --- deltas and rates ---------------------------------------------------------------------------
 
 
@@ -127,19 +124,24 @@ def throughput_bps(totals: DataFrame, on: Lane, total: str = "bytes", at_us: str
     return before.withColumn("bits_per_second", rate).drop("__bytes", "__at")
 
 
-def observed_rate(samples: DataFrame, on: Lane, packets: str = "packets", at_us: str = "at_us") -> DataFrame:
+def observed_rate(samples: DataFrame, on: Lane, packets: str = "packets", at_us: str = "at_us", least_seconds: float = 1.0) -> DataFrame:
     """Packets a second over each sampling window, reported as the smaller of it and the one before.
 
-    ``on`` is keyed by stream and connection, rows are the sampling instants (see
-    :func:`skyreel.operators.sampling.due_rows` for thinning faster polls to them); the first row of a
-    connection only sets the mark, and its first window reports zero.
+    ``on`` is keyed by stream and connection.  A window closes with the first poll at least ``least_seconds`` after the
+    poll that closed the one before; polls in between repeat what was last reported and have no ``window_rate``.  The
+    first row of a connection only sets the mark, and its first window reports zero.
     """
-    marked = previous(samples, on, __p=F.col(packets), __t=F.col(at_us))
-    window = (F.col(packets) - F.col("__p")) / ((F.col(at_us) - F.col("__t")) / 1e6)
-    measured = marked.withColumn("window_rate", window).drop("__p", "__t")
+    spot = [*on.keys, *on.order]
+    timed = samples.select(*spot, F.col(packets).alias("__p"), (F.col(at_us) / 1e6).alias("__s"))
+    closing = due_rows(timed, on, "__s", 1 / least_seconds)
+    marked = previous(closing, on, __bp=F.col("__p"), __bs=F.col("__s"))
+    measured = marked.select(*spot, ((F.col("__p") - F.col("__bp")) / (F.col("__s") - F.col("__bs"))).alias("window_rate"))
     again = previous(measured, on, __before=F.col("window_rate"))
     rate = F.least(F.col("window_rate"), F.coalesce("__before", F.lit(0.0)))
-    return again.withColumn("observed_rate", F.coalesce(F.when(F.col("window_rate").isNotNull(), rate), F.lit(0.0))).drop("__before")
+    closed = again.select(*spot, "window_rate", F.coalesce(F.when(F.col("window_rate").isNotNull(), rate), F.lit(0.0)).alias("__rate"))
+    every = samples.join(closed, spot, "left")
+    told = previous(every, on, where=F.col("__rate").isNotNull(), inclusive=True, observed_rate=F.col("__rate"))
+    return told.drop("__rate")
 
 
 def snapshot_delta(before: DataFrame, after: DataFrame, seconds: float) -> DataFrame:

@@ -54,8 +54,8 @@ def buffer_retained(
     size = "__size"
     segments = cut_lineage(segment_stats(segmented, on, size))
     seg_lane = Lane(on.keys, ("segment",), block("segment", 1 << 12))
-    ordered = previous(segments, seg_lane, __end=F.col("end_pts"))
-    odd = (F.col("bytes") > ceiling) | (F.col("end_pts") < F.col("__end"))
+    ordered = previous(segments, seg_lane, __end=F.col("end_pts"), __start=F.col("start_pts"))
+    odd = (F.col("bytes") > ceiling) | (F.col("end_pts") < F.col("__end")) | (F.col("start_pts") < F.col("__start"))
     shape = ordered.groupBy(*keys).agg(
         F.max(odd).alias("__odd"), F.max("segment").alias("__last"), F.max_by("end_pts", "segment").alias("__live_edge")
     )
@@ -76,9 +76,7 @@ def buffer_retained(
     )
 
     strange = shape.where("__odd").select(*keys)
-    if strange.isEmpty():
-        return closed
-    rows = segmented.join(strange, keys, "left_semi")
+    rows = segmented.join(strange, keys, "left_semi")  # often none
     types = dict(segmented.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + (
         ", segment long, start_pts long, end_pts long, bytes long, startable boolean, ceiling_binding boolean"
@@ -122,17 +120,21 @@ class _Buffer:
             newest[2] = max(newest[2], pts)
             newest[3] += size
             self.bytes += size
-            self._evict()
+            self._keep_suffix()
         return []
 
-    def _evict(self) -> None:
-        while self.segments:
-            heavy = self.bytes > self.ceiling
-            if not heavy and (self.segments[-1][2] - self.segments[0][1] <= self.window or len(self.segments) == 1):
-                return
-            self.binding = heavy
-            self.bytes -= self.segments.pop(0)[3]
-        self.binding = True
+    def _keep_suffix(self) -> None:
+        """The longest suffix that is light enough and, unless it is the newest segment alone, begins in the window."""
+        count, edge, rest, light = len(self.segments), self.segments[-1][2], self.bytes, 0
+        while rest > self.ceiling:
+            rest -= self.segments[light][3]
+            light += 1
+        starts = (i for i in range(light, count) if i == count - 1 or edge - self.segments[i][1] <= self.window)
+        cut = next(starts, count)
+        if cut:
+            self.binding = cut == light
+            self.bytes -= sum(s[3] for s in self.segments[:cut])
+            del self.segments[:cut]
 
     def finish(self) -> list[tuple]:
         return [(*self.who, *segment, self.binding) for segment in self.segments]
@@ -221,7 +223,7 @@ def rebase_timeline(
     where = [*keys, "__run", *on.order]
     fields = ", ".join(f"{c} {types.get(c, 'long')}" for c in where)
     found = replay(
-        runs.join(suspect, [*keys, "__run"], "left_semi").where("__s is not null").select(*where, "__s"),
+        runs.join(suspect, [*keys, "__run"], "left_semi").select(*where, "__s"),
         [*keys, "__run"],
         list(on.order),
         lambda: _Breaks(limit),
@@ -250,7 +252,9 @@ class _Breaks:
     def feed(self, rows: list[tuple]) -> list[tuple]:
         out = []
         for *where, stamp in rows:
-            if self.top is not None and stamp < self.top - self.limit:
+            if stamp is None:  # goes with the stretch it arrives in
+                pass
+            elif self.top is not None and stamp < self.top - self.limit:
                 self.sub += 1
                 self.top = stamp
             else:

@@ -154,7 +154,7 @@ def adopt_candidates(
 ) -> DataFrame:
     """Pull sources this replica should pick up, in an order of its own, up to its free slots.
 
-    ``local(name)`` is on air here, ``attempted(name, at_us)`` was tried from here.
+    ``local(name)`` is on air here, ``attempted(name, at_us)`` was tried from here. ``max_streams`` 0 is no limit.
     """
     elsewhere = registry.where(_held_live("", as_of_us, beat_us) & (F.col("owner") != me)).select("name")
     recent = attempted.where(as_of_us - F.col("at_us") < backoff_us).select("name")
@@ -162,6 +162,8 @@ def adopt_candidates(
     for taken in (local.select("name"), elsewhere, recent):
         free = free.join(taken, "name", "left_anti")
     # An order of its own per replica keeps a fleet from reaching for one source on the same beat.
+    if max_streams == 0:
+        return free
     first = fair_pick(free, max_streams, me)
     spot = F.row_number().over(Window.orderBy(turn(F.col("name"), me), "name"))  # at most max_streams rows
     free_slots = F.lit(max_streams) - local.agg(F.count(F.lit(1))).scalar()

@@ -20,7 +20,6 @@ from .sequential import replay
 FLOOR = 0.1
 SECOND_MATCH = 0.5
 CONFIRM_MATCH = 0.7
-PENDING_STEPS = 10_000
 
 ACTIVE, LOST, GONE = 1, 2, 0  # the numbers ST 0903 gives active, dropped and inactive
 
@@ -291,22 +290,24 @@ class _Run:
 # --- the job ------------------------------------------------------------------------------------
 
 
-def pending_steps(frames: DataFrame, packets: DataFrame, block_rows: int = 65_536) -> DataFrame:
-    """``frames(stream, seq, pts, ...)`` with how many of ``packets(stream, seq, pts)`` lie strictly between it and
-    the frame before: the steps the motion model takes in between.  ``seq`` is the shared arrival order."""
-    names = frames.columns
-    rows = frames.withColumn("__frame", F.lit(True)).unionByName(
-        packets.where("pts is not null").select("stream", "seq", "pts", F.lit(False).alias("__frame")), allowMissingColumns=True
+def pending_steps(frames: DataFrame, packets: DataFrame, block_rows: int = 65_536, block_ticks: int = 1 << 20) -> DataFrame:
+    """``frames(stream, seq, pts, ...)`` with the steps the motion model takes before each: the packets of
+    ``packets(stream, seq, pts)`` that have arrived by then and lie between it and the frame before in time, whenever
+    they arrived since the clock last stepped back.  ``seq`` is the shared arrival order."""
+    rows = frames.select("stream", "seq", "pts", F.lit(1).alias("__frame")).unionByName(
+        packets.where("pts is not null").select("stream", "seq", "pts", F.lit(0).alias("__frame"))
     )
-    on = Lane(("stream",), ("seq", "__frame"), block("seq", block_rows))
-    is_frame = F.col("__frame")
-    # Several passes follow over a few narrow columns: they are written once and read back by each.
-    placed = cut_lineage(around(rows, on, is_frame, pts=F.col("pts")))
-    between = ~is_frame & (F.col("pts") > F.col("before_pts")) & (F.col("pts") < F.col("after_pts"))
-    counted = running(placed, on, __steps=("count", F.when(between, 1)))
-    marked = previous(counted, on, where=is_frame, __earlier=F.col("__steps"))
-    steps = F.least(F.col("__steps") - F.coalesce("__earlier", F.lit(0)), F.lit(PENDING_STEPS))
-    return marked.where(is_frame).select(*names, steps.alias("steps_before"))
+    arrival = Lane(("stream",), ("seq", "__frame"), block("seq", block_rows))
+    is_frame = F.col("__frame") == 1
+    earlier = previous(rows, arrival, where=is_frame, __last=F.col("pts"))
+    back = is_frame & (F.col("__last").isNull() | (F.col("pts") < F.col("__last")))
+    # Narrow rows, read by the passes along the clock.
+    clocked = cut_lineage(sessions(earlier, arrival, back, "__clock").select("stream", "__clock", "seq", "pts", "__frame"))
+    along = Lane(("stream", "__clock"), ("pts", "__frame", "seq"), block("pts", block_ticks))
+    placed = around(clocked, along, is_frame, pts=F.col("pts"), seq=F.col("seq"))
+    between = ~is_frame & F.col("before_pts").isNotNull() & (F.col("after_pts") > F.col("pts")) & (F.col("seq") < F.col("after_seq"))
+    counted = placed.where(between).groupBy("stream", F.col("after_seq").alias("seq")).agg(F.count(F.lit(1)).alias("__steps"))
+    return frames.join(counted, ["stream", "seq"], "left").select(*frames.columns, F.coalesce("__steps", F.lit(0)).cast("long").alias("steps_before"))
 
 
 def track_objects(

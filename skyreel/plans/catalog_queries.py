@@ -318,9 +318,12 @@ def _(t):
     return flat(ops.search_documents(shapes.catalog(t), NTZ("1999-05-05 12:00:00"), when="today"))
 
 
-@query("t01_newest_first", f"{CATALOG} select id, created_at from catalog order by created_at desc, id limit 100")
+@query("t01_newest_first", f"{CATALOG} select id, created_at, row_number() over (order by created_at desc, id) as position from catalog")
 def _(t):
-    return ops.list_documents(shapes.catalog(t).select("id", "created_at")).limit(100)
+    from ..operators.listing import positioned
+
+    rows = shapes.catalog(t).select("id", "created_at", (-names.micros(F.col("created_at"))).alias("age"))
+    return positioned(rows, ["age", "id"]).select("id", "created_at", "position")
 
 
 @query(
@@ -466,15 +469,15 @@ def _(t):
 
 @query(
     "a01_part_lists",
-    f"""{with_shapes("parts")} select doc_no, cast((part_no - 1) // 4 as bigint) as slice_no,
+    f"""{with_shapes("parts")} select doc_no,
   string_agg('recordings/' || doc_no || '/' || lpad(cast(part_no - 1 as varchar), 5, '0') || '.ts=' || size, ' '
     order by part_no) as parts from parts group by all""",
 )
 def _(t):
     key = names.part_key(F.col("doc_no").cast("string"), F.col("part_no") - 1, ".ts")
-    lists = ops.part_lists(shapes.parts(t), key, per_list=4)
+    lists = ops.part_lists(shapes.parts(t), key)
     text = F.array_join(F.transform("parts", lambda p: F.concat_ws("=", p["key"], p["size"].cast("string"))), " ")
-    return lists.select("doc_no", "slice_no", text.alias("parts"))
+    return lists.select("doc_no", text.alias("parts"))
 
 
 @query("w01_part_offsets", f"{OFFSETS} select * from offsets")

@@ -140,11 +140,6 @@ def _(t):
     return positioned(rows, ["weakness", "det", "frame"]).select("det", "frame", "confidence", "position")
 
 
-@query("t06_top_detections", f"{BOXES} select det, frame from boxes order by coalesce(confidence, 100) desc, det, frame limit 50")
-def _(t):
-    return ops.strongest_first(shapes.boxes(t), ["det", "frame"]).select("det", "frame").limit(50)
-
-
 @query(
     "w18_track_history",
     f"""{BOXES} select stream, det, frame, array_to_string(list("left") over (partition by stream order by frame, det rows between 29 preceding and current row), ',')
@@ -374,12 +369,11 @@ def _(t):
 
 @query(
     "k08_pending_steps",
-    f"""{with_shapes("beats")}, f as (select name, seq, pts, coalesce(lag(pts) over (partition by name order by seq), -1) as from_pts from (select name, seq, seq * 10 + k as pts from beats where is_key)),
-  p as (select name, seq, seq * 10 + k as pts from beats where not is_key),
-  b as (select name, seq as packet_seq, pts, (select max(f.seq) from f where f.name = p.name and f.seq < p.seq) as prev_seq,
-    (select min(f.seq) from f where f.name = p.name and f.seq > p.seq) as next_seq from p)
-select f.name as stream, f.seq, count(b.pts) as steps_before from f left join f g on f.name = g.name and g.seq = (select max(x.seq) from f x where x.name = f.name and x.seq < f.seq)
-  left join b on b.name = f.name and b.next_seq = f.seq and b.prev_seq = g.seq and b.pts > g.pts and b.pts < f.pts group by f.name, f.seq""",
+    f"""{with_shapes("beats")}, f as (select name, seq, seq * 10 + k as pts, lag(seq * 10 + k) over (partition by name order by seq) as before from beats where is_key),
+  c as (select *, sum(case when pts < before then 1 else 0 end) over (partition by name order by seq) as clock from f),
+  p as (select b.name, b.seq, b.seq * 10 + b.k as pts, c.clock from beats b asof join c on b.name = c.name and b.seq >= c.seq where not b.is_key)
+select c.name as stream, c.seq, count(p.pts) as steps_before from c left join p on p.name = c.name and p.clock = c.clock and c.pts >= c.before
+  and p.seq < c.seq and p.pts > c.before and p.pts < c.pts group by c.name, c.seq""",
 )
 def _(t):
     b = shapes.beats(t).select(F.col("name").alias("stream"), "seq", (F.col("seq") * 10 + F.col("k")).alias("pts"), "is_key")

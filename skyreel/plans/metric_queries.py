@@ -183,6 +183,7 @@ def _(t):
 
 @query(
     "w14_observed_rate",
+    # polls of one stream and kind are minutes apart here; tests/test_rules.py has closer ones
     f"""{BEATS}, c as (select name, kind, seq, at_us, seq * 1000 as packets from beats),
   w as (select *, (packets - lag(packets) over p) / ((at_us - lag(at_us) over p) / 1e6) as rate from c window p as (partition by name, kind order by at_us, seq)),
   o as (select *, coalesce(least(rate, coalesce(lag(rate) over p, 0)), 0) as observed from w window p as (partition by name, kind order by at_us, seq))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import media, names, rules
-from ..functions.constants import CLASSIFICATIONS, COCO_NAMES, MEDIA_TYPES, UNKNOWN_TYPE
+from ..functions.constants import CLASSIFICATIONS, COCO_NAMES, DETECTION_KEY, MEDIA_TYPES, UNKNOWN_TYPE
 from . import shapes
 from .registry import query
 from .shapes import with_shapes
@@ -359,9 +359,11 @@ def _(t):
 @query(
     "p27_recording_metadata",
     f"""{BEATS} select seq, name as stream, strftime(ts, '%Y-%m-%d %H:%M:%SZ') as started,
-  case when k > 1 then cast(k as varchar) end as parts, case when kind = 'error' and k % 2 = 0 then 'Incomplete: the recorder '
-  when kind = 'error' then 'Incomplete: this recordin' when k % 2 = 0 then 'Truncated: the recorder c' end as note,
-  case when k % 3 = 0 then 'SECRET' end as classification, 3 + cast(k > 1 as int) + cast(kind = 'error' or k % 2 = 0 as int)
+  case when k > 1 then cast(k as varchar) end as parts,
+  case when kind = 'error' and k % 2 = 0 then 'Incomplete: the recorder could not keep up with the stream, and then the recording failed before it finished. It is short of what was asked for.'
+  when kind = 'error' then 'Incomplete: this recording failed before it finished, so it is short of what was asked for. What is here was captured and stored before that.'
+  when k % 2 = 0 then 'Truncated: the recorder could not keep up with the stream.' end as note, case when bytes // 100 < 60 then bytes // 100 || ' s' else bytes // 6000 || ':' || lpad(cast(bytes // 100 % 60 as varchar), 2, '0') end as duration, kind as detection,
+  case when k % 3 = 0 then 'SECRET' end as classification, 4 + cast(k > 1 as int) + cast(kind = 'error' or k % 2 = 0 as int)
   + cast(k % 3 = 0 as int) as entries from beats""",
 )
 def _(t):
@@ -370,14 +372,14 @@ def _(t):
     rows = shapes.beats(t).withColumn(
         "m",
         recording_metadata(
-            F.col("name"), F.col("ts"), F.col("value"), F.col("k"), F.col("kind") == "error", F.col("k") % 2 == 0,
-            F.when(F.col("k") % 3 == 0, F.lit("SECRET")), F.lit(None).cast("string"),
+            F.col("name"), F.col("ts"), F.floor(F.col("bytes") / 100).cast("double"), F.col("k"), F.col("kind") == "error", F.col("k") % 2 == 0,
+            F.when(F.col("k") % 3 == 0, F.lit("SECRET")), F.col("kind"),
         ),
     )
     m = F.col("m")
     return rows.select(
         "seq", m["Live stream"].alias("stream"), m["Recording started"].alias("started"), m["Recording parts"].alias("parts"),
-        F.substring(m["Recording"], 1, 25).alias("note"), m["Classification"].alias("classification"), F.size(m).alias("entries"),
+        m["Recording"].alias("note"), m["Duration"].alias("duration"), m[DETECTION_KEY].alias("detection"), m["Classification"].alias("classification"), F.size(m).alias("entries"),
     )
 
 

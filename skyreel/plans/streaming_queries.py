@@ -6,12 +6,12 @@ checkpoint in the session's shared folder, and leaves its result as a table of f
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_root
 from ..streaming import queries as live
 from . import live_queries, metric_queries, shapes
 from .registry import ORACLES, Tables, query
@@ -21,8 +21,16 @@ BEATS = with_shapes("beats")
 
 
 def work_folder(t: Tables) -> str:
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skyreel-stream-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_root(t.spark)}/stream-{uuid.uuid4().hex}"
+
+
+FILES_PER_TRIGGER = 256
+
+
+def is_folder(spark, path: str) -> bool:
+    """Asked of the file system the path lies in."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
 
 
 class StreamedTables(Tables):
@@ -31,49 +39,69 @@ class StreamedTables(Tables):
     def __getattr__(self, table: str) -> DataFrame:
         if table.startswith("_"):
             raise AttributeError(table)
-        schema = self.spark.read.parquet(f"{self.folder}/{table}.parquet").schema
-        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(self.folder)
+        path = f"{self.folder}/{table}.parquet"
+        # a table is one file or a folder of files; the glob names the files either way
+        stream = self.spark.readStream.schema(self.spark.read.parquet(path).schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER)
+        return stream.parquet(f"{path}/*" if is_folder(self.spark, path) else f"{self.folder}/{table}.parquet*")
 
 
 def streamed(t: Tables) -> StreamedTables:
     return StreamedTables(t.spark, t.folder)
 
 
-def finished(t: Tables, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all there is and return what it emitted."""
+def finished(t: Tables, stream: DataFrame) -> DataFrame:
+    """Run a stream over all there is and return what it emitted.
+
+    Rows leave in append mode, as the watermark passes them, and each micro-batch overwrites its own folder, so a batch
+    that runs again repeats nothing. A last, empty batch lets what the final watermark has closed leave too.
+    """
     folder = work_folder(t)
-    schema = stream.schema
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
     run = (
-        stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint")
+        stream.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True).start()
     )
     run.awaitTermination()
-    return t.spark.read.schema(schema).parquet(f"{folder}/out/*")
+    return t.spark.read.schema(stream.schema).parquet(f"{folder}/out/*")
+
+
+END = "the end"
 
 
 def in_time(beats: DataFrame) -> DataFrame:
     return beats.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def to_the_end(t: Tables) -> DataFrame:
+    """The beats as a stream, then one row of the stream ``END`` a year later, in a file of its own that comes last: it
+    moves the watermark past everything, so that all windows and lives close."""
+    folder = f"{work_folder(t)}/beats"
+    beats = in_time(shapes.beats(t))
+    beats.write.parquet(folder)
+    last = beats.agg(F.max("ts").alias("ts")).where("ts is not null").select(F.lit(END).alias("name"), (F.col("ts") + F.expr("interval 365 days")).alias("ts"))
+    ahead = beats.limit(0).unionByName(last.withColumn("at_us", F.unix_micros("ts")), allowMissingColumns=True)
+    ahead.coalesce(1).write.mode("append").parquet(folder)
+    return t.spark.readStream.schema(beats.schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(folder)
+
+
 def micros(column: str):
     return F.unix_micros(column)
 
 
 @query("x08_beat_metrics_stream", ORACLES["x08_beat_metrics"])
 def _(t):
-    totals = live.beat_metrics(in_time(shapes.beats(streamed(t))), width="2 hours")
-    done = finished(t, totals, "complete")
+    totals = live.beat_metrics(to_the_end(t), width="2 hours")
+    done = finished(t, totals)
     return done.select(micros("window.start").alias("window_us"), "kind", "beats", "bytes")
 
 
 @query("x10_debounce_stream", f"{ORACLES['x10_debounce'].replace('cast(burst as bigint) as burst, ', '')}")
 def _(t):
-    bursts = live.debounced(in_time(shapes.beats(streamed(t))), quiet="1 hour")
-    done = finished(t, bursts, "complete")
+    bursts = live.debounced(to_the_end(t), quiet="1 hour")
+    done = finished(t, bursts)
     return done.select(
         "name", micros("session_window.start").alias("first_us"), micros("session_window.end").alias("fires_us"), "notifications"
     )
@@ -81,14 +109,14 @@ def _(t):
 
 @query(
     "x02_live_sessions_stream",
-    f"""{metric_queries.SESSIONS.replace(f'gap > {metric_queries.GRACE}', f'gap >= {metric_queries.GRACE}')}
+    f"""{metric_queries.SESSIONS}
 select name, min(at_us) as started_us, max(at_us) + {metric_queries.GRACE} as gone_us, count(*) as packets, cast(sum(bytes) as bigint) as bytes from s group by name, session""",
 )
 def _(t):
-    lives = live.live_sessions(in_time(shapes.beats(streamed(t))), grace="6 hours")
-    done = finished(t, lives, "complete")
+    lives = live.live_sessions(to_the_end(t), grace="6 hours")
+    done = finished(t, lives)
     return done.select(
-        "name", micros("session_window.start").alias("started_us"), micros("session_window.end").alias("gone_us"), "packets", "bytes"
+        "name", micros("session_window.start").alias("started_us"), (micros("session_window.end") - 1).alias("gone_us"), "packets", "bytes"
     )
 
 
@@ -125,16 +153,13 @@ def _(t):
     "x01_stream_lifecycle_stream",
     f"""{metric_queries.SESSIONS} select name, 'Live' as state, at_us // 1000 as at_ms from g where gap is null or (at_us // 1000 - (at_us - gap) // 1000) > {metric_queries.TIMEOUT // 1000}
 union all select name, 'Interrupted', (at_us - gap) // 1000 + {metric_queries.TIMEOUT // 1000} from g where (at_us // 1000 - (at_us - gap) // 1000) > {metric_queries.TIMEOUT // 1000}
-union all select name, 'Gone', (at_us - gap) // 1000 + {metric_queries.GRACE // 1000} from g where (at_us // 1000 - (at_us - gap) // 1000) > {metric_queries.GRACE // 1000}""",
+union all select name, 'Gone', (at_us - gap) // 1000 + {metric_queries.GRACE // 1000} from g where (at_us // 1000 - (at_us - gap) // 1000) > {metric_queries.GRACE // 1000}
+union all select name, 'Interrupted', max(at_us) // 1000 + {metric_queries.TIMEOUT // 1000} from g group by name
+union all select name, 'Gone', max(at_us) // 1000 + {metric_queries.GRACE // 1000} from g group by name""",
 )
 def _(t):
-    """Changes between packets only: the silences after the last packet end when the watermark moves on."""
-    packets = in_time(shapes.beats(streamed(t))).select("name", "ts", "at_us")
-    changes = finished(
-        t, live.stream_lifecycle(packets, timeout_ms=metric_queries.TIMEOUT // 1000, grace_ms=metric_queries.GRACE // 1000)
-    )
-    last = shapes.beats(t).groupBy("name").agg(F.max(F.floor(F.col("at_us") / 1000)).alias("last_ms"))
-    return changes.join(last, "name").where("at_ms <= last_ms").select("name", "state", "at_ms")
+    changes = finished(t, live.stream_lifecycle(to_the_end(t).select("name", "ts", "at_us"), timeout_ms=metric_queries.TIMEOUT // 1000, grace_ms=metric_queries.GRACE // 1000))
+    return changes.where(F.col("name") != END)
 
 
 @query("s11_analysis_queue_stream", "select doc_id, lang, n_chars from documents where n_chars > 0")
@@ -144,13 +169,13 @@ def _(t):
     t.documents.select("doc_id", "lang", "n_chars").write.json(f"{folder}/queue")
     schema = "doc_id long, lang string, n_chars long"
 
-    def handle(batch: DataFrame) -> None:
-        batch.where("n_chars > 0").write.mode("append").parquet(f"{folder}/handed")
+    def handle(batch: DataFrame, number: int) -> None:
+        batch.where("n_chars > 0").write.mode("overwrite").parquet(f"{folder}/handed/batch={number}")
 
     for _again in range(2):  # a restart finds nothing left to hand out
         run = live.analysis_queue(t.spark, f"{folder}/queue", schema, handle, f"{folder}/checkpoint")
         run.trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema(schema).parquet(f"{folder}/handed")
+    return t.spark.read.schema(schema).parquet(f"{folder}/handed/*")
 
 
 @query(

@@ -46,12 +46,20 @@ def local_session(cores: int | str = "*", app: str = "skyreel", memory: str = "8
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's shared checkpoint folder and read it back.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset
-    (a test on one machine) is a scratch folder chosen here.
+    The folder is the one the session names in ``spark.checkpoint.dir``.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="skyreel-checkpoint-"))
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder all hosts share, from ``spark.checkpoint.dir``; a scratch folder only where one host does everything."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all hosts of the cluster share")
+    return tempfile.mkdtemp(prefix="skyreel-")

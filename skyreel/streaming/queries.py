@@ -53,9 +53,11 @@ def debounced(notifications: DataFrame, at: str = "ts", quiet: str = "1 second",
 
 
 def live_sessions(packets: DataFrame, at: str = "ts", grace: str = "30 seconds", late: str = "10 seconds") -> DataFrame:
+    """Lives of streams: a silence longer than ``grace`` ends one. A session window ends at a gap equal to its length,
+    so it is a microsecond longer than the grace period."""
     return (
         packets.withWatermark(at, late)
-        .groupBy(F.session_window(at, grace), "name")
+        .groupBy(F.session_window(at, f"{grace} 1 microsecond"), "name")
         .agg(F.count(F.lit(1)).alias("packets"), F.sum("bytes").alias("bytes"))
     )
 
@@ -63,13 +65,14 @@ def live_sessions(packets: DataFrame, at: str = "ts", grace: str = "30 seconds",
 # --- sinks --------------------------------------------------------------------------------------
 
 
-def analysis_queue(spark: SparkSession, folder: str, schema: StructType, handle: Callable[[DataFrame], None], checkpoint: str):
+def analysis_queue(spark: SparkSession, folder: str, schema: StructType, handle: Callable[[DataFrame, int], None], checkpoint: str):
     """Hand out every work item once, oldest file first; lines that do not parse are dropped.
 
-    ``handle`` gets each micro-batch; the checkpoint remembers which files were handed out.
+    ``handle`` gets each micro-batch and its number; the checkpoint remembers which files were handed out. A batch that
+    is run again has the same number and items, so a handler that keeps its effect by number has it once.
     """
     items = spark.readStream.schema(schema).option("mode", "DROPMALFORMED").option("latestFirst", False).json(folder)
-    return items.writeStream.foreachBatch(lambda batch, _: handle(batch)).option("checkpointLocation", checkpoint)
+    return items.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
 
 
 def publish_changes(changes: DataFrame, folder: str) -> None:
@@ -251,9 +254,14 @@ class LifecycleProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         state, last = self.life.get()
         if state == "Live":
-            self.life.update(("Interrupted", last))
-            self.handle.registerTimer(last + self.grace_ms + 1)
-            yield pd.DataFrame([(key[0], "Interrupted", last + self.timeout_ms)], columns=["name", "state", "at_ms"])
+            out = [(key[0], "Interrupted", last + self.timeout_ms)]
+            if timerValues.getCurrentWatermarkInMs() > last + self.grace_ms:  # no timer fires in the past
+                out.append((key[0], "Gone", last + self.grace_ms))
+                self.life.clear()
+            else:
+                self.life.update(("Interrupted", last))
+                self.handle.registerTimer(last + self.grace_ms + 1)
+            yield pd.DataFrame(out, columns=["name", "state", "at_ms"])
         else:
             self.life.clear()
             yield pd.DataFrame([(key[0], "Gone", last + self.grace_ms)], columns=["name", "state", "at_ms"])
