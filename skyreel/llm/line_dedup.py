@@ -15,10 +15,17 @@ from . import postings as P
 from .common import checkpointed, prepared
 
 EARLIEST = 4
+BROADCAST_KEYS = 1 << 20
+"""A list of keys (8 bytes each) is broadcast up to so many."""
 BROADCAST_LINES = 1 << 21
 """The list of lines to cut is broadcast up to so many (at most about 60 bytes each), else joined by a shuffle."""
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """A written list of keys, broadcast if it is short."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def _later(links: DataFrame, place: DataFrame) -> DataFrame:
     """The later class of each link, as column key."""
     both = links.join(place.select(F.col("key").alias("a"), F.col("at").alias("at_a")), "a").join(place.select(F.col("key").alias("b"), F.col("at").alias("at_b")), "b")
@@ -38,7 +45,8 @@ def later_lines(documents: DataFrame) -> DataFrame:
     pairs = checkpointed(P.promising(found))
     members = found.where(F.col("kind") == P.MEMBER).select("token", F.col("a").alias("key"), F.col("na").alias("n"), F.col("nb").alias("i"))
     named = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(members.select("key")).distinct()
-    place = checkpointed(classes.select("key", "at").join(named, "key"))  # of the classes that met another
+    named = checkpointed(named)
+    place = checkpointed(classes.select("key", "at").join(_small(named), "key"))  # of the classes that met another
     sets = checkpointed(P.set_table(texts, P.line_sets, place.select("key", F.col("at.id").alias("id"))))
     gone = checkpointed(_later(P.verified(pairs, sets), place))
     # classes of long runs that are left: against the earliest of their runs, then against all that come before them
@@ -54,7 +62,7 @@ def later_lines(documents: DataFrame) -> DataFrame:
         ).select(F.col("key").alias("a"), "b").distinct()
         gone = checkpointed(gone.unionByName(P.verified(meet, sets).select(F.col("a").alias("key"))).distinct())
     # only classes with something to remove meet their lines again
-    kept = classes.join(gone.withColumn("gone", F.lit(True)), "key", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    kept = classes.join(_small(gone).withColumn("gone", F.lit(True)), "key", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     touched = kept.where("gone or lines > 1").select("key", "sig", "at", "gone")
     return lines.join(touched, ["key", "sig"]).where(F.col("gone") | (F.struct("id", "mark", "number") != F.col("at"))).select("id", "mark", "number")
 
