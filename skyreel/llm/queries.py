@@ -25,9 +25,29 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-@query("op6_ngram_jaccard_join")
+SHINGLES = r"""
+    SELECT {id}, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS g
+    FROM (SELECT {id}, regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {rows})
+    WHERE len(w) >= {least}
+"""
+
+
+@query(
+    "op6_ngram_jaccard_join",
+    f"""
+    WITH RECURSIVE sets AS ({SHINGLES.format(id="doc_id", text="text", rows="documents", least=1)}),
+    tokens AS (SELECT doc_id, unnest(g) AS t FROM sets),
+    met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM tokens x JOIN tokens y ON x.t = y.t AND x.doc_id < y.doc_id GROUP BY ALL),
+    linked AS (SELECT a, b FROM met JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * common >= 75 * (len(x.g) + len(y.g) - common)),
+    edges AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+    reach(doc_id, other) AS (SELECT a, b FROM edges UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON r.other = e.a),
+    least_one AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+    SELECT d.doc_id, CAST(coalesce(len(g), 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(other, d.doc_id)) AS component_id
+    FROM documents d LEFT JOIN sets USING (doc_id) LEFT JOIN least_one USING (doc_id)
+    """,
+)
 def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return group_join.near_groups(table(spark, folder, "documents"))
+    return group_join.near_groups(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -41,7 +61,20 @@ def bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), vocabulary())
 
 
-@query("op9_line_dedup")
+@query(
+    "op9_line_dedup",
+    f"""
+    WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+    sets AS ({SHINGLES.format(id="doc_id, n", text="line", rows="lines", least=5)}),
+    tokens AS (SELECT doc_id, n, len(g) AS size, unnest(g) AS t FROM sets),
+    met AS (SELECT y.doc_id, y.n, x.size + y.size - count(*) AS whole, count(*) AS common FROM tokens x JOIN tokens y ON x.t = y.t AND (x.doc_id, x.n) < (y.doc_id, y.n)
+            GROUP BY x.doc_id, x.n, x.size, y.doc_id, y.n, y.size),
+    gone AS (SELECT DISTINCT doc_id, n FROM met WHERE 100 * common >= 75 * whole),
+    cut AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS text FROM lines ANTI JOIN gone USING (doc_id, n) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(string_split(coalesce(c.text, ''), chr(10))) AS INTEGER) AS n_lines, sha256(coalesce(c.text, '')) AS text_sha256
+    FROM documents d LEFT JOIN cut c USING (doc_id)
+    """,
+)
 def line_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     kept = line_dedup.without_later_lines(documents)
