@@ -142,12 +142,15 @@ def import_objects(listing: DataFrame) -> DataFrame:
     )
 
 
+RECONCILED = ("id", "file_name", "storage_key", "content_type", "size", "created_at", "segmented")
+
+
 def reconcile(listing: DataFrame, catalog: DataFrame) -> DataFrame:
     """What the store says about the catalog: one row per Added, Updated or Removed document.
 
     ``listing(key, size, last_modified)`` is the truth; ``catalog(id, file_name, storage_key,
     content_type, size, created_at, segmented)``.  Documents stored in parts live elsewhere and are left
-    out; a changed size is an update that keeps the row's identity.
+    out; a changed size is an update that keeps the row's identity, and every other column of the catalog with it.
     """
     stored = listing.select(
         F.col("key").alias("s_key"), F.col("size").alias("s_size"), F.col("last_modified").alias("s_at")
@@ -174,10 +177,16 @@ def reconcile(listing: DataFrame, catalog: DataFrame) -> DataFrame:
             .alias("content_type"),
             F.coalesce("s_size", "size").alias("size"),
             F.coalesce("created_at", "s_at").alias("created_at"),
+            *[c for c in catalog.columns if c not in RECONCILED],
         )
     )
 
 
+def analysis_requests(changes: DataFrame) -> DataFrame:
+    """What an analyser gets to do after a reconciliation: every document that is new or whose bytes were replaced."""
+    return changes.where(F.col("change").isin("Added", "Updated")).select("id", "storage_key", "file_name", "content_type")
+
+
 def reconciliation_summary(changes: DataFrame) -> DataFrame:
     tally = changes.agg(
         *[F.count_if(F.col("change") == kind).alias(kind.lower()) for kind in ("Added", "Updated", "Removed")]

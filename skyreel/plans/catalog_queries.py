@@ -153,7 +153,10 @@ def snapshots(t):
         (F.col("size") + F.when(F.col("doc_no") % 7 == 0, 5).otherwise(0)).alias("size"),
         F.col("created_at").alias("last_modified"),
     )
-    return held, documents.withColumn("segmented", F.col("doc_no") % 17 == 0)
+    known = documents.select("id", "file_name", "storage_key", "content_type", "size", "created_at", "doc_no")
+    thumbnail = F.when(F.col("doc_no") % 3 == 0, names.thumbnail_key(F.col("id"))).alias("thumbnail_key")
+    metadata = F.create_map(F.lit("Pages"), (F.col("doc_no") % 5).cast("string")).alias("metadata")
+    return held, known.select("*", thumbnail, metadata, (F.col("doc_no") % 17 == 0).alias("segmented")).drop("doc_no")
 
 
 SNAPSHOTS = f"""{CATALOG}, listing as (
@@ -176,9 +179,20 @@ SNAPSHOTS = f"""{CATALOG}, listing as (
     coalesce(new_size, old_size) as size, created_at from hashed)"""
 
 
-@query("j01_reconcile", f"{SNAPSHOTS} select * from diff")
+@query(
+    "j01_reconcile",
+    f"""{SNAPSHOTS} select d.change, d.id, d.storage_key, d.file_name, d.content_type, d.size, d.created_at,
+  case when k.doc_no % 3 = 0 then 'thumbnails/' || k.id || '.jpg' end as thumbnail_key, k.doc_no % 5 || '' as pages
+from diff d left join known k on k.id = d.id and d.change <> 'Added'""",
+)
+def _(t):
+    changes = ops.reconcile(*snapshots(t))
+    return changes.withColumn("pages", F.col("metadata")["Pages"]).drop("metadata")
+
+
+@query("j01_analysis_requests", f"{SNAPSHOTS} select id, storage_key, file_name, content_type from diff where change in ('Added', 'Updated')")
 def _(t):
-    return ops.reconcile(*snapshots(t))
+    return ops.analysis_requests(ops.reconcile(*snapshots(t)))
 
 
 @query(
