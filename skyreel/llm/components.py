@@ -21,17 +21,20 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _settled(state: DataFrame) -> bool:
+    """Whether every node has one parent and no parent has a parent."""
+    nodes = state.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("other"))
+    parents = state.select(F.col("v").alias("u"), F.lit(True).alias("parent")).distinct()
+    return nodes.join(parents, "u", "left").where("v <> other or parent").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge; ``edges``: (u, v) longs. The root is the smallest node reachable.
 
     Every round is written to the shared checkpoint folder; a round's edges never outnumber the first.
     """
     state = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
-    while True:
-        mark = tuple(state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == seen:
-            break
-        seen = mark
+    while not _settled(state):
         state = checkpointed(_small(_large(state)))
-    return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    roots = state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -29,26 +29,39 @@ def _fitting(large: str, small: str):
     return (F.col(large) * P.DEN >= F.col(small) * P.NUM) | (F.col(large) >= P.MOST)
 
 
+def _in_place(rest, nx, ny, most):
+    """Positional filter: whether so many tokens from the first common one on can make sets of these sizes similar."""
+    return ((P.NUM + P.DEN) * rest >= P.NUM * (nx + ny)) | (most >= P.MOST)
+
+
 def _open_groups(members: DataFrame, labels: DataFrame, set_of) -> DataFrame:
     """Links across groups that the first look could not see: those of pairs that only met in long runs.
 
     ``set_of`` reads the sets of a table of keys.
     """
-    rows = members.join(labels, "a", "left").select("token", F.col("a").alias("key"), "n", F.coalesce("root", "a").alias("label"))
-    held = rows.groupBy("token", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    rows = members.join(labels, "a", "left").select("token", F.col("a").alias("key"), "n", (F.col("n") - F.col("i")).alias("rest"), F.coalesce("root", "a").alias("label"))
+    rows = checkpointed(rows)
+    held = rows.groupBy("token", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
     split = held.groupBy("token").agg(F.count(F.lit(1)).alias("labels")).where("labels > 1").select("token")
     size = rows.select("label", "key").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
     held = checkpointed(held.join(split, "token").join(size, "label"))
-    other = held.select("token", *(F.col(c).alias(f"o_{c}") for c in ("label", "rows", "least", "most")))
-    # of two groups the one with fewer members asks
-    meet = held.join(other, "token").where((F.struct("rows", "label") < F.struct("o_rows", "o_label")) & _fitting("most", "o_least") & _fitting("o_most", "least"))
-    meet = meet.select("token", "label", "o_label", "o_least", "o_most")
-    asks = rows.join(meet, ["token", "label"]).where(_fitting("n", "o_least") & _fitting("o_most", "n"))
-    asks = asks.groupBy("key", F.col("o_label").alias("label")).agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.min("o_least").alias("least"), F.max("o_most").alias("most"))
+    other = held.select("token", *(F.col(c).alias(f"o_{c}") for c in ("label", "rows", "least", "most", "rest")))
+    # of two groups the one with fewer members asks, in the run of the first token that both have
+    meet = held.join(other, "token").where(
+        (F.struct("rows", "label") < F.struct("o_rows", "o_label")) & _fitting("most", "o_least") & _fitting("o_most", "least")
+        & _in_place(F.least("rest", "o_rest"), F.col("least"), F.col("o_least"), F.greatest("most", "o_most"))
+    ).select("token", "label", "o_label", "o_least", "o_most", "o_rest")
+    asks = rows.join(meet, ["token", "label"]).where(
+        _fitting("n", "o_least") & _fitting("o_most", "n")
+        & _in_place(F.least("rest", "o_rest"), F.col("n"), F.greatest("o_least", F.ceil(F.col("n") * P.NUM / P.DEN)), F.greatest("n", "o_most"))
+    )
+    asks = checkpointed(asks.groupBy("key", F.col("o_label").alias("label")).agg(F.first("n").alias("n"), F.min("o_least").alias("least"), F.max("o_most").alias("most")))
+    shared = rows.select("key", "token").join(asks.select("key", "label"), "key").join(held.select("token", "label"), ["token", "label"], "left_semi")
+    shared = shared.groupBy("key", "label").agg(F.count(F.lit(1)).alias("shared"))
     # the bound on shared tokens is weakest at the ends of the group's sizes
     low = F.least(F.greatest("least", F.ceil(F.col("n") * P.NUM / P.DEN)), "most")
     high = F.greatest(F.least("most", F.floor(F.col("n") * P.DEN / P.NUM)), "least")
-    asks = asks.where(P.reachable(F.col("shared"), F.col("n"), low) | P.reachable(F.col("shared"), F.col("n"), high))
+    asks = asks.join(shared, ["key", "label"]).where(P.reachable(F.col("shared"), F.col("n"), low) | P.reachable(F.col("shared"), F.col("n"), high))
     asks = checkpointed(asks.select("key", "label"))
     # the members of the asked groups, in groups of GROUP_MOST at most (on average)
     asked = labels.select(F.col("a").alias("key"), F.col("root").alias("label")).join(asks.select("label").distinct(), "label", "left_semi")
@@ -96,7 +109,7 @@ def near_groups(documents: DataFrame) -> DataFrame:
     live = texts.where("id is not null and text is not null")
     found = checkpointed(P.candidates(P.dealt(live, P.document_sets, P.common_tokens(seen), P.buckets_for(volume, width))))
     pairs = checkpointed(P.promising(found))
-    members = found.where(F.col("kind") == P.MEMBER).select("token", "a", F.col("na").alias("n"))
+    members = found.where(F.col("kind") == P.MEMBER).select("token", "a", F.col("na").alias("n"), F.col("nb").alias("i"))
     set_of = lambda keys: P.set_table(live, P.document_sets, keys.join(classes.select("key", "id"), "key"))
     sets = set_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
     links = P.verified(pairs, checkpointed(sets)).select(F.col("a").alias("u"), F.col("b").alias("v"))
