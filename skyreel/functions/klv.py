@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from .constants import CLASSIFICATIONS, ST0601_KEY
@@ -61,56 +63,64 @@ def oid(value: int) -> bytes:
     return bytes(reversed(groups))
 
 
+# A tag is up to three bytes with the high bit and one without; a length is one byte, or says how many follow.
+TAG = rb"(?P<tag>[\x80-\xff]{0,3}[\x00-\x7f])"
+LENGTH = rb"(?P<size>[\x00-\x7f]|\x81.|\x82..|\x83...|\x84[\x00-\x7f]...)"
+TAG_FIELD, LENGTH_FIELD, ITEM_HEAD = (re.compile(p, re.DOTALL) for p in (TAG, LENGTH, TAG + LENGTH))
+
+
+def _tag_number(raw: bytes) -> int:
+    return sum((byte & 0x7F) << (7 * place) for place, byte in enumerate(reversed(raw)))
+
+
+def _size_number(raw: bytes) -> int:
+    return int.from_bytes(raw[1:] or raw, "big")
+
+
 def read_length(data: bytes, at: int) -> tuple[int, int]:
     """A BER length and the offset after it."""
-    if at >= len(data):
-        raise Malformed
-    first = data[at]
-    if first < 0x80:
-        return first, at + 1
-    count = first & 0x7F
-    end = at + 1 + count
-    if not 1 <= count <= 4 or end > len(data):
+    found = LENGTH_FIELD.match(data, at)
+    if found is None:
         raise Malformed
-    size = int.from_bytes(data[at + 1 : end], "big")
-    if size >= 1 << 31:
-        raise Malformed
-    return size, end
+    return _size_number(found["size"]), found.end()
 
 
 def read_tag(data: bytes, at: int) -> tuple[int, int]:
     """A BER-OID tag of at most four bytes and the offset after it."""
-    tag = 0
-    for here in range(at, min(at + 4, len(data))):
-        tag = (tag << 7) | (data[here] & 0x7F)
-        if data[here] < 0x80:
-            return tag, here + 1
-    raise Malformed
+    found = TAG_FIELD.match(data, at)
+    if found is None:
+        raise Malformed
+    return _tag_number(found["tag"]), found.end()
 
 
-def items(data: bytes, at: int = 0):
-    """Every ``(tag, value, offset after the value)`` up to the end of ``data``."""
+def places(data: bytes, at: int = 0) -> list[tuple[int, int, int, int]]:
+    """``(tag, where its head, its value and what follows it begin)`` of every item up to the end of ``data``."""
+    out = []
     while at < len(data):
-        tag, at = read_tag(data, at)
-        size, at = read_length(data, at)
-        if at + size > len(data):
+        head = ITEM_HEAD.match(data, at)
+        if head is None or head.end() + _size_number(head["size"]) > len(data):
             raise Malformed
-        at += size
-        yield tag, data[at - size : at], at
+        out.append((_tag_number(head["tag"]), at, head.end(), head.end() + _size_number(head["size"])))
+        at = out[-1][-1]
+    return out
+
 
+def items(data: bytes, at: int = 0):
+    """Every ``(tag, value, offset after the value)`` up to the end of ``data``."""
+    return [(tag, data[begin:end], end) for tag, _, begin, end in places(data, at)]
 
-def scaled(tag: int, value: bytes) -> float | None:
-    """The number an item carries; null at the wrong length or at the reserved error value."""
+
+def scaled(tag: int, raw: np.ndarray) -> np.ndarray:
+    """Numbers out of rows of big-endian bytes; NaN at the wrong length or the reserved error value."""
     _, wire, low, high = SCALES[tag]
     width = int(wire[2])
-    if len(value) != width:
-        return None
-    signed = wire[1] == "i"
-    raw = int.from_bytes(value, "big", signed=signed)
-    if not signed:
-        return low + raw * (high - low) / float(2 ** (8 * width) - 1)
+    if raw.shape[1] != width:
+        return np.full(len(raw), np.nan)
+    steps = np.ascontiguousarray(raw).view(wire)[:, 0].astype(np.int64)
+    if wire[1] == "u":
+        return low + steps * (high - low) / float(2 ** (8 * width) - 1)
     top = 2 ** (8 * width - 1) - 1
-    return None if raw == -top - 1 else raw * high / float(top)
+    return np.where(steps < -top, np.nan, steps * high / float(top))
 
 
 def quantised(tag: int, values: np.ndarray) -> np.ndarray:
@@ -127,46 +137,100 @@ def quantised(tag: int, values: np.ndarray) -> np.ndarray:
 def marking(security: bytes) -> str | None:
     """The classification inside an ST 0102 set; an unknown code is named, not dropped."""
     try:
-        for tag, value, _ in items(security):
-            if tag == 1 and len(value) == 1:
-                code = value[0]
-                return CLASSIFICATIONS[code - 1] if 1 <= code <= 5 else f"UNKNOWN ({code})"
+        codes = [value[0] for tag, value, _ in items(security) if tag == 1 and len(value) == 1]
     except Malformed:
-        pass
-    return None
+        codes = []
+    named = dict(enumerate(CLASSIFICATIONS[:5], 1))
+    return named.get(codes[0], f"UNKNOWN ({codes[0]})") if codes else None
+
+
+# --- whole batches ------------------------------------------------------------------------------
+
+
+class Layout:
+    """Where the items of a packet lie. Packets of one length whose item heads agree share it."""
+
+    def __init__(self, packet: bytes):
+        self.sound, self.items, heads = False, [], []
+        try:
+            size, body = read_length(packet, 16)
+            if body + size == len(packet):
+                self.items = places(packet, body)
+                sums = [(begin, end) for tag, _, begin, end in self.items if tag == 1]
+                self.sound = all(end == len(packet) and end - begin == 2 for begin, end in sums)
+                heads = [np.arange(head, begin) for _, head, begin, _ in self.items]
+        except Malformed:
+            pass
+        self.summed = self.sound and any(tag == 1 for tag, *_ in self.items)
+        self.fixed = np.concatenate([np.arange(16, body), *heads]) if self.sound else np.arange(len(packet))
+
+
+def decode_telemetry_batch(packets: list[bytes]) -> dict[str, np.ndarray]:
+    """ST 0601 packets as columns; ``status`` says why nothing else of a row is set.
+
+    Packets of one length are laid out as a byte matrix. The first row's layout is found once and holds for all rows with
+    the same item heads, whose items are then slices of the matrix; the other rows go round again.
+    """
+    count = len(packets)
+    out = {name: np.full(count, np.nan) for name, *_ in SCALES.values()}
+    out |= {name: np.full(count, None, object) for name in ("status", "unparsed", "timestamp_us", "classification", "version", *TEXTS.values())}
+    out["status"][:] = "not_0601"
+    lengths: dict[int, list[int]] = {}
+    for row, packet in enumerate(packets):
+        if len(packet) > 16 and packet.startswith(ST0601_KEY):
+            lengths.setdefault(len(packet), []).append(row)
+    for size, rows in lengths.items():
+        rows = np.array(rows)
+        matrix = np.frombuffer(b"".join(packets[r] for r in rows), np.uint8).reshape(len(rows), size)
+        while len(rows):
+            layout = Layout(packets[rows[0]])
+            alike = (matrix[:, layout.fixed] == matrix[0, layout.fixed]).all(axis=1)
+            _fill(out, rows[alike], matrix[alike], layout)
+            rows, matrix = rows[~alike], matrix[~alike]
+    return out
+
+
+def _fill(out: dict[str, np.ndarray], rows: np.ndarray, matrix: np.ndarray, layout: Layout) -> None:
+    if not layout.summed:
+        out["status"][rows] = "bad_checksum" if layout.sound else "malformed"
+        return
+    words = matrix[:, :-2]
+    sums = (words[:, 0::2].sum(axis=1, dtype=np.int64) * 256 + words[:, 1::2].sum(axis=1, dtype=np.int64)) & 0xFFFF
+    good = sums == matrix[:, -2].astype(np.int64) * 256 + matrix[:, -1]
+    out["status"][rows] = np.where(good, "ok", "bad_checksum")
+    rows, matrix = rows[good], matrix[good]
+    others: dict[int, list[bytes]] = {}
+    for tag, _, begin, end in layout.items:
+        raw = matrix[:, begin:end]
+        if tag in SCALES:
+            out[SCALES[tag][0]][rows] = scaled(tag, raw)
+        elif tag in TEXTS:
+            out[TEXTS[tag]][rows] = _each(raw, lambda value: value.decode("ascii", "replace").replace("\ufffd", "?"))
+        elif tag == 48:
+            out["classification"][rows] = _each(raw, marking)
+        elif (tag, end - begin) == (2, 8):
+            out["timestamp_us"][rows] = np.ascontiguousarray(raw).view(">i8")[:, 0].astype(np.int64)
+        elif (tag, end - begin) == (65, 1):
+            out["version"][rows] = raw[:, 0].astype(np.int64)
+        elif tag != 1:
+            others[tag] = [row.tobytes() for row in raw]
+    for place, row in enumerate(rows):
+        out["unparsed"][row] = {tag: values[place] for tag, values in others.items()}
+
+
+def _each(raw: np.ndarray, make) -> np.ndarray:
+    """``make`` of every row's bytes, called once for each different value."""
+    known: dict[bytes, str | None] = {}
+    out = np.empty(len(raw), object)
+    for place, row in enumerate(raw):
+        value = row.tobytes()
+        if value not in known:
+            known[value] = make(value)
+        out[place] = known[value]
+    return out
 
 
 def decode_telemetry_packet(packet: bytes) -> dict:
-    """One ST 0601 packet as column values; ``status`` says why nothing else is set."""
-    if len(packet) <= 16 or packet[:16] != ST0601_KEY:
-        return {"status": "not_0601"}
-    found: dict = {"unparsed": {}}
-    proven = False
-    try:
-        size, at = read_length(packet, 16)
-        if at + size != len(packet):
-            raise Malformed
-        for tag, value, end in items(packet, at):
-            if tag == 1:
-                if end != len(packet) or len(value) != 2:
-                    raise Malformed
-                if checksum(packet[:-2]) != int.from_bytes(value, "big"):
-                    return {"status": "bad_checksum"}
-                proven = True
-            elif tag in SCALES:
-                found[SCALES[tag][0]] = scaled(tag, value)
-            elif tag in TEXTS:
-                found[TEXTS[tag]] = value.decode("ascii", "replace").replace("�", "?")
-            elif tag == 2 and len(value) == 8:
-                found["timestamp_us"] = int.from_bytes(value, "big", signed=True)
-            elif tag == 48:
-                found["classification"] = marking(value)
-            elif tag == 65 and len(value) == 1:
-                found["version"] = value[0]
-            else:
-                found["unparsed"][tag] = value
-    except Malformed:
-        return {"status": "malformed"}
-    if not proven:
-        return {"status": "bad_checksum"}
-    return {"status": "ok", **found}
+    """One packet as column values."""
+    row = {name: column.tolist()[0] for name, column in decode_telemetry_batch([packet]).items()}
+    return {name: None if value != value else value for name, value in row.items()}

@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions import klv
@@ -25,21 +27,22 @@ SENSOR_FIELDS = [
 
 def decode_telemetry(packets: DataFrame, data: str = "data") -> DataFrame:
     """``packets`` with one wide set of telemetry columns each, undecodable ones marked in ``status``."""
-    kept = [f for f in packets.schema.fields if f.name != data]
-    schema = StructType([*kept, *TELEMETRY.fields])
-    names = [f.name for f in kept]
-    integers = {"timestamp_us": "Int64", "version": "Int32"}
+    kept = [f.name for f in packets.schema.fields if f.name != data]
+    schema = StructType([*(packets.schema[n] for n in kept), *TELEMETRY.fields])
+    own = to_arrow_schema(TELEMETRY)
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [klv.decode_telemetry_packet(bytes(p) if p is not None else b"") for p in batch[data]]
-            columns = {
-                f.name: pd.array([s.get(f.name) for s in sets], dtype=integers.get(f.name, object))
-                for f in TELEMETRY.fields
-            }
-            yield pd.concat([batch[names].reset_index(drop=True), pd.DataFrame(columns)], axis=1)
-
-    return packets.mapInPandas(decode, schema)
+            found = klv.decode_telemetry_batch([p or b"" for p in batch.column(data).to_pylist()])
+            made = []
+            for field in own:
+                values = found[field.name]
+                if pa.types.is_map(field.type):
+                    values = [None if v is None else list(v.items()) for v in values]
+                made.append(pa.array(values, field.type, from_pandas=True))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *made], [*kept, *own.names])
+
+    return packets.mapInArrow(decode, schema)
 
 
 def klv_accounting(decoded: DataFrame, received: str, key: str = "stream") -> DataFrame:
