@@ -10,20 +10,25 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
+PLACE_BITS = 33
+"""Of the ids that ``monotonically_increasing_id`` gives; the bits above them are the partition's number."""
+
+
 def positioned(df: DataFrame, order: Sequence[str], name: str = "position", start: int = 1) -> DataFrame:
     """Global row numbers in ``order`` (unique) without a single-task window.
 
-    Rows are range-partitioned and sorted once and kept; partition sizes turn into offsets.
+    Rows are range-partitioned and sorted once and kept. The id Spark gives the kept rows holds their partition and their
+    place in it, so partition sizes are all that is added up: one shuffle of the rows.
     """
-    sorted_rows = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    kept = cut_lineage(sorted_rows)
-    sizes = kept.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    kept = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("__i", F.monotonically_increasing_id())
+    part, place = F.shiftright("__i", PLACE_BITS), F.col("__i").bitwiseAND((1 << PLACE_BITS) - 1)
+    sizes = kept.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select(
         "__p",
         F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"),
     )
-    local = kept.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    return local.join(before, "__p").select(*df.columns, (F.col("__r") + F.col("__o") + F.lit(start - 1)).alias(name))
+    # one row a partition
+    return kept.withColumn("__p", part).join(F.broadcast(before), "__p").select(*df.columns, (place + F.col("__o") + F.lit(start)).alias(name))
 
 
 def by_name(df: DataFrame, name: str = "name", ignore_case: bool = False) -> DataFrame:
