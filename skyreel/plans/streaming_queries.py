@@ -201,3 +201,19 @@ def _(t):
         F.array_join(F.transform("forwards", lambda f: f["id"]), ",").alias("forward_ids"), F.col("static_sensor.latitude").alias("latitude"),
     )
 
+
+
+@query("x13_ingest_documents_stream", "select n_nationkey as folder, 'application/json' as content_type, true as asked from nation")
+def _(t):
+    """Objects written one a nation, found by the monitor, catalogued and handed on for analysis; a restart adds nothing."""
+    from ..sources.snapshots import read_latest
+
+    folder = work_folder(t)
+    t.nation.select("n_nationkey", "n_name").coalesce(1).write.partitionBy("n_nationkey").json(f"{folder}/objects")
+    for _again in range(2):
+        run = live.ingest_documents(t.spark, f"{folder}/objects", f"{folder}/catalog", f"{folder}/checkpoint", f"{folder}/requests")
+        run.trigger(availableNow=True).start().awaitTermination()
+    asked = t.spark.read.schema("id string").json(f"{folder}/requests").withColumn("asked", F.lit(True))
+    rows = read_latest(t.spark, f"{folder}/catalog").join(asked, "id", "left")
+    number = F.regexp_extract("storage_key", "n_nationkey=(\\d+)/", 1).cast("int")
+    return rows.select(number.alias("folder"), "content_type", F.coalesce("asked", F.lit(False)).alias("asked"))

@@ -114,14 +114,18 @@ def current_registry(spark: SparkSession, root: str) -> DataFrame | None:
     return None if table is None else table.where("not ended")
 
 
-def ingest_documents(spark: SparkSession, root: str, catalog_root: str, checkpoint: str):
-    """New objects become catalog rows as they arrive."""
+def ingest_documents(spark: SparkSession, root: str, catalog_root: str, checkpoint: str, requests_root: str | None = None):
+    """New objects become catalog rows as they arrive, and, with ``requests_root``, requests to analyse them: one folder a
+    micro-batch, written over when the batch runs again."""
 
     def merge(batch: DataFrame, number: int) -> None:
         rows = catalog.import_objects(batch)
         held = read_before(spark, catalog_root, number)
         merged = rows if held is None else catalog.upsert_documents(rows, held, "created_at")
         write_version(merged, catalog_root, number=number + 1)
+        if requests_root is not None:
+            asked = rows.select("id", "storage_key", "file_name", "content_type")
+            asked.write.mode("overwrite").json(f"{requests_root}/batch={number}")
 
     return stream_objects(spark, root).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
