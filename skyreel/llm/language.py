@@ -17,6 +17,8 @@ from .common import prepared
 
 SAMPLE_ROWS = 80
 """Documents of each language that a dictionary is made of at most."""
+LANGUAGES = 256
+"""Languages that are learned at most, the most frequent ones."""
 PIECES, PIECE = 8, 256
 """From each of these so many pieces of so many characters, spread over the whole text."""
 BLOCK = 1_024
@@ -29,6 +31,8 @@ def dictionaries(documents: DataFrame) -> dict[str, bytes]:
     """A dictionary for each non-null ``lang`` of ``documents`` (doc_id, text, lang), from a bounded sample of rows."""
     prepared(documents.sparkSession)
     named = documents.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang").distinct()
+    known = named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
+    named = named.join(F.broadcast(known), "lang")
     turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = named.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= SAMPLE_ROWS)
 
