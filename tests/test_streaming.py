@@ -154,3 +154,24 @@ def test_error_alerts(spark, tmp_path):
 def _quiet(spark):
     spark.sparkContext.setLogLevel("OFF")
     yield
+
+
+@pytest.mark.parametrize("name", ["x09_changed_only_stream", "x03_registry_table_stream", "x08_beat_metrics_stream"])
+def test_tables_in_folders_over_several_batches(spark, tmp_path, monkeypatch, name):
+    """Events as four files of a folder, one a trigger, give what the table in one file gives."""
+    import pyarrow.parquet as pq
+    from oracle import difference, duck
+
+    import __spark_entry__ as entry
+    from skyreel.plans import streaming_queries
+
+    monkeypatch.setattr(streaming_queries, "FILES_PER_TRIGGER", 1)
+    whole = pq.read_table("/root/testdata/sf0.001/events.parquet")
+    whole = whole.sort_by([("ts", "ascending"), ("event_id", "ascending")])
+    os.makedirs(f"{tmp_path}/events.parquet")
+    for part in range(4):
+        path = f"{tmp_path}/events.parquet/part-{part}.parquet"
+        pq.write_table(whole.slice(part * 250, 250), path)
+        os.utime(path, (1_700_000_000 + part, 1_700_000_000 + part))
+    got = entry.queries()[name](spark, str(tmp_path)).toPandas()
+    assert difference(got, duck("/root/testdata/sf0.001").sql(entry.oracle_sql()[name]).df()) is None
