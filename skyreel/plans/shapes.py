@@ -33,7 +33,7 @@ def beats(t: Tables) -> DataFrame:
     )
 
 
-def beat_lane(keys: str | tuple[str, ...] = "name", seconds: int = 86_400) -> Lane:
+def beat_lane(keys: str | tuple[str, ...] = "name", seconds: int = 3_600) -> Lane:
     return lane(keys, ("at_us", "seq"), F.floor(F.col("at_us") / F.lit(seconds * 1_000_000)))
 
 
@@ -52,7 +52,7 @@ def packets(t: Tables) -> DataFrame:
     )
 
 
-def packet_lane(keys: str | tuple[str, ...] = "stream", seconds: int = 86_400) -> Lane:
+def packet_lane(keys: str | tuple[str, ...] = "stream", seconds: int = 3_600) -> Lane:
     return beat_lane(keys, seconds)
 
 
