@@ -23,7 +23,15 @@ def segmented(t):
 
 @query("s13_packet_table", f"{PACKETS} select stream, seq, pts, dts, size, is_key from packets")
 def _(t):
-    return shapes.packets(t).select("stream", "seq", "pts", "dts", "size", "is_key")
+    """Packets written with a payload of their size and read back through the source, which measures it."""
+    from ..sources.objects import packet_table
+    from .streaming_queries import work_folder
+
+    folder = work_folder(t)
+    payload = F.expr("repeat('p', cast(size as int))").cast("binary")
+    rows = shapes.packets(t).select("stream", "seq", F.lit(0).alias("stream_index"), "pts", "dts", F.lit(None).cast("long").alias("duration"), "is_key", payload.alias("data"))
+    rows.write.parquet(folder)
+    return packet_table(t.spark, folder).select("stream", "seq", "pts", "dts", F.octet_length("data").cast("long").alias("size"), "is_key")
 
 
 @query("w02_assign_segments", f"{SEGMENTED} select stream, seq, segment from segmented")
