@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
+from .common import checkpointed
 
 NUM, DEN = 75, 100
 SHINGLE = 5
@@ -33,7 +34,7 @@ MOST = 65_535
 overlap; a smaller place only weakens a filter."""
 POSTING = np.dtype([("token", "<u4"), ("key", "<u8"), ("n", "<u2"), ("i", "<u2")])
 """32 bits of a token besides those that choose its bucket: a chance match only makes a candidate more."""
-ALL_PAIRS = 16
+ALL_PAIRS = 32
 """Sets that share a token are compared pair by pair up to so many, else with PIVOTS of them first."""
 PIVOTS = 6
 
@@ -392,5 +393,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(linked(overlap(x, y), len(x), len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
+    pairs = checkpointed(pairs.select("a", "b"))
+    if pairs.count() <= BROADCAST_ROWS:
+        pairs = F.broadcast(pairs)
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long")
