@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import prepared
 
 BASE = -1
-MEMO_MOST = 400_000
+MEMO_MOST = 100_000
 """Words and arcs whose result a worker keeps at most."""
 SPACES = "\t-\r \x85\xa0  -     　"
 UNUSUAL_SPLIT = re.compile("[\x1c-\x1f]")

@@ -24,7 +24,7 @@ COMMON_LEAST = 32
 """A token counts as common from so many local repeats on; this only orders tokens."""
 COMMON_MOST = 1 << 17
 """Most entries of the broadcast table of common tokens (12 bytes each). Tokens beyond it keep their hash order."""
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 """Tokens a task counts or packs at once."""
 BUCKET_ROWS = 400_000
 BROADCAST_ROWS = 1 << 19
