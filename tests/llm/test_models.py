@@ -53,6 +53,28 @@ def test_language_edges(spark):
     assert language.dictionaries(spark.createDataFrame([], "doc_id long, text string, lang string")) == {}
 
 
+def test_short_languages_shrink_no_other(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(2)
+    vocabulary = ["".join(rng.choice(list("bdgkmnptvzaeiou"), 6)) for _ in range(150)]
+    said = lambda n: " ".join(rng.choice(vocabulary, n))
+    rows = [(-1, "Ten chars.", "aa"), (-2, "", "ab"), (-3, said(600), "zz")]
+    known = docs.where("doc_id % 3 <> 1")
+    alone = language.dictionaries(known)
+    learned = language.dictionaries(known.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert {k: v for k, v in learned.items() if k in alone} == alone
+    assert set(learned) == {*alone, "aa", "zz"} and min(map(len, alone.values())) > 10_000
+    held = docs.where("doc_id % 3 = 1")
+    held = held.unionByName(spark.createDataFrame([(-4 - k, said(40), "zz") for k in range(20)], held.schema))
+    want = {r.doc_id: r.lang for r in held.collect()}
+    got = {r.doc_id: r.lang_pred for r in language.identified(held, learned).collect()}
+    assert sum(got[d] == want[d] for d in want if d >= 0) > 0.97 * (len(want) - 20)
+    assert all(got[-4 - k] == "zz" for k in range(20))
+    two = {k: learned[k] for k in ("aa", "en")}
+    english = held.where("lang = 'en'")
+    assert sum(r.lang_pred == "en" for r in language.identified(english, two).collect()) > 0.97 * english.count()
+
+
 def test_offending_sentences(spark):
     rng = np.random.default_rng(1)
     words = [f"w{k}" for k in range(60)]
