@@ -17,6 +17,8 @@ from .common import checkpointed, prepared
 BROADCAST_ROWS = 1 << 18
 """The table of replacements is broadcast up to so many mentions (about 200 bytes each), else joined by a shuffle."""
 TRIES = 64
+LENGTHEN = 2
+PHONE_TRIES = 8
 
 # Titles that announce a name, by gender, and names to put in place of others, by script and gender.
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία"], "n": ["Dr", "Prof"]}
@@ -30,6 +32,15 @@ GIVEN = {
 }
 SYLLABLES = {"latin": ["ba", "den", "fol", "gar", "hem", "kin", "lor", "mas", "nov", "pel", "rud", "sen", "tor", "vin", "wal", "zim"], "cyrillic": ["ба", "ве", "гор", "дан", "кол", "лин", "мар", "нов", "пет", "род", "сен", "тар"], "greek": ["βα", "γρη", "δελ", "κασ", "λαμ", "μαρ", "νικ", "παπ", "ρου", "σταθ"]}
 
+# Letters without case, and digits, of other scripts: first character and count of each unbroken range.
+UNCASED = [
+    ("\u05d0", 27), ("\u0620", 32), ("\u0641", 10), ("\u0671", 99), ("\u0904", 54), ("\u0985", 8), ("\u0993", 22), ("\u0a05", 6), ("\u0a13", 22), ("\u0a85", 9), ("\u0a93", 22),
+    ("\u0b85", 6), ("\u0bae", 12), ("\u0c05", 8), ("\u0c12", 23), ("\u0c85", 8), ("\u0c92", 23), ("\u0d05", 8), ("\u0d12", 41), ("\u0d85", 18), ("\u0d9a", 24),
+    ("\u0e01", 48), ("\u0ea7", 10), ("\u0e86", 5), ("\u0e8c", 24), ("\u0f49", 36), ("\u1000", 43), ("\u1200", 73), ("\u1780", 52), ("\u1820", 35),
+    ("\u3041", 86), ("\u3105", 43), ("\u30a1", 90), ("\u3400", 6592), ("\u4e00", 20_976), ("\uac00", 11_172), ("\uff66", 10), ("\uff71", 45),
+]
+DIGITS = [(chr(x), 10) for x in (0x660, 0x6F0, 0x966, 0x9E6, 0xA66, 0xAE6, 0xB66, 0xBE6, 0xC66, 0xCE6, 0xD66, 0xE50, 0xED0, 0xF20, 0x1040, 0x17E0, 0x1810, 0xFF10)]
+
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "secret": r"(?<![\p{L}\p{N}])(?=[0-9a-fA-F]*\d)(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{24,}(?![\p{L}\p{N}])",
@@ -71,12 +82,20 @@ def _drawn(stream: Column, at: Column, below: Column | int) -> Column:
     return F.pmod(F.conv(piece.substr(F.pmod(at * 7, F.lit(249)) + 1, F.lit(8)), 16, 10).cast("long"), F.lit(below) if isinstance(below, int) else below).cast("int")
 
 
-def _spelled(entity: Column, stream: Column, first: int = 0) -> Column:
-    """Every letter and digit redrawn in its class; other characters, and the ``first`` of them, stay."""
+def _spelled(entity: Column, stream: Column, first: int = 0, anywhere: bool = False) -> Column:
+    """Every letter and digit redrawn in its class; other characters, and the ``first`` of them, stay.
+
+    With ``anywhere``, letters without case and digits of the scripts listed above are redrawn in their range, and letters
+    and numbers of no listed script become Latin letters and digits; only mail addresses can hold any.
+    """
     ranges = [("a", "z"), ("A", "Z"), ("а", "я"), ("А", "Я"), ("α", "ω"), ("Α", "Ω"), ("0", "9")]
+    others = F.array(*(F.struct(F.lit(low).alias("low"), F.lit(chr(ord(low) + n - 1)).alias("high"), F.lit(ord(low)).alias("code"), F.lit(n).alias("n")) for low, n in UNCASED + DIGITS))
 
     def one(c: Column, at: Column) -> Column:
-        out = F.when(F.regexp(c, F.lit(r"\p{Ll}")), F.char(_drawn(stream, at, 26) + 97)).when(F.regexp(c, F.lit(r"\p{Lu}")), F.char(_drawn(stream, at, 26) + 65)).otherwise(c)
+        out = F.when(F.regexp(c, F.lit(r"\p{Ll}")), F.char(_drawn(stream, at, 26) + 97)).when(F.regexp(c, F.lit(r"\p{Lu}")), F.char(_drawn(stream, at, 26) + 65))
+        drawn = F.transform(F.filter(others, lambda r: (c >= r["low"]) & (c <= r["high"])), lambda r: F.decode(F.unhex(F.lpad(F.hex(r["code"] + _drawn(stream, at, r["n"])), 4, "0")), "UTF-16BE"))
+        plain = F.when(F.regexp(c, F.lit(r"\p{L}")), F.char(_drawn(stream, at, 26) + 97)).otherwise(F.char(_drawn(stream, at, 10) + 48))
+        out = out.when((c > "9") & F.regexp(c, F.lit(r"[\p{L}\p{N}]")), F.coalesce(F.get(drawn, F.lit(0)), plain)).otherwise(c) if anywhere else out.otherwise(c)
         for low, high in ranges:
             letters = "".join(chr(x) for x in range(ord(low), ord(high) + 1) if chr(x) not in "ς΢")
             out = F.when((c >= low) & (c <= high), F.substring(F.lit(letters), 1, len(letters)).substr(_drawn(stream, at, len(letters)) + 1, F.lit(1))).otherwise(out)
@@ -96,14 +115,14 @@ def _script(entity: Column) -> Column:
     return F.when(F.regexp(entity, F.lit(r"\p{IsCyrillic}")), "cyrillic").when(F.regexp(entity, F.lit(r"\p{IsGreek}")), "greek").otherwise("latin")
 
 
-def _picked(options: list[str], stream: Column, at: int) -> Column:
-    return F.element_at(F.array(*map(F.lit, options)), _drawn(stream, F.lit(at), len(options)) + 1)
+def _picked(options: list[str], stream: Column, at: Column | int) -> Column:
+    return F.element_at(F.array(*map(F.lit, options)), _drawn(stream, F.lit(at) if isinstance(at, int) else at, len(options)) + 1)
 
 
-def _family(entity: Column, stream: Column) -> Column:
+def _family(entity: Column, stream: Column, more: Column) -> Column:
     out = None
     for script, parts in SYLLABLES.items():
-        name = F.initcap(F.concat(*(_picked(parts, stream, 3 + k) for k in range(4))))
+        name = F.initcap(F.array_join(F.transform(F.sequence(F.lit(3), more + 6), lambda at: _picked(parts, stream, at)), ""))
         out = F.when(_script(entity) == script, name) if out is None else out.when(_script(entity) == script, name)
     return out
 
@@ -120,8 +139,16 @@ def _given(entity: Column, gender: Column, stream: Column) -> Column:
 
 
 def surrogate(key: str, kind: Column, entity: Column, gender: Column, attempt: Column) -> Column:
-    """A replacement of the canonical ``entity``, in its canonical form."""
+    """A replacement of the canonical ``entity``, in its canonical form.
+
+    Names and addresses of mail get a syllable or letter more every LENGTHEN attempts, phone numbers a digit more with each
+    attempt after the first PHONE_TRIES: however many are taken, longer ones are free.
+    """
     stream = _stream(key, kind, entity, attempt)
+    more = F.floor(attempt / LENGTHEN).cast("int")
+    lead = F.substring(entity, 1, 1)
+    longer = F.repeat(F.when(F.regexp(lead, F.lit(r"\p{L}")), lead).otherwise("a"), more)
+    digits = F.repeat(F.lit("0"), F.greatest(attempt - (PHONE_TRIES - 1), F.lit(0)))
     ending = F.regexp_extract(entity, r"\.[^.]*$", 0)
     local = F.regexp_replace(entity, r"\.[^.]*$", "")
     card = _spelled(entity, stream, 1)
@@ -129,13 +156,13 @@ def surrogate(key: str, kind: Column, entity: Column, gender: Column, attempt: C
     valid = F.substring(entity, -1, 1) == _luhn(entity.substr(F.lit(1), F.char_length(entity) - 1))
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: (_drawn(stream, k * 5, 254) + 1).cast("string")), ".")
     names = F.split(entity, "[ -]")
-    full = F.when(F.size(names) > 1, F.concat(_given(entity, gender, stream), F.lit(" "), _family(entity, stream))).otherwise(_family(entity, stream))
+    full = F.when(F.size(names) > 1, F.concat(_given(entity, gender, stream), F.lit(" "), _family(entity, stream, more))).otherwise(_family(entity, stream, more))
     hexes = F.array_join(F.transform(F.split(entity, ""), lambda c, at: F.when(F.regexp(c, F.lit("[A-F]")), F.upper(stream.substr(F.pmod(at, F.lit(250)) + 1, F.lit(1)))).otherwise(stream.substr(F.pmod(at, F.lit(250)) + 1, F.lit(1)))), "")
     return (
-        F.when(kind == "email", F.concat(_spelled(local, stream), ending))
+        F.when(kind == "email", F.concat(_spelled(F.concat(longer, local), stream, anywhere=True), ending))
         .when(kind == "address", octets)
         .when(kind == "card", F.when(valid, F.concat(checked, _luhn(checked))).otherwise(card))
-        .when(kind == "phone", _spelled(entity, stream, 2))
+        .when(kind == "phone", _spelled(F.concat(entity, digits), stream, 2))
         .when(kind == "iban", _spelled(entity, stream, 2))
         .when(kind == "secret", hexes)
         .when(kind == "name", full)
@@ -152,7 +179,7 @@ def in_form(kind: Column, mention: Column, said: Column) -> Column:
         lambda state, c: F.when(F.regexp(c, F.lit(r"[ ().-]")), F.struct(F.concat(state["out"], c).alias("out"), state["at"].alias("at"))).otherwise(
             F.struct(F.concat(state["out"], said.substr(state["at"], F.lit(1))).alias("out"), (state["at"] + 1).alias("at"))
         ),
-        lambda state: state["out"],
+        lambda state: F.concat(state["out"], said.substr(state["at"], F.char_length(said))),  # what a longer surrogate has left
     )
     upper = F.upper(mention) == mention
     return F.when(kind.isin("card", "phone", "iban"), laid).when((kind == "email") & upper, F.upper(said)).otherwise(said)
@@ -175,7 +202,7 @@ def _settled(entities: DataFrame, key: str) -> DataFrame:
         if fresh.isEmpty():
             return done
         taken = taken.unionByName(won.select("kind", "said"))
-    raise ValueError("personal data: no free surrogate is left for some entities")
+    raise ValueError("personal data: no free surrogate is left for some entities of a form whose length is fixed")
 
 
 def _gender(before: Column) -> Column:

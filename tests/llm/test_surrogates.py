@@ -78,6 +78,33 @@ def test_collisions_are_redrawn(spark, monkeypatch):
     assert len({r.text for r in got.values()}) == len(names)
 
 
+def test_scripts_without_case(spark):
+    mails = ["王小明@例子.com", "محمد٣٤@مثال.com", "あい@カナ.jp", "김철수@도메인.kr", "ˢʰ@ː.ru", "--@-.co"]
+    got = said(spark, list(enumerate(mails)))
+    new = [got[k].text for k in range(len(mails))]
+    assert len({*new, *mails}) == 2 * len(mails)
+    for old, fresh, low, high in zip(mails, new, "一ؠぁ가", "鿯ۓヺ힣"):
+        assert len(old) == len(fresh) and old.rpartition(".")[2] == fresh.rpartition(".")[2]
+        for a, b in zip(*(t.rpartition(".")[0] for t in (old, fresh))):
+            assert a == b == "@" or ("٠" <= b <= "٩" if "٠" <= a <= "٩" else low <= b <= high)
+
+
+def test_more_entities_than_the_first_pool(spark, monkeypatch):
+    for group in surrogates.SYLLABLES:
+        monkeypatch.setitem(surrogates.SYLLABLES, group, ["ab", "cd"])  # 16 surrogates of the first length
+    monkeypatch.setattr(surrogates, "PHONE_TRIES", 1, raising=False)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"{a.upper()}{b}" for a in "bcdfgh" for b in ("ola", "une", "ir", "ott", "ump", "erg", "ino", "est")]
+    mails = [f"{a}@{b}.co" for a in letters for b in letters]
+    phones = [f"+1{k:04}" for k in range(10_000)]
+    got = said(spark, [(1, "; ".join(f"Mr {n}" for n in names)), (2, "; ".join(mails)), (3, "; ".join(phones))])
+    for doc, old in ((1, [f"Mr {n}" for n in names]), (2, mails), (3, phones)):
+        new = got[doc].text.split("; ")
+        assert len(new) == len(old) == got[doc].n_entities and len({*new, *old}) == 2 * len(old)
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.co", m) for m in got[2].text.split("; "))
+    assert all(re.fullmatch(r"\+1\d{4,}", m) for m in got[3].text.split("; "))
+
+
 def test_another_key(spark):
     rows = [(1, "10.20.30.40")]
     assert said(spark, rows, "a")[1].text != said(spark, rows, "b")[1].text
