@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, group_join, language, line_dedup, quality, surrogates, token_files, top_k, toxicity
+from . import bpe, decontamination, group_join, language, line_dedup, manifest, quality, surrogates, token_files, top_k, toxicity
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,3 +146,53 @@ def token_count_query(spark: SparkSession, folder: str) -> DataFrame:
 def surrogate_query(spark: SparkSession, folder: str) -> DataFrame:
     found = surrogates.replaced(table(spark, folder, "documents"), key="benchmark key")
     return found.select("doc_id", "text", "n_entities", "kinds")
+
+
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda c: CAST(ord(c) AS BIGINT))),
+        lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+"""crc32 of ASCII text, bit by bit."""
+PIECE = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+
+
+def _leaf_sql(more: int) -> str:
+    return "sha256(" + " || ".join(PIECE.format(c) for c in ("doc_id", "source", "lang", f"(n_chars + {more})", "text")) + ")"
+
+
+@query(
+    "op11_merkle_manifest",
+    f"""
+    WITH RECURSIVE leaves AS (
+        SELECT doc_id, lang, {_leaf_sql(0)} AS leaf, CASE WHEN n_chars IS NOT NULL AND {CRC32.format(text="CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_leaf_sql(1)} END AS bent FROM documents
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM leaves
+    ), nodes(tree, level, pos, n, h) AS (
+        SELECT tree, 0, pos, n, leaf FROM placed
+        UNION ALL
+        SELECT tree, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY tree, level, pos // 2, n
+    ), subroots AS (SELECT tree AS pos, h, (SELECT count(DISTINCT tree) FROM placed) AS n FROM nodes WHERE n = 1),
+    crown(level, pos, n, h) AS (
+        SELECT 0, pos, n, h FROM subroots
+        UNION ALL
+        SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM crown WHERE n > 1 GROUP BY level, pos // 2, n
+    ), steps AS (
+        SELECT p.tree, p.pos, o.level, p.pos >> o.level AS here, s.h AS sibling FROM placed p JOIN (SELECT DISTINCT tree, level FROM nodes WHERE n > 1) o ON o.tree = p.tree
+            LEFT JOIN nodes s ON s.tree = p.tree AND s.level = o.level AND s.pos = xor(p.pos >> o.level, 1)
+        UNION ALL
+        SELECT p.tree, p.pos, 1000 + o.level, p.tree >> o.level, s.h FROM placed p, (SELECT DISTINCT level FROM crown WHERE n > 1) o LEFT JOIN crown s ON s.level = o.level AND s.pos = xor(p.tree >> o.level, 1)
+    ), proofs AS (
+        SELECT p.tree, p.pos, p.doc_id, p.leaf, coalesce(p.bent, p.leaf) AS bent, coalesce(string_agg(s.sibling, '' ORDER BY s.level), '') AS proof,
+            coalesce(list({{'right': s.here % 2 = 0, 'h': coalesce(s.sibling, '')}} ORDER BY s.level) FILTER (s.level IS NOT NULL), []) AS path
+        FROM placed p LEFT JOIN steps s ON s.tree = p.tree AND s.pos = p.pos GROUP BY ALL
+    ), climbed(tree, pos, k, h) AS (
+        SELECT tree, pos, 1, bent FROM proofs
+        UNION ALL
+        SELECT c.tree, c.pos, k + 1, sha256(CASE WHEN path[k]."right" THEN c.h || path[k].h ELSE path[k].h || c.h END) FROM climbed c JOIN proofs p ON p.tree = c.tree AND p.pos = c.pos WHERE k <= len(path)
+    ), ends AS (SELECT c.tree, c.pos, c.h FROM climbed c JOIN proofs p ON p.tree = c.tree AND p.pos = c.pos WHERE k = len(path) + 1)
+    SELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, sha256(p.proof) AS proof_sha256, e.h AS folded_root, e.h = r.h AS verified
+    FROM proofs p JOIN subroots s ON s.pos = p.tree JOIN ends e ON e.tree = p.tree AND e.pos = p.pos, (SELECT h FROM crown WHERE n = 1) r
+    """,
+)
+def merkle_query(spark: SparkSession, folder: str) -> DataFrame:
+    found = manifest.of_documents(table(spark, folder, "documents"))
+    told = found.select("doc_id", "leaf", "subroot", "root", manifest.proof_hash(F.col("proof")).alias("proof_sha256"), manifest.folded(F.col("bent"), F.col("proof")).alias("folded_root"))
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
