@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, group_join, language, line_dedup, manifest, quality, surrogates, token_files, top_k, toxicity
+from . import bpe, decontamination, group_join, language, line_dedup, lm, manifest, quality, spelling, surrogates, token_files, top_k, toxicity
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,3 +196,42 @@ def merkle_query(spark: SparkSession, folder: str) -> DataFrame:
     found = manifest.of_documents(table(spark, folder, "documents"))
     told = found.select("doc_id", "leaf", "subroot", "root", manifest.proof_hash(F.col("proof")).alias("proof_sha256"), manifest.folded(F.col("bent"), F.col("proof")).alias("folded_root"))
     return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query(
+    "op12_spelling_variants",
+    """
+    WITH RECURSIVE steps AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS t),
+    runs AS (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+    ), counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+    bytes AS (SELECT *, hex(encode(CAST(doc_id AS VARCHAR) || ':' || run)) AS x FROM counted),
+    hashed AS (
+        SELECT doc_id, run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+            lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1]))) AS h FROM bytes, steps
+    ), slipped AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed),
+    vocabulary AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+    dropped AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS d FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)),
+    near AS (
+        SELECT a.word, b.word AS near, b.n FROM dropped a JOIN dropped b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+        UNION SELECT a.word, b.word, b.n FROM dropped a JOIN vocabulary b ON a.d = b.word
+        UNION SELECT b.word, a.word, a.n FROM dropped a JOIN vocabulary b ON a.d = b.word
+    ), best AS (SELECT word, near, n, count(*) OVER (PARTITION BY word) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, near) = 1),
+    formed AS (
+        SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 10 * v.n THEN b.near END AS form, CASE WHEN b.n >= 10 * v.n THEN b.n END AS form_n
+        FROM vocabulary v LEFT JOIN best b USING (word)
+    ), followed(word, root) AS (SELECT word, word FROM formed UNION ALL SELECT f.word, g.form FROM followed f JOIN formed g ON g.word = f.root WHERE g.form IS NOT NULL)
+    SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM formed f
+    JOIN (SELECT l.word, l.root FROM followed l JOIN formed g ON g.word = l.root WHERE g.form IS NULL) r ON r.word = f.word
+    """,
+)
+def spelling_query(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.of_documents(table(spark, folder, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op13_lm_scoring")
+def lm_query(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = lm.train(documents.where(~held_out(5, 1)).select("doc_id", "text"))
+    found = lm.scored(documents, model)
+    return found.select("doc_id", held_out(5, 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
