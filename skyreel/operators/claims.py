@@ -46,16 +46,20 @@ class NameClaim:
 
     def __init__(self, beat_us: int = BEAT_US, grace_us: int = GRACE_US):
         self.alive_us, self.grace_us = 3 * beat_us, grace_us
-        self.owner, self.beat_at, self.started = None, None, None
+        self.owner, self.beat_at, self.started, self.live = None, None, None, False
+
+    def hold(self, owner: str, beat_at: int, started: int, live: bool) -> None:
+        """What the registry says of the name: whose it is, and whether it is live or only waits for its feed."""
+        self.owner, self.beat_at, self.started, self.live = owner, beat_at, started, live
 
     def apply(self, owner: str, at_us: int) -> str:
         age = None if self.owner is None else at_us - self.beat_at
-        if age is not None and self.owner != owner and age <= self.alive_us:
+        if age is not None and self.live and self.owner != owner and age <= self.alive_us:
             return "refused"
         resumed = age is not None and age <= self.grace_us
         if not resumed:
             self.started = at_us
-        self.owner, self.beat_at = owner, at_us
+        self.owner, self.beat_at, self.live = owner, at_us, True
         return "resumed" if resumed else "taken"
 
 
@@ -90,28 +94,39 @@ class _Leases:
         return []
 
 
-def name_claims(attempts: DataFrame, on: Lane, beat_us: int = BEAT_US, grace_us: int = GRACE_US) -> DataFrame:
-    """``attempts(name, seq, at_us, owner)`` with their outcome and the start time the stream then has."""
+def name_claims(attempts: DataFrame, on: Lane, beat_us: int = BEAT_US, grace_us: int = GRACE_US, held: DataFrame | None = None) -> DataFrame:
+    """``attempts(name, seq, at_us, owner)`` with their outcome and the start time the stream then has.
+
+    ``held(name, owner, state, heartbeat_us, started_us)``, a row a name, is the registry as it stood before: only a live holder refuses others.
+    """
     seen = running(attempts, on, inclusive=False, __before=("max", F.col("at_us")))
-    rested = F.col("__before").isNull() | (F.col("at_us") - F.col("__before") > max(grace_us, 3 * beat_us))
-    pieces = sessions(seen, on, rested, "__piece").drop("__before")
     keys, order = list(on.keys), list(on.order)
-    types = dict(attempts.dtypes)
     columns = [*keys, "seq", "at_us", "owner"]
+    if held is None:
+        seen = seen.withColumn("__held", F.lit(None).cast("struct<owner: string, heartbeat_us: bigint, started_us: bigint, live: boolean>"))
+    else:
+        was = held.select(*keys, F.struct("owner", "heartbeat_us", "started_us", (F.col("state") == "Live").alias("live")).alias("__held"))
+        seen = seen.join(was, keys, "left")
+    before = F.greatest("__before", F.when(F.col("__before").isNotNull(), F.col("__held.heartbeat_us")))
+    rested = before.isNull() | (F.col("at_us") - before > max(grace_us, 3 * beat_us))
+    pieces = sessions(seen, on, rested, "__piece")
+    first = F.when(F.col("__piece") == 1, F.col("__held"))  # later pieces began when no earlier holder counted any more
+    rows = pieces.select(*columns, *[first[c].alias(f"__{c}") for c in ("owner", "heartbeat_us", "started_us", "live")], "__piece")
+    types = dict(attempts.dtypes)
     fields = ", ".join(f"{c} {types[c]}" for c in columns)
-    return replay(
-        pieces.select(*columns, "__piece"), [*keys, "__piece"], order,
-        lambda: _Claims(beat_us, grace_us), f"{fields}, outcome string, started_us long",
-    )
+    return replay(rows, [*keys, "__piece"], order, lambda: _Claims(beat_us, grace_us), f"{fields}, outcome string, started_us long")
 
 
 class _Claims:
     def __init__(self, beat_us: int, grace_us: int):
-        self.claim = NameClaim(beat_us, grace_us)
+        self.claim, self.fresh = NameClaim(beat_us, grace_us), True
 
     def feed(self, rows: list[tuple]) -> list[tuple]:
         out = []
-        for *attempt, _piece in rows:
+        for *attempt, holder, heartbeat, started, live, _piece in rows:
+            if self.fresh and holder is not None:
+                self.claim.hold(holder, heartbeat, started, live)
+            self.fresh = False
             at, owner = attempt[-2:]
             out.append((*attempt, self.claim.apply(owner, at), self.claim.started))
         return out

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .ordered import Lane, running, sessions
+from .ordered import Lane, around, running, sessions
 from .sequential import replay
 
 FEED_TIMEOUT_US = 5_000_000
@@ -35,23 +35,46 @@ def live_sessions(
     )
 
 
-def lifecycle_events(packets: DataFrame, on: Lane, as_of_us: int, at_us: str = "at_us", timeout_us: int = FEED_TIMEOUT_US, grace_us: int = GRACE_US) -> DataFrame:
+def lifecycle_events(
+    packets: DataFrame, on: Lane, as_of_us: int, at_us: str = "at_us", timeout_us: int = FEED_TIMEOUT_US, grace_us: int = GRACE_US, ended: Column | None = None
+) -> DataFrame:
     """State changes of every stream up to ``as_of_us``: Live, Interrupted after a silence, Gone after the grace.
 
-    Only rows next to a silence matter, so gaps are found first and the changes made out of those.
+    Rows where ``ended`` holds are no packets but say that the feed has ended: its stream is interrupted at once, and gone a grace
+    period after its last packet. Only rows next to a silence matter, so gaps are found first and the changes made out of those.
     """
-    seen = running(packets, on, inclusive=False, previous_us=("max", F.col(at_us)))
-    ending = packets.groupBy(*on.keys).agg(F.max(at_us).alias("previous_us")).withColumn(at_us, F.lit(None).cast("long"))
     keys = [F.col(k) for k in on.keys]
-    gaps = seen.select(*keys, at_us, "previous_us").unionByName(ending.select(*keys, at_us, "previous_us"))
-    until = F.coalesce(F.col(at_us), F.lit(as_of_us))
-    silence = until - F.col("previous_us")
     change = lambda state, when: F.struct(F.lit(state).alias("state"), when.alias("at_us"))
-    interrupted = F.when(silence > timeout_us, change("Interrupted", F.col("previous_us") + timeout_us))
-    gone = F.when(silence > grace_us, change("Gone", F.col("previous_us") + grace_us))
-    back = F.col("previous_us").isNull() | (silence > timeout_us)
-    live = F.when(F.col(at_us).isNotNull() & back, change("Live", F.col(at_us)))
-    changes = gaps.select(*keys, F.explode(F.array_compact(F.array(interrupted, gone, live))).alias("c"))
+    if ended is None:
+        seen = running(packets, on, inclusive=False, previous_us=("max", F.col(at_us)))
+        ending = packets.groupBy(*on.keys).agg(F.max(at_us).alias("previous_us")).withColumn(at_us, F.lit(None).cast("long"))
+        gaps = seen.select(*keys, at_us, "previous_us").unionByName(ending.select(*keys, at_us, "previous_us"))
+        until = F.coalesce(F.col(at_us), F.lit(as_of_us))
+        silence = until - F.col("previous_us")
+        interrupted = F.when(silence > timeout_us, change("Interrupted", F.col("previous_us") + timeout_us))
+        gone = F.when(silence > grace_us, change("Gone", F.col("previous_us") + grace_us))
+        back = F.col("previous_us").isNull() | (silence > timeout_us)
+        live = F.when(F.col(at_us).isNotNull() & back, change("Live", F.col(at_us)))
+        changes = gaps.select(*keys, F.explode(F.array_compact(F.array(interrupted, gone, live))).alias("c"))
+        return changes.select(*keys, "c.state", "c.at_us")
+    # a packet and the ends of the feed behind it share a number; one row of each is left
+    marked = packets.select(*on.keys, *[c for c in on.order if c not in on.keys], *([at_us] if at_us not in on.order else []), on.chunk.alias("__at_chunk"), F.coalesce(ended, F.lit(False)).alias("__ended"))
+    laned = Lane(on.keys, on.order, F.col("__at_chunk"))
+    counted = running(marked, laned, __no=("count", F.when(~F.col("__ended"), 1)))
+    spans = cut_lineage(
+        counted.where("__no > 0").groupBy(*on.keys, "__no").agg(
+            F.max(F.when(~F.col("__ended"), F.col(at_us))).alias("__from"), F.min(F.when(F.col("__ended"), F.col(at_us))).alias("__end"), F.min("__at_chunk").alias("__at_chunk")
+        )
+    )
+    both = around(spans, Lane(on.keys, ("__no",), F.col("__at_chunk")), F.lit(True), start=F.col("__from"), end=F.col("__end"))
+    until = F.coalesce(F.col("after_start"), F.lit(as_of_us))
+    silent_at = lambda start, end, to: F.least(F.when(to - start > timeout_us, start + timeout_us), end)
+    silent = silent_at(F.col("__from"), F.col("__end"), until)
+    before = silent_at(F.col("before_start"), F.col("before_end"), F.col("__from"))
+    live = F.when(F.col("before_start").isNull() | before.isNotNull(), change("Live", F.col("__from")))
+    interrupted = F.when(silent <= as_of_us, change("Interrupted", silent))
+    gone = F.when(until - F.col("__from") > grace_us, change("Gone", F.col("__from") + grace_us))
+    changes = both.select(*keys, F.explode(F.array_compact(F.array(live, interrupted, gone))).alias("c"))
     return changes.select(*keys, "c.state", "c.at_us")
 
 

@@ -244,6 +244,28 @@ class Tracker:
         return out
 
 
+    def state(self) -> list[tuple]:
+        """A row of TRACK_STATE a track, its id first."""
+        motion = np.hstack([self.motion.at, self.motion.speed, self.motion.var_at, self.motion.cov, self.motion.var_speed])
+        fields = ("status", "confirmed", "started", "last_seen", "last_frame", "hits", "name", "confidence")
+        plain = lambda v: v.item() if isinstance(v, np.generic) else v
+        return [(t["id"], *(plain(t[f]) for f in fields), row.tolist()) for t, row in zip(self.info, motion)]
+
+    @classmethod
+    def restored(cls, width: int, height: int, frame: int, born: int, tracks: list[tuple], **settings) -> "Tracker":
+        """The tracker that had this state."""
+        tracker = cls(width, height, frame=frame, **settings)
+        tracker.born = born
+        for number, status, confirmed, started, last_seen, last_frame, hits, name, confidence, _ in tracks:
+            tracker.info.append({"id": number, "status": status, "confirmed": confirmed, "started": started, "last_seen": last_seen, "last_frame": last_frame, "hits": hits, "name": name, "confidence": confidence})
+        parts = np.array([t[-1] for t in tracks], dtype=float).reshape(-1, 20)
+        m = tracker.motion
+        m.at, m.speed, m.var_at, m.cov, m.var_speed = (parts[:, k : k + 4].copy() for k in range(0, 20, 4))
+        return tracker
+
+
+TRACK_STATE = "status int, confirmed boolean, started long, last_seen long, last_frame long, hits int, name string, confidence double, motion array<double>"
+
 OUT_FIELDS = (
     "seq long, pts long, local_id int, left int, top int, right int, bottom int, confidence int, class_name string, "
     "started_pts long, last_seen_pts long, hits int, born int"

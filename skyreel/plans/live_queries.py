@@ -13,19 +13,16 @@ BEATS = with_shapes("beats")
 LEASE = 12 * HOUR
 
 
-@query(
-    "s01_list_objects",
-    "select n_regionkey as region, n_nationkey as nation, cast(octet_length(encode(n_name)) + 1 as bigint) as size from nation",
-)
+@query("s01_list_objects", "select c_custkey // 100 as piece, cast(sum(octet_length(encode(c_name)) + 1) as bigint) as size from customer group by 1")
 def _(t):
-    """Every nation's name stored as an object of its own, then listed: the contents are not read again."""
+    """Customers' names stored as objects of a hundred keys each, then listed: the contents are not read again."""
     from .streaming_queries import work_folder
 
     root = work_folder(t)
-    t.nation.select("n_regionkey", "n_nationkey", F.col("n_name").alias("value")).repartition("n_nationkey").write.partitionBy("n_regionkey", "n_nationkey").text(root)
+    piece = F.floor(F.col("c_custkey") / 100).alias("piece")
+    t.customer.select(piece, F.col("c_name").alias("value")).repartition("piece").write.partitionBy("piece").text(root)
     found = list_objects(t.spark, root)
-    part = lambda name: F.regexp_extract("key", f"{name}=(\\d+)/", 1).cast("int")
-    return found.select(part("n_regionkey").alias("region"), part("n_nationkey").alias("nation"), "size")
+    return found.select(F.regexp_extract("key", "piece=(\\d+)/", 1).cast("long").alias("piece"), "size")
 
 
 def lease_events(t):
@@ -69,6 +66,36 @@ def _(t):
     return claims.name_claims(attempts, beat_lane(), 3 * HOUR, 12 * HOUR)
 
 
+HELD = f"""{BEATS[5:]}, r as (select name, 'pod-' || ((min(k) + 1) % 3) as holder, case when min(seq) % 2 = 0 then 'Interrupted' else 'Live' end as state,
+    min(at_us) - (min(seq) % 15) * {HOUR} as heartbeat_us, min(at_us) - {50 * HOUR} as began_us from beats group by name)"""
+CLAIMS_OVER_REGISTRY = f"""with recursive {HELD}, n as (select name, seq, at_us, 'pod-' || (k % 3) as owner, row_number() over (partition by name order by at_us, seq) as rn from beats),
+  w as (select name, cast(null as bigint) as seq, heartbeat_us as at_us, holder as owner, cast(0 as bigint) as rn, holder as held, heartbeat_us as beat, began_us as started_us, '' as outcome, state = 'Live' as live from r
+    union all select name, seq, at_us, owner, rn, case when refused then held else owner end, case when refused then beat else at_us end,
+      case when refused or resumed then started_us else at_us end, case when refused then 'refused' when resumed then 'resumed' else 'taken' end, live or not refused
+    from (select n.name, n.seq, n.at_us, n.owner, n.rn, w.held, w.beat, w.started_us, w.live, w.live and w.held <> n.owner and n.at_us - w.beat <= {9 * HOUR} as refused,
+      n.at_us - w.beat <= {12 * HOUR} as resumed from w join n on n.name = w.name and n.rn = w.rn + 1))
+select name, seq, at_us, owner, outcome, started_us from w where rn > 0"""
+
+
+def claim_attempts(beats):
+    return beats.select("name", "seq", "at_us", "ts", F.concat(F.lit("pod-"), (F.col("k") % 3).cast("string")).alias("owner"))
+
+
+def held_names(t):
+    """A registry as it stood before the first beat: some holders live, some interrupted, some long gone."""
+    first = shapes.beats(t).groupBy("name").agg(F.min("k").alias("k"), F.min("seq").alias("seq"), F.min("at_us").alias("at_us"))
+    state = F.when(F.col("seq") % 2 == 0, "Interrupted").otherwise("Live")
+    return first.select(
+        "name", F.concat(F.lit("pod-"), ((F.col("k") + 1) % 3).cast("string")).alias("owner"), state.alias("state"),
+        (F.col("at_us") - F.col("seq") % 15 * HOUR).alias("heartbeat_us"), (F.col("at_us") - 50 * HOUR).alias("started_us"),
+    )
+
+
+@query("x05_claims_over_registry", CLAIMS_OVER_REGISTRY)
+def _(t):
+    return claims.name_claims(claim_attempts(shapes.beats(t)).drop("ts"), beat_lane(), 3 * HOUR, 12 * HOUR, held_names(t))
+
+
 @query(
     "x12_arrival_flags",
     f"""{BEATS}, p as (select name, seq, at_us, case when k % 13 <> 0 then at_us - (k % 5) * {6 * HOUR} end as pts from beats),

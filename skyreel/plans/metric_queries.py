@@ -251,6 +251,26 @@ def _(t):
     return changes.select("name", "state", "at_us")
 
 
+def feed_ends(as_of: int, unit: int = 1, name: str = "at_us") -> str:
+    """State changes where errors end the feed, in units of so many microseconds."""
+    timeout, grace = TIMEOUT // unit, GRACE // unit
+    return f"""{BEATS}, n as (select name, kind, at_us // {unit} as t, count(*) filter (kind <> 'error') {BY_NAME} as no from beats),
+  f as (select name, no, max(t) filter (kind <> 'error') as start, min(t) filter (kind = 'error') as ended from n where no > 0 group by name, no),
+  h as (select *, coalesce(lead(start) over (partition by name order by no), {as_of // unit}) - start as silence from f),
+  c as (select *, least(case when silence > {timeout} then start + {timeout} end, ended) as silent from h),
+  b as (select *, lag(silent) over (partition by name order by no) as silent_before, lag(start) over (partition by name order by no) as before from c)
+select name, 'Live' as state, start as {name} from b where before is null or silent_before is not null
+union all select name, 'Interrupted', silent from b where silent is not null
+union all select name, 'Gone', start + {grace} from b where silence > {grace}"""
+
+
+@query("x01_feed_ended", feed_ends(AS_OF_US + 3 * DAY_US))
+def _(t):
+    """Errors end the feed: the stream is interrupted at once."""
+    changes = lifecycle.lifecycle_events(shapes.beats(t), beat_lane(), AS_OF_US + 3 * DAY_US, timeout_us=TIMEOUT, grace_us=GRACE, ended=F.col("kind") == "error")
+    return changes.select("name", "state", "at_us")
+
+
 @query(
     "x01_never_fed",
     f"""{with_shapes("beats", "sources")} select name, {AS_OF_US} - cust_no * 1000000 as created_us from sources where cust_no * 1000000 > 30000000

@@ -8,6 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import buckets
+
+KEPT_VERSIONS = 3
+
 
 def _finished(spark: SparkSession, root: str) -> list[str]:
     jvm = spark._jvm
@@ -26,14 +30,23 @@ def latest_version(spark: SparkSession, root: str) -> str | None:
 
 
 def read_latest(spark: SparkSession, root: str, format: str = "parquet") -> DataFrame | None:
+    """The newest version's rows, of a table kept whole or in buckets; None if there is none."""
     path = latest_version(spark, root)
-    return None if path is None else spark.read.format(format).load(path)
+    if path is None:
+        return buckets.read(spark, root)
+    return spark.read.format(format).load(path)
+
 
+def write_version(df: DataFrame, root: str, format: str = "parquet", number: int | None = None, kept: int = KEPT_VERSIONS) -> str:
+    """Write ``df`` as the next version; with ``number`` a repeated write of the same step replaces itself.
 
-def write_version(df: DataFrame, root: str, format: str = "parquet", number: int | None = None) -> str:
-    """Write ``df`` as the next version; with ``number`` a repeated write of the same step replaces itself."""
+    For tables that are small or change as a whole (``buckets`` rewrites what changed). All but the newest ``kept`` versions go.
+    """
     versions = _finished(df.sparkSession, root)
     step = number if number is not None else (int(versions[-1][2:]) + 1 if versions else 1)
     path = f"{root}/v-{step:012d}"
     df.write.format(format).mode("overwrite").save(path)
+    for old in _finished(df.sparkSession, root)[: -max(kept, 1)]:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{root}/{old}")
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
     return path

@@ -1,27 +1,27 @@
 """The live twins of the batch operators, on Structured Streaming.
 
 Time windows and de-duplication use built-in operators with watermarks; rules with memory run as
-stateful processors over the same small classes the batch jobs use, with their state in the state store.
+stateful processors over the same small classes the batch jobs use, with their state in the state store (``turns``).
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..operators import catalog, registry
 from ..operators.claims import Lease, NameClaim
-from ..operators.tracking import Tracker
-from ..session import ROCKSDB_PROVIDER
+from ..operators.tracking import TRACK_STATE, Tracker
+from ..sources.buckets import Table, update
 from ..sources.objects import stream_objects
-from ..sources.snapshots import read_latest, write_version
+from ..sources.snapshots import read_latest
+from .turns import InTurn, in_turn
 
 # --- built-in operators -------------------------------------------------------------------------
 
@@ -84,29 +84,18 @@ def change_feed(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema("kind string, id string, key string, name string").parquet(folder)
 
 
-def registry_table(beats: DataFrame, root: str, checkpoint: str):
-    """Keep the newest heartbeat per stream in a versioned table; a row with ``ended`` removes its stream.
+def registry_table(beats: DataFrame, root: str, checkpoint: str, buckets: int = 64):
+    """Keep the newest heartbeat per stream in a table of buckets; a row with ``ended`` removes its stream.
 
-    A batch is reduced per stream before it meets the table, and a batch that is run again writes the same
-    version again.
+    A batch is reduced per stream before it meets the buckets its streams lie in; no other bucket is read or written. A batch
+    that is run again finds its version.
     """
+    table = Table(root, ("name",), buckets)
 
-    def merge(batch: DataFrame, number: int) -> None:
-        newest = registry.latest_per_name(batch, ["at_us", "seq"])
-        held = read_before(batch.sparkSession, root, number)
-        if held is not None:
-            newest = registry.latest_per_name(held.unionByName(newest), ["at_us", "seq"])
-        write_version(newest, root, number=number + 1)
-
-    return beats.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-
+    def newest(held: DataFrame, batch: DataFrame) -> DataFrame:
+        return registry.latest_per_name(held.unionByName(registry.latest_per_name(batch, ["at_us", "seq"])), ["at_us", "seq"])
 
-def read_before(spark: SparkSession, root: str, number: int) -> DataFrame | None:
-    """The table as it stood before micro-batch ``number``."""
-    from ..sources.snapshots import _finished
-
-    earlier = [v for v in _finished(spark, root) if int(v[2:]) <= number]
-    return spark.read.parquet(f"{root}/{earlier[-1]}") if earlier else None
+    return beats.writeStream.foreachBatch(lambda batch, number: update(batch, table, newest, number + 1)).option("checkpointLocation", checkpoint)
 
 
 def current_registry(spark: SparkSession, root: str) -> DataFrame | None:
@@ -114,15 +103,14 @@ def current_registry(spark: SparkSession, root: str) -> DataFrame | None:
     return None if table is None else table.where("not ended")
 
 
-def ingest_documents(spark: SparkSession, root: str, catalog_root: str, checkpoint: str, requests_root: str | None = None):
+def ingest_documents(spark: SparkSession, root: str, catalog_root: str, checkpoint: str, requests_root: str | None = None, buckets: int = 64):
     """New objects become catalog rows as they arrive, and, with ``requests_root``, requests to analyse them: one folder a
-    micro-batch, written over when the batch runs again."""
+    micro-batch, written over when the batch runs again. Of the catalog only the buckets of the new ids are rewritten."""
+    table = Table(catalog_root, ("id",), buckets)
 
     def merge(batch: DataFrame, number: int) -> None:
         rows = catalog.import_objects(batch)
-        held = read_before(spark, catalog_root, number)
-        merged = rows if held is None else catalog.upsert_documents(rows, held, "created_at")
-        write_version(merged, catalog_root, number=number + 1)
+        update(rows, table, lambda held, new: catalog.upsert_documents(new, held, "created_at"), number + 1)
         if requests_root is not None:
             asked = rows.select("id", "storage_key", "file_name", "content_type")
             asked.write.mode("overwrite").json(f"{requests_root}/batch={number}")
@@ -132,193 +120,320 @@ def ingest_documents(spark: SparkSession, root: str, catalog_root: str, checkpoi
 
 # --- rules with memory --------------------------------------------------------------------------
 
+SLOT_US = 60_000_000
+"""Rows wait in slots of a minute, if the caller names no other width."""
 
-def _stateful(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, time_mode: str = "None") -> DataFrame:
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-    return rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time_mode
-    )
-
-
-class _Remembering(StatefulProcessor):
-    """One pickled value of memory per key; rows of a micro-batch are taken in order."""
-
-    order = ["at_us", "seq"]
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.memory = handle.getValueState("memory", "value binary")
 
-    def recall(self, fresh):
-        return pickle.loads(self.memory.get()[0]) if self.memory.exists() else fresh()
+def _timed(rows: DataFrame, at: str | None, late: str) -> DataFrame:
+    return rows if at is None else rows.withWatermark(at, late)
 
-    def remember(self, value) -> None:
-        self.memory.update((pickle.dumps(value),))
 
-    def ordered(self, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        return pd.concat(list(rows)).sort_values(self.order, kind="stable")
+class LeaseRule(InTurn):
+    memory = "worker string, seen_us long"
+    columns = ["stream", "seq", "at_us", "action", "worker", "granted", "holder"]
 
-    def close(self) -> None:
-        pass
-
-
-class LeaseProcessor(_Remembering):
-    def __init__(self, lease_us: int):
+    def __init__(self, lease_us: int, slot: int, by_time: bool):
+        super().__init__(slot, by_time)
         self.lease_us = lease_us
 
-    def handleInputRows(self, key, rows, timerValues):
-        lease = self.recall(lambda: Lease(self.lease_us))
-        batch = self.ordered(rows)
+    def step(self, key, rows):
+        lease = Lease(self.lease_us)
+        lease.worker, lease.seen_us = self.recall() or (None, None)
         out = []
-        for seq, at, action, worker in zip(batch["seq"], batch["at_us"], batch["action"], batch["worker"]):
+        for seq, at, action, worker in zip(rows["seq"], rows["at_us"], rows["action"], rows["worker"]):
             granted = lease.apply(action, worker, int(at))
             out.append((key[0], seq, at, action, worker, granted, lease.holder(int(at))))
-        self.remember(lease)
-        yield pd.DataFrame(out, columns=["stream", "seq", "at_us", "action", "worker", "granted", "holder"])
+        self.remember(lease.worker, lease.seen_us)
+        return out
 
 
-def detector_leases(events: DataFrame, lease_us: int = 10_000_000) -> DataFrame:
+def detector_leases(events: DataFrame, lease_us: int = 10_000_000, at: str | None = None, late: str = "10 seconds", slot_us: int = SLOT_US) -> DataFrame:
+    """Events in the order of each micro-batch; with a timestamp ``at``, in order of time, as the watermark passes them."""
     schema = "stream string, seq long, at_us long, action string, worker string, granted boolean, holder string"
-    return _stateful(events, ["stream"], LeaseProcessor(lease_us), schema)
+    return in_turn(_timed(events, at, late), ["stream"], LeaseRule(lease_us, slot_us, at is not None), schema)
 
 
-class ClaimProcessor(_Remembering):
-    def __init__(self, beat_us: int, grace_us: int):
-        self.beat_us, self.grace_us = beat_us, grace_us
+class ClaimRule(InTurn):
+    memory = "owner string, beat_us long, started_us long, live boolean"
+    columns = ["name", "seq", "at_us", "owner", "outcome", "started_us"]
 
-    def handleInputRows(self, key, rows, timerValues):
-        claim = self.recall(lambda: NameClaim(self.beat_us, self.grace_us))
-        out = []
-        for row in self.ordered(rows).itertuples():
-            outcome = claim.apply(row.owner, int(row.at_us))
-            out.append((key[0], row.seq, row.at_us, row.owner, outcome, claim.started))
-        self.remember(claim)
-        yield pd.DataFrame(out, columns=["name", "seq", "at_us", "owner", "outcome", "started_us"])
+    def __init__(self, beat_us: int, grace_us: int, slot: int, by_time: bool):
+        super().__init__(slot, by_time)
+        self.beat_us, self.grace_us = beat_us, grace_us
 
+    def handleInitialState(self, key, initialState, timerValues):
+        row = initialState.iloc[0]
+        self.remember(row["owner"], int(row["heartbeat_us"]), int(row["started_us"]), row["state"] == "Live")
 
-def name_claims(attempts: DataFrame, beat_us: int = 2_000_000, grace_us: int = 30_000_000) -> DataFrame:
+    def step(self, key, rows):
+        claim = NameClaim(self.beat_us, self.grace_us)
+        if (held := self.recall()) is not None:
+            claim.hold(*held)
+        out = []
+        for seq, at, owner in zip(rows["seq"], rows["at_us"], rows["owner"]):
+            outcome = claim.apply(owner, int(at))
+            out.append((key[0], seq, at, owner, outcome, claim.started))
+        self.remember(claim.owner, claim.beat_at, claim.started, claim.live)
+        return out
+
+
+def name_claims(
+    attempts: DataFrame, beat_us: int = 2_000_000, grace_us: int = 30_000_000, held: DataFrame | None = None,
+    at: str | None = None, late: str = "10 seconds", slot_us: int = SLOT_US,
+) -> DataFrame:
+    """Claims on names as they come. ``held`` (name, owner, state, heartbeat_us, started_us; a row a name) is the registry a new stream
+    starts from: a name that is held but interrupted is free to take."""
     schema = "name string, seq long, at_us long, owner string, outcome string, started_us long"
-    return _stateful(attempts, ["name"], ClaimProcessor(beat_us, grace_us), schema)
+    rule = ClaimRule(beat_us, grace_us, slot_us, at is not None)
+    initial = None if held is None else held.select("name", "owner", "state", "heartbeat_us", "started_us")
+    return in_turn(_timed(attempts, at, late), ["name"], rule, schema, initial)
 
 
-class ChangeProcessor(_Remembering):
-    def handleInputRows(self, key, rows, timerValues):
-        last = self.recall(lambda: None)
-        out = []
-        for row in self.ordered(rows).itertuples():
-            if last != (row.watched,):
-                last = (row.watched,)
-                out.append((key[0], row.seq, row.at_us, row.watched))
-        self.remember(last)
-        if out:
-            yield pd.DataFrame(out, columns=["name", "seq", "at_us", "watched"])
+class ChangeRule(InTurn):
+    memory = "watched string"
+    columns = ["name", "seq", "at_us", "watched"]
 
+    def step(self, key, rows):
+        before = rows["watched"].shift(1)
+        fresh = (rows["watched"] != before) & ~(rows["watched"].isna() & before.isna())
+        held = self.recall()
+        first = rows["watched"].iloc[0]
+        fresh.iloc[0] = held is None or not (first == held[0] or (pd.isna(first) and held[0] is None))
+        last = rows["watched"].iloc[-1]
+        self.remember(None if pd.isna(last) else last)
+        kept = rows[fresh]
+        return [(key[0], *row) for row in zip(kept["seq"], kept["at_us"], kept["watched"])]
 
-def changed_only(rows: DataFrame) -> DataFrame:
-    """``rows(name, seq, at_us, watched)`` whose watched text differs from the one emitted before."""
-    return _stateful(rows, ["name"], ChangeProcessor(), "name string, seq long, at_us long, watched string")
 
+def changed_only(rows: DataFrame, at: str | None = None, late: str = "10 seconds", slot_us: int = SLOT_US) -> DataFrame:
+    """``rows(name, seq, at_us, watched)`` whose watched text differs from the one emitted before."""
+    return in_turn(_timed(rows, at, late), ["name"], ChangeRule(slot_us, at is not None), "name string, seq long, at_us long, watched string")
 
-class LifecycleProcessor(StatefulProcessor):
-    """Live, then Interrupted after a silence, then Gone: the silences are event-time timers."""
 
-    def __init__(self, timeout_ms: int, grace_ms: int):
-        self.timeout_ms, self.grace_ms = timeout_ms, grace_ms
+class LifecycleRule(InTurn):
+    """Live, then Interrupted after a silence or the end of the feed, then Gone."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.life = handle.getValueState("life", "state string, last_ms long")
+    memory = "state string, last_ms long"
+    columns = ["name", "state", "at_ms"]
 
-    def _set_timer(self, at_ms: int) -> None:
-        for earlier in list(self.handle.listTimers()):
-            self.handle.deleteTimer(earlier)
-        self.handle.registerTimer(at_ms)
+    def __init__(self, timeout_ms: int, grace_ms: int, slot: int):
+        super().__init__(slot, True)
+        self.timeout_ms, self.grace_ms = timeout_ms, grace_ms
 
-    def handleInputRows(self, key, rows, timerValues):
-        state, last = self.life.get() if self.life.exists() else (None, None)
+    def _silent(self, key, state, last, now, out):
+        """What the silence from ``last`` up to ``now`` changes."""
+        if state == "Live" and now - last > self.timeout_ms:
+            state = "Interrupted"
+            out.append((key[0], state, last + self.timeout_ms))
+        if state == "Interrupted" and now - last > self.grace_ms:
+            out.append((key[0], "Gone", last + self.grace_ms))
+            state = None
+        return state
+
+    def step(self, key, rows):
+        state, last = self.recall() or (None, None)
         out = []
-        times = sorted(int(ms) for batch in rows for ms in batch["at_us"] // 1000)
-        for at in times:
-            if last is not None and at > last:
-                # Silences inside one micro-batch pass before a timer could have fired.
-                if state == "Live" and at - last > self.timeout_ms:
+        ends = rows["ended"].fillna(False) if "ended" in rows else [False] * len(rows)
+        for at, ended in zip(rows["at_us"] // 1000, ends):
+            at = int(at)
+            if state is not None:
+                state = self._silent(key, state, last, at, out)
+            if ended:
+                if state == "Live":
                     state = "Interrupted"
-                    out.append((key[0], state, last + self.timeout_ms))
-                if state == "Interrupted" and at - last > self.grace_ms:
-                    out.append((key[0], "Gone", last + self.grace_ms))
+                    out.append((key[0], state, at))
+                continue
             if state != "Live":
                 state = "Live"
                 out.append((key[0], state, at))
-            last = at if last is None else max(last, at)
-        self.life.update((state, last))
-        self._set_timer(last + self.timeout_ms + 1)
+            last = at
+        self.remember(state, last)
+        return out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+        state, last = self.recall() or (None, None)
+        if state is None:
+            return
+        # rows that wait may break the silence: their own timer looks again
+        waiting = min(self.slots.waiting(), default=None)
+        now = timerValues.getCurrentWatermarkInMs()
+        if waiting is not None:
+            now = min(now, waiting * self.slot // 1000)
+        out: list[tuple] = []
+        state = self._silent(key, state, last, now, out)
+        if state is None:
+            self.held.clear()
+        else:
+            self.remember(state, last)
+            self.handle.registerTimer(max(last + (self.timeout_ms if state == "Live" else self.grace_ms), timerValues.getCurrentWatermarkInMs()) + 1)
         if out:
-            yield pd.DataFrame(out, columns=["name", "state", "at_ms"])
+            yield pd.DataFrame(out, columns=self.columns)
+
+
+def stream_lifecycle(packets: DataFrame, at: str = "ts", late: str = "10 seconds", timeout_ms: int = 5_000, grace_ms: int = 30_000, slot_us: int = 1_000_000) -> DataFrame:
+    """State changes of every stream, as the watermark passes them. ``packets(name, ts, at_us)``, in any order within ``late``;
+    rows of which a column ``ended`` is true are no packets but say that the feed has ended."""
+    wanted = packets.withColumn("seq", F.lit(0)) if "seq" not in packets.columns else packets
+    return in_turn(wanted.withWatermark(at, late), ["name"], LifecycleRule(timeout_ms, grace_ms, slot_us), "name string, state string, at_ms long")
+
+
+class LifeRule(InTurn):
+    """Lives of a stream with their interruptions. Where the next session of packets begins is known only in order of time,
+    not when a session window closes: one that is still open may have begun within the grace period."""
+
+    memory = "started_us long, last_us long, interruptions long, packets long, bytes long"
+    columns = ["name", "started_us", "last_us", "interruptions", "packets", "bytes"]
+
+    def __init__(self, timeout_us: int, grace_us: int, slot: int):
+        super().__init__(slot, True)
+        self.timeout_us, self.grace_us = timeout_us, grace_us
+
+    def step(self, key, rows):
+        held = self.recall()
+        at, size = rows["at_us"].to_numpy("int64"), rows["bytes"].fillna(0).to_numpy("int64")
+        before = np.r_[at[:1] if held is None else held[1], at[:-1]]
+        gap = at - before
+        first = np.flatnonzero(gap > self.grace_us)  # where a life begins
+        edges = np.unique(np.r_[0, first, len(at)])
+        broken = (gap > self.timeout_us) & (gap <= self.grace_us)
+        out = []
+        for a, b in zip(edges[:-1], edges[1:]):
+            if held is not None and gap[a] > self.grace_us:
+                out.append((key[0], *held))
+                held = None
+            told = (int(broken[a:b].sum()), int(b - a), int(size[a:b].sum()))
+            held = (int(at[a]), int(at[b - 1]), *told) if held is None else (held[0], int(at[b - 1]), *(x + y for x, y in zip(held[2:], told)))
+        self.remember(*held)
+        return out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        state, last = self.life.get()
-        if state == "Live":
-            out = [(key[0], "Interrupted", last + self.timeout_ms)]
-            if timerValues.getCurrentWatermarkInMs() > last + self.grace_ms:  # no timer fires in the past
-                out.append((key[0], "Gone", last + self.grace_ms))
-                self.life.clear()
-            else:
-                self.life.update(("Interrupted", last))
-                self.handle.registerTimer(last + self.grace_ms + 1)
-            yield pd.DataFrame(out, columns=["name", "state", "at_ms"])
+        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+        held = self.recall()
+        if held is None:
+            return
+        end = (held[1] + self.grace_us) // 1000 + 1
+        waiting = min(self.slots.waiting(), default=None)
+        now = timerValues.getCurrentWatermarkInMs()
+        if now > end and (waiting is None or waiting * self.slot > held[1] + self.grace_us):
+            self.held.clear()
+            yield pd.DataFrame([(key[0], *held)], columns=self.columns)
         else:
-            self.life.clear()
-            yield pd.DataFrame([(key[0], "Gone", last + self.grace_ms)], columns=["name", "state", "at_ms"])
+            self.handle.registerTimer(max(end, now) + 1)
 
-    def close(self) -> None:
-        pass
 
+def lives(packets: DataFrame, at: str = "ts", late: str = "10 seconds", timeout_us: int = 5_000_000, grace_us: int = 30_000_000, slot_us: int = 1_000_000) -> DataFrame:
+    """One row per life of a stream when it is over, with the silences above ``timeout_us`` that it outlived. ``packets(name, ts, at_us, seq, bytes)``."""
+    schema = "name string, started_us long, last_us long, interruptions long, packets long, bytes long"
+    return in_turn(packets.withWatermark(at, late), ["name"], LifeRule(timeout_us, grace_us, slot_us), schema)
 
-def stream_lifecycle(packets: DataFrame, at: str = "ts", late: str = "10 seconds", timeout_ms: int = 5_000, grace_ms: int = 30_000) -> DataFrame:
-    """State changes of every stream, as the watermark passes them. ``packets(name, ts, at_us)``."""
-    marked = packets.withWatermark(at, late)
-    return _stateful(marked, ["name"], LifecycleProcessor(timeout_ms, grace_ms), "name string, state string, at_ms long", "EventTime")
 
+class TrackRule(InTurn):
+    """A tracker per stream that survives between micro-batches; time running backwards starts a new one.
 
-class TrackProcessor(_Remembering):
-    """A tracker per stream that survives between micro-batches; time running backwards starts a new one."""
+    The tracks of a stream are entries of a map, which go when the tracker drops them; what belongs to no track is a value.
+    """
 
-    order = ["seq", "det"]
+    order, at = ["seq", "det"], "seq"
+    memory = "epoch long, pts long, width int, height int, frame long, born long"
+    columns = ["stream", "epoch", "seq", "pts", "track_id", "left", "top", "right", "bottom", "confidence", "class_name", "started_pts", "last_seen_pts", "hits"]
 
-    def __init__(self, settings: dict):
+    def __init__(self, settings: dict, slot: int):
+        super().__init__(slot)
         self.settings = settings
 
-    def handleInputRows(self, key, rows, timerValues):
-        memory = self.recall(lambda: {"tracker": None, "pts": None, "epoch": 0})
+    def init(self, handle):
+        super().init(handle)
+        self.tracks = handle.getMapState("tracks", "id int", TRACK_STATE)
+
+    def step(self, key, rows):
+        tracker, epoch, last = None, 0, None
+        if (held := self.recall()) is not None:
+            epoch, last, width, height, frame, born = held
+            tracker = Tracker.restored(width, height, frame, born, sorted((k[0], *v) for k, v in self.tracks.iterator()), **self.settings)
+        known = {t["id"] for t in tracker.info} if tracker else set()
         out = []
-        for seq, frame in self.ordered(rows).groupby("seq", sort=True):
+        for seq, frame in rows.groupby("seq", sort=True):
             first = frame.iloc[0]
             pts, size = int(first["pts"]), (int(first["width"]), int(first["height"]))
-            tracker: Tracker | None = memory["tracker"]
-            if tracker is None or pts < memory["pts"] or size != (tracker.width, tracker.height):
-                tracker = memory["tracker"] = Tracker(*size, **self.settings)
-                memory["epoch"] += 1
+            if tracker is None or pts < last or size != (tracker.width, tracker.height):
+                tracker = Tracker(*size, **self.settings)
+                epoch += 1
             else:
                 for _ in range(int(first["steps_before"])):
                     tracker.predict()
-            memory["pts"] = pts
+            last = pts
             seen = frame[frame["left"].notna()]
             boxes = seen[["left", "top", "right", "bottom"]].to_numpy(float)
             tracker.update(pts, boxes, seen["confidence"].to_numpy(float), seen["class_name"].tolist())
-            out.extend((key[0], memory["epoch"], seq, pts, *track) for track in tracker.reported())
-        self.remember(memory)
-        if out:
-            columns = ["stream", "epoch", "seq", "pts", "track_id", "left", "top", "right", "bottom", "confidence", "class_name", "started_pts", "last_seen_pts", "hits"]
-            table = pd.DataFrame(out, columns=columns)
+            out.extend((key[0], epoch, seq, pts, *track) for track in tracker.reported())
+        self.remember(epoch, last, tracker.width, tracker.height, tracker.frame, tracker.born)
+        left = tracker.state()
+        for gone in known - {t[0] for t in left}:
+            self.tracks.removeKey((gone,))
+        for number, *values in left:
+            self.tracks.updateValue((number,), tuple(values))
+        return out
+
+    def _frames(self, key, pieces):
+        for table in super()._frames(key, pieces):
             yield table.assign(confidence=table["confidence"].astype("Int32").replace({np.nan: None}))
 
 
-def track_objects(rows: DataFrame, threshold: float = 0.6, match: float = 0.8, buffer: int = 30) -> DataFrame:
+def track_objects(rows: DataFrame, threshold: float = 0.6, match: float = 0.8, buffer: int = 30, slot_frames: int = 4_096) -> DataFrame:
     """``rows(stream, seq, pts, width, height, steps_before, det, left, top, right, bottom, confidence, class_name)``,
-    one per box (or one without a box), to the tracks reported at each frame."""
+    one per box (or one without a box), to the tracks reported at each frame. A micro-batch holds whole frames, later ones than those before."""
     schema = (
         "stream string, epoch long, seq long, pts long, track_id int, left int, top int, right int, bottom int, confidence int, "
         "class_name string, started_pts long, last_seen_pts long, hits int"
     )
     settings = {"threshold": threshold, "match": match, "buffer": buffer}
-    return _stateful(rows, ["stream"], TrackProcessor(settings), schema)
+    return in_turn(rows, ["stream"], TrackRule(settings, slot_frames), schema)
+
+
+# --- rows that come late ------------------------------------------------------------------------
+
+
+class LateRule(StatefulProcessor):
+    """Tells rows behind the watermark from the others; keeps nothing."""
+
+    by_time = True
+
+    def init(self, handle):
+        pass
+
+    def handleInputRows(self, key, rows, timerValues):
+        mark = timerValues.getCurrentWatermarkInMs()
+        for some in rows:  # without the key
+            yield some.assign(late=some["at_us"].to_numpy("int64") // 1000 < mark)
+
+    def close(self) -> None:
+        pass
+
+
+LANES = 64
+
+
+def with_lateness(rows: DataFrame, at: str = "ts", late: str = "10 seconds", lanes: int = LANES) -> DataFrame:
+    """``rows`` (with ``at`` and its ``at_us``) and whether each came ``late``: behind the watermark that the micro-batches before left.
+
+    Operators with a watermark drop such rows. Here the watermark is kept on a column that goes no further, so nothing is dropped, and
+    rows are dealt to ``lanes`` by their own hash, as the watermark is one for all.
+    """
+    marked = rows.withColumn("__mark", F.col(at)).withWatermark("__mark", late).drop("__mark")
+    lane = F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if not kind.startswith(("map", "variant"))]), F.lit(lanes)).cast("int")
+    schema = StructType([*rows.schema.fields, StructField("late", BooleanType())])
+    return in_turn(marked.withColumn("__lane", lane), ["__lane"], LateRule(), schema)
+
+
+def split_late(tagged: DataFrame, folder: str, checkpoint: str):
+    """Timely rows to ``folder``/timely and late ones to ``folder``/late, a folder a micro-batch, written over when it runs again.
+
+    The query's progress holds how many there were of either (``observedMetrics["arrivals"]``).
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").partitionBy("late").parquet(f"{folder}/batch={number}")
+
+    counted = tagged.observe("arrivals", F.count_if(~F.col("late")).alias("timely"), F.count_if("late").alias("late"))
+    return counted.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", checkpoint)
