@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import BEAT_BOUNDS_SECONDS
-from .ordered import CHUNK, Lane, block, lane, previous, running
+from ..session import cut_lineage
+from .ordered import Lane, lane, preceding, previous, running
 from .sampling import due_rows
 
 # --- counters -----------------------------------------------------------------------------------
@@ -66,34 +67,40 @@ def beat_histogram(samples: DataFrame, keys: Sequence[str], seconds: Column) ->
 def nearest_rank(
     df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column], block_size: int
 ) -> DataFrame:
-    """Exact order statistics of an integer column per key, for groups of any size.
+    """Exact order statistics of an integer column per key, for groups of any size, by digits.
 
-    Equal values collapse to a count first; a running count along blocks of the value range then finds
-    the value at each rank.  ``ranks`` maps a name to a zero-based rank, written over the column ``n``; the
-    number of rows ``n`` and their ``total`` come along.
+    Values are counted by their highest digit, the digit that holds the rank is kept, and the rows with it are counted by the next one: rows are
+    added up where they lie, and what is gathered for a rank is one count a digit, of which there are no more than ``block_size`` (rounded up to a power of
+    two). ``ranks`` maps a name to a zero-based rank, written over the column ``n``; the number of rows ``n`` and their
+    ``total`` come along. Null values are left out; a key's values lie less than 2^63 apart.
     """
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__times"))
-    on = lane(tuple(keys), value, block(value, block_size))
-    placed = counted.withColumn(CHUNK, on.chunk)
-    blocks = placed.groupBy(*keys, CHUNK).agg(
-        F.sum("__times").alias("__in"), F.sum(F.col(value) * F.col("__times")).alias("__sum")
-    )
-    everywhere = Window.partitionBy(*keys)
-    earlier = on.across().rowsBetween(Window.unboundedPreceding, -1)
-    known = blocks.select(
-        *keys, CHUNK,
-        F.coalesce(F.sum("__in").over(earlier), F.lit(0)).alias("__before"),
-        F.sum("__in").over(everywhere).alias("n"),
-        F.sum("__sum").over(everywhere).alias("total"),
-    )
-    local = F.sum("__times").over(on.within().rowsBetween(Window.unboundedPreceding, 0))
-    upto = placed.withColumn("__local", local).join(known, [*keys, CHUNK]).withColumn("__upto", F.col("__before") + F.col("__local"))
-    covers = lambda rank: (F.col("__upto") > rank) & (F.col("__upto") - F.col("__times") <= rank)
-    return upto.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        F.max("total").alias("total"),
-        *[F.max(F.when(covers(rank), F.col(value))).alias(name) for name, rank in ranks.items()],
+    bits = max(1, (block_size - 1).bit_length())
+    rows = cut_lineage(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("long").alias("__v")))
+    whole = cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("__v").alias("total"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")).where("n > 0"))
+    span = whole.agg(F.max(F.col("__hi") - F.col("__lo"))).first()[0] or 0
+    levels = max(1, -(-int(span).bit_length() // bits))
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("left")) for name, rank in ranks.items()]))
+    want = whole.select(*keys, "__lo", asked.alias("r")).select(*keys, "__lo", "r.*", F.lit(0).cast("long").alias("__upper"))
+    same = [F.col(f"__k_{k}").eqNullSafe(F.col(k)) for k in keys]
+    few = F.broadcast if not keys else lambda small: small  # one row a rank
+    for level in reversed(range(levels)):
+        sought = few(want.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__lo", F.col("__upper").alias("__sought")).distinct())
+        above = F.shiftright(F.col("__v") - F.col("__lo"), bits * (level + 1)) if bits * (level + 1) < 63 else F.lit(0)
+        met = rows.join(sought, [above == F.col("__sought"), *same])
+        digit = F.shiftright(F.col("__v") - F.col("__lo"), bits * level).bitwiseAND((1 << bits) - 1)
+        counted = met.groupBy(*[f"__k_{k}" for k in keys], "__sought", digit.alias("__digit")).agg(F.count(F.lit(1)).alias("__times"))
+        spread = want.join(counted, [F.col("__upper") == F.col("__sought"), *same])
+        upto = F.sum("__times").over(Window.partitionBy(*keys, "name").orderBy("__digit"))
+        placed = spread.withColumn("__upto", upto).where((F.col("__upto") > F.col("left")) & (F.col("__upto") - F.col("__times") <= F.col("left")))
+        want = cut_lineage(
+            placed.select(*keys, "__lo", "name", (F.col("left") - F.col("__upto") + F.col("__times")).alias("left"), (F.shiftleft("__upper", bits) + F.col("__digit")).alias("__upper"))
+        )
+    found = want.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(
+        *[F.max(F.when(F.col("name") == name, F.col("__lo") + F.col("__upper"))).alias(name) for name in ranks]
     )
+    both = whole.join(found, same, "left") if keys else whole.crossJoin(F.broadcast(found))  # one row each
+    result = both.select(*keys, "n", "total", *ranks)
+    return result if keys else result.agg(*[F.max(c).alias(c) for c in ("n", "total", *ranks)])
 
 
 # --- deltas and rates ---------------------------------------------------------------------------
@@ -232,13 +239,12 @@ def stream_health(beats: DataFrame, on: Lane) -> DataFrame:
 
     ``beats(state, lost, dropped, startable, ceiling_binding)``.
     """
-    one = previous(beats, on, __l1=F.col("lost"))
-    two = previous(one, on, __l2=F.col("__l1"))
-    recent = F.greatest(F.col("lost"), F.coalesce("__l1", F.lit(0)), F.coalesce("__l2", F.lit(0)))
+    recent = preceding(beats, on, 2, "__recent", F.col("lost"))
+    lost = F.greatest(F.col("lost"), F.coalesce(F.array_max("__recent"), F.lit(0)))
     health = (
         F.when(F.col("state") == "Interrupted", "Interrupted")
-        .when(recent > 0, "Lost")
+        .when(lost > 0, "Lost")
         .when((F.col("dropped") > 0) | ~F.col("startable") | F.col("ceiling_binding"), "Dropped")
         .otherwise("Healthy")
     )
-    return two.withColumn("health", health).drop("__l1", "__l2")
+    return recent.withColumn("health", health).drop("__recent")

@@ -176,6 +176,25 @@ def around(df: DataFrame, on: Lane, where: Column, **values: Column) -> DataFram
     return joined.select(*df.columns, *[pick("before", n) for n in values], *[pick("after", n) for n in values])
 
 
+def preceding(df: DataFrame, on: Lane, rows: int, name: str, value: Column) -> DataFrame:
+    """Add the list of ``value`` over the ``rows`` rows before (fewer at a key's beginning), oldest first; nulls are left out.
+
+    One pass: a chunk's own rows come from a window inside it, those of chunks before it from the last ``rows`` of each.
+    """
+    base = df.withColumn(CHUNK, on.chunk).withColumn("__value", F.struct(value.alias("v")))
+    backward = Window.partitionBy(*on.keys, CHUNK).orderBy(*on.reversed().ordering())
+    ends = base.withColumn("__back", F.row_number().over(backward)).where(F.col("__back") <= rows)
+    ends = ends.groupBy(*on.keys, CHUNK).agg(F.sort_array(F.collect_list(F.struct((-F.col("__back")).alias("b"), F.col("__value").alias("v")))).alias("__end"))
+    gathered = F.flatten(F.collect_list("__end").over(on.across().rowsBetween(-rows, -1)))
+    carry = ends.select(*on.keys, CHUNK, F.transform(gathered, lambda e: e["v"]).alias("__earlier"))
+    local = base.withColumn("__here", F.collect_list("__value").over(on.within().rowsBetween(-rows, -1)))
+    held = F.size("__earlier")
+    taken = F.least(F.lit(rows) - F.size("__here"), held)
+    both = F.concat(F.slice("__earlier", held - taken + 1, taken), F.col("__here"))
+    told = F.filter(F.transform(both, lambda e: e["v"]), lambda v: v.isNotNull())
+    return _join_carry(local, carry, on).select(*df.columns, told.alias(name))
+
+
 def numbered(df: DataFrame, on: Lane, name: str = "row_no", start: int = 1) -> DataFrame:
     """Add the row's position in its key, counted from ``start``."""
     numbered_rows = running(df, on, **{name: ("count", F.lit(1))})

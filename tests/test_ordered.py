@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyreel.operators import asof, claims, lifecycle, metrics, packets
 from skyreel.operators.listing import positioned
-from skyreel.operators.ordered import around, block, following, lane, numbered, previous, running, trailing
+from skyreel.operators.ordered import around, block, following, lane, numbered, preceding, previous, running, trailing
 from skyreel.operators.sampling import due_rows
 
 
@@ -243,3 +243,35 @@ def test_exact_quantiles(spark):
     got = metrics.nearest_rank(spark.createDataFrame(data), ["k"], "v", {"p50": F.floor(F.col("n") / 2), "p95": F.floor(F.col("n") * 0.95)}, 64).first()
     ordered = sorted(data["v"])
     assert (got.p50, got.p95) == (ordered[1_000], ordered[int(2_001 * 0.95)])
+
+
+@pytest.mark.parametrize("spread, bits", [(3, 2), (5_000, 64), (1 << 50, 4_096), (1, 16)])
+def test_exact_quantiles_by_digits(spark, spread, bits):
+    """Many keys, null ones among them, negative and far values, ties, nulls."""
+    rng = np.random.default_rng(spread % 97)
+    keys = ["hot"] * 400 + [None] * 30 + list("abc")
+    data = [(k, None if rng.random() < 0.05 else int(rng.integers(-spread // 2, spread // 2 + 1))) for k in keys]
+    ranks = {"least": F.lit(0), "p50": F.floor(F.col("n") / 2), "most": F.col("n") - 1}
+    got = {r.k: r for r in metrics.nearest_rank(spark.createDataFrame(data, "k string, v long"), ["k"], "v", ranks, bits).collect()}
+    for k in set(keys):
+        held = sorted(v for key, v in data if key == k and v is not None)
+        if held:
+            assert (got[k].n, got[k].total, got[k].least, got[k].p50, got[k].most) == (len(held), sum(held), held[0], held[len(held) // 2], held[-1])
+        else:
+            assert k not in got
+    whole = metrics.nearest_rank(spark.createDataFrame(data, "k string, v long"), [], "v", ranks, bits).collect()
+    held = sorted(v for _, v in data if v is not None)
+    assert [tuple(r) for r in whole] == [(len(held), sum(held), held[0], held[len(held) // 2], held[-1])]
+    assert [tuple(r) for r in metrics.nearest_rank(spark.createDataFrame([], "k string, v long"), [], "v", ranks, bits).collect()] == [(None,) * 5]
+
+
+@pytest.mark.parametrize("rows", [1, 2, 5, 30])
+def test_preceding_rows_over_chunks(spark, table, rows):
+    data, on = table
+    value = F.when(F.col("v") % 7 != 0, F.col("v"))
+    out = frame(preceding(spark.createDataFrame(data), on, rows, "before", value), "key", "pos")
+    want = []
+    for _, group in data.sort_values(["key", "pos"]).groupby("key"):
+        held = group["v"].tolist()
+        want += [[v for v in held[max(0, i - rows) : i] if v % 7] for i in range(len(held))]
+    assert [list(b) for b in out["before"]] == want

@@ -57,3 +57,18 @@ def test_newest_rows_are_limited_before_the_shuffle(spark):
 def test_pairs_meet_in_cells(spark):
     boxes = shapes.boxes(Tables(configure(spark), FOLDER)).withColumnRenamed("det", "id")
     assert "__cx" in plan_of(detections.iou_pairs(boxes, boxes, ["stream", "frame"]))
+
+
+def test_several_rows_back_in_three_shuffles(spark):
+    plan = plan_of(QUERIES["w19_stream_health"](spark, FOLDER))
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) <= 3
+
+
+def test_quantiles_of_one_group_gather_no_rows(spark):
+    """Only counts of digits meet in one place: the executed plans of the last step hold a rank's counts, not the rates."""
+    rates = spark.range(50_000).select((F.xxhash64("id") % 1_000_000_007).alias("bps"))
+    ranks = {"p50": F.floor(F.col("n") / 2)}
+    found = metrics.nearest_rank(rates, [], "bps", ranks, 64)
+    values = sorted(r.bps for r in rates.collect())
+    assert found.first().p50 == values[25_000]
+    assert "50000" not in plan_of(found) and "SinglePartition" in plan_of(found)
