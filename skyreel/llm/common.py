@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import configure, cut_lineage
 
-__all__ = ["checkpointed", "fold", "prepared", "shared_folder", "table"]
+__all__ = ["checkpointed", "fold", "prepared", "shared_folder", "table", "unused"]
 
 BATCH_ROWS = 256
 """Rows of an Arrow batch that carries whole texts."""
@@ -29,6 +29,17 @@ def fold(key: Column | str, parts: int) -> Column:
     return F.crc32(F.col(key).cast("string") if isinstance(key, str) else key.cast("string")) % parts
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each lengthened until no column of a caller is called so."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows written once in the cluster's shared checkpoint folder."""
     return cut_lineage(df)

@@ -20,7 +20,7 @@ from .common import prepared
 SAMPLE_ROWS = 80
 """Documents of each language that a dictionary is made of at most."""
 LANGUAGES = 256
-"""Languages that are learned at most, the most frequent ones."""
+"""Languages that are learned at most by default, the most frequent ones."""
 PIECES, PIECE = 8, 256
 """From each of these so many pieces of so many characters, spread over the whole text."""
 FAINT = 1_024
@@ -31,11 +31,15 @@ NARROW = 0.02
 UNKNOWN = "und"
 
 
-def dictionaries(documents: DataFrame) -> dict[str, bytes]:
-    """A dictionary for each non-null ``lang`` of ``documents`` (doc_id, text, lang), from a bounded sample of rows."""
+def dictionaries(documents: DataFrame, languages: int = LANGUAGES) -> dict[str, bytes]:
+    """A dictionary for each non-null ``lang`` of ``documents`` (doc_id, text, lang), from a bounded sample of rows.
+
+    The driver gets a text a chosen (doc_id, lang), of several the smallest: at most SAMPLE_ROWS * PIECES * PIECE characters a
+    language, for the ``languages`` with the most documents (ties: the smaller name). Rarer ones are never predicted.
+    """
     prepared(documents.sparkSession)
     named = documents.where("lang is not null and text <> '' and doc_id is not null").select("doc_id", "lang").distinct()
-    known = named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
+    known = named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
     named = named.join(F.broadcast(known), "lang")
     turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = named.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= SAMPLE_ROWS)
@@ -49,7 +53,7 @@ def dictionaries(documents: DataFrame) -> dict[str, bytes]:
                 out.append(" ".join(text[a : a + PIECE] for a in starts))
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("turn"), pa.array(out, pa.string())], ["lang", "turn", "text"])
 
-    texts = documents.select("doc_id", "lang", "text").where("text <> ''").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "turn", "text")
+    texts = documents.select("doc_id", "lang", "text").where("text <> ''").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "turn").agg(F.min("text").alias("text"))
     got = texts.mapInArrow(cut, "lang string, turn int, text string").toArrow().to_pylist()
     out: dict[str, list[str]] = {}
     for row in sorted(got, key=lambda r: (r["lang"], -r["turn"], r["text"])):

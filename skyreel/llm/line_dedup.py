@@ -1,9 +1,10 @@
 """Exact set-similarity join of lines, and the documents without the lines that it finds to be later copies.
 
-A line of at least five words is the set of its five-word shingles. Tokens are ordered by rarity over the corpus; lines
+A line is the set of its five-word shingles; one of one to four words is one shingle as a whole, so it is similar to its
+copies only. Tokens are ordered by rarity over the corpus; lines
 meet by prefix tokens and pass a length filter, a positional filter and a bound on shared prefix tokens before their
 exact Jaccard similarity is taken. A line goes if an earlier line (by doc_id, then place) has a similarity of at least
-75 / 100. Shorter lines stay: they tell copies from chance too badly.
+75 / 100. Lines without a word stay.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import postings as P
-from .common import checkpointed, prepared
+from .common import checkpointed, prepared, unused
 
 EARLIEST = 4
 BROADCAST_KEYS = 1 << 20
@@ -71,17 +72,18 @@ def without_later_lines(documents: DataFrame) -> DataFrame:
     """``documents`` with the later lines cut out of ``text`` (and ``n_chars`` set anew, where there is one).
 
     Every row stays; a text may end up empty. Null texts, and rows with a null doc_id, stay as they are. Rows that repeat
-    a doc_id and a text count as one. Other columns go through.
+    a doc_id and a text count as one: an exactly repeated row keeps the lines that its first keeps. Other columns go through.
     """
+    gone_, mark_, id_ = unused(documents.columns, "__gone", "__mark", "__id")
     lines = checkpointed(later_lines(documents))
-    gone = lines.groupBy("id", "mark").agg(F.collect_set("number").alias("__gone"))
+    gone = lines.groupBy("id", "mark").agg(F.collect_set("number").alias(gone_))
     if lines.count() <= BROADCAST_LINES:
         gone = F.broadcast(gone)
-    rows = documents.withColumn("__mark", F.xxhash64("text")).withColumn("__id", F.col("doc_id").cast("long"))
-    joined = rows.join(gone.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "__gone"), ["__id", "__mark"], "left")
+    rows = documents.withColumn(mark_, F.xxhash64("text")).withColumn(id_, F.col("doc_id").cast("long"))
+    joined = rows.join(gone.select(F.col("id").alias(id_), F.col("mark").alias(mark_), gone_), [id_, mark_], "left")
     lines = F.split("text", "\n")
-    cut = F.array_join(F.filter(lines, lambda line, at: ~F.array_contains("__gone", at.cast("long"))), "\n")
-    out = joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(cut))
+    cut = F.array_join(F.filter(lines, lambda line, at: ~F.array_contains(gone_, at.cast("long"))), "\n")
+    out = joined.withColumn("text", F.when(F.col(gone_).isNull(), F.col("text")).otherwise(cut))
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")).cast(documents.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(gone_).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")).cast(documents.schema["n_chars"].dataType))
     return out.select(*documents.columns)

@@ -70,7 +70,7 @@ def document_sets(batch: pa.RecordBatch) -> Iterator[tuple[Sets, np.ndarray, np.
 
 
 def line_sets(batch: pa.RecordBatch) -> Iterator[tuple[Sets, np.ndarray, np.ndarray]]:
-    """One unit a line of at least SHINGLE words, numbered from 0 in its row; lines end at a newline."""
+    """One unit a line with a word, numbered from 0 in its row; lines end at a newline."""
     data, offsets = hashing.text_bytes(batch.column("text"))
     for a, b in hashing.pieces(data, offsets):
         part = data[offsets[a] : offsets[b]]
@@ -84,7 +84,7 @@ def line_sets(batch: pa.RecordBatch) -> Iterator[tuple[Sets, np.ndarray, np.ndar
         owner = np.zeros(len(number), np.int64)
         owner[unit] = row + a
         number[unit] = line - np.searchsorted(breaks, rows[row], "left")
-        yield Sets(*hashing.shingles(words, unit, SHINGLE, SHINGLE)), owner, number
+        yield Sets(*hashing.shingles(words, unit, SHINGLE)), owner, number
 
 
 UNIT, TOKEN = 0, 1

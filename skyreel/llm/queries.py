@@ -65,7 +65,7 @@ def bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     "op9_line_dedup",
     f"""
     WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
-    sets AS ({SHINGLES.format(id="doc_id, n", text="line", rows="lines", least=5)}),
+    sets AS ({SHINGLES.format(id="doc_id, n", text="line", rows="lines", least=1)}),
     tokens AS (SELECT doc_id, n, len(g) AS size, unnest(g) AS t FROM sets),
     met AS (SELECT y.doc_id, y.n, x.size + y.size - count(*) AS whole, count(*) AS common FROM tokens x JOIN tokens y ON x.t = y.t AND (x.doc_id, x.n) < (y.doc_id, y.n)
             GROUP BY x.doc_id, x.n, x.size, y.doc_id, y.n, y.size),

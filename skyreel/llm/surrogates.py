@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, prepared
+from .common import checkpointed, prepared, unused
 
 BROADCAST_ROWS = 1 << 18
 """The table of replacements is broadcast up to so many mentions (about 200 bytes each), else joined by a shuffle."""
@@ -41,6 +41,8 @@ UNCASED = [
 ]
 DIGITS = [(chr(x), 10) for x in (0x660, 0x6F0, 0x966, 0x9E6, 0xA66, 0xAE6, 0xB66, 0xBE6, 0xC66, 0xCE6, 0xD66, 0xE50, 0xED0, 0xF20, 0x1040, 0x17E0, 0x1810, 0xFF10)]
 
+NOT_TITLE = r"(?!(?:" + "|".join(t for titles in TITLES.values() for t in titles) + r")\b)"
+"""A name is up to three capitalised words; a title begins the next one."""
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "secret": r"(?<![\p{L}\p{N}])(?=[0-9a-fA-F]*\d)(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{24,}(?![\p{L}\p{N}])",
@@ -49,7 +51,7 @@ PATTERNS = {
     "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\p{L}\p{N}])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\p{L}\p{N}.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "card": r"(?<![\p{L}\p{N}])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
     "number": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "name": "(?:" + "|".join(rf"(?<=\b{t} )|(?<=\b{t}\. )" for titles in TITLES.values() for t in titles) + r")\p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+)*",
+    "name": "(?:" + "|".join(rf"(?<=\b{t} )|(?<=\b{t}\. )" for titles in TITLES.values() for t in titles) + r")" + NOT_TITLE + r"\p{Lu}\p{Ll}+(?:[ -]" + NOT_TITLE + r"\p{Lu}\p{Ll}+){0,2}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = r"[@\d]|\b(?:" + "|".join(t for titles in TITLES.values() for t in titles) + r")\b"
@@ -218,8 +220,10 @@ def replaced(documents: DataFrame, key: str) -> DataFrame:
 
     Null and empty texts stay, with no entities. ``n_chars`` is set anew, where there is one. Rows with equal texts get
     equal texts. Existing columns named like the new ones are replaced; others go through.
+    If all forms of an entity of fixed length are taken (after TRIES draws), the job ends with an error.
     """
     prepared(documents.sparkSession)
+    swaps_, kinds_, mark_, length_ = unused(documents.columns, "__swaps", "__kinds", "__mark", "__length")
     texts = documents.where(F.col("text").isNotNull()).where(F.regexp("text", F.lit(HINT))).select("text", F.xxhash64("text").alias("mark"), F.char_length("text").alias("length"))
     parted = texts.select("mark", "length", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("found"), F.split("text", ANY, -1).alias("gaps"))
     parted = parted.where(F.size("found") > 0)
@@ -231,16 +235,16 @@ def replaced(documents: DataFrame, key: str) -> DataFrame:
     entities = mentions.groupBy("kind", "entity").agg(F.min("gender").alias("gender"))
     said = _settled(entities, key)
     swaps = mentions.join(said, ["kind", "entity"]).select("mark", "length", "at", "kind", in_form(F.col("kind"), F.col("mention"), F.col("said")).alias("new"))
-    lists = swaps.groupBy("mark", "length").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("__swaps"), F.sort_array(F.collect_set("kind")).alias("__kinds"))
-    lists = lists.withColumnsRenamed({"mark": "__mark", "length": "__length"})
+    lists = swaps.groupBy("mark", "length").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias(swaps_), F.sort_array(F.collect_set("kind")).alias(kinds_))
+    lists = lists.withColumnsRenamed({"mark": mark_, "length": length_})
     if mentions.count() <= BROADCAST_ROWS:
         lists = F.broadcast(lists)
-    rows = documents.withColumn("__mark", F.xxhash64("text")).withColumn("__length", F.char_length("text")).join(lists, ["__mark", "__length"], "left")
+    rows = documents.withColumn(mark_, F.xxhash64("text")).withColumn(length_, F.char_length("text")).join(lists, [mark_, length_], "left")
     gaps = F.split("text", ANY, -1)
-    joined = F.concat(F.array_join(F.transform(F.arrays_zip(F.slice(gaps, 1, F.size("__swaps")).alias("gap"), F.col("__swaps").alias("swap")), lambda z: F.concat(z["gap"], z["swap"]["new"])), ""), F.element_at(gaps, -1))
-    out = rows.withColumn("text", F.when(F.col("__swaps").isNull(), F.col("text")).otherwise(joined))
-    out = out.withColumn("n_entities", F.coalesce(F.size("__swaps"), F.lit(0))).withColumn("kinds", F.coalesce("__kinds", F.array().cast("array<string>")))
-    out = out.withColumn("n_entities", F.when(F.col("__swaps").isNull(), F.lit(0)).otherwise(F.size("__swaps")))
+    joined = F.concat(F.array_join(F.transform(F.arrays_zip(F.slice(gaps, 1, F.size(swaps_)).alias("gap"), F.col(swaps_).alias("swap")), lambda z: F.concat(z["gap"], z["swap"]["new"])), ""), F.element_at(gaps, -1))
+    out = rows.withColumn("text", F.when(F.col(swaps_).isNull(), F.col("text")).otherwise(joined))
+    out = out.withColumn("n_entities", F.coalesce(F.size(swaps_), F.lit(0))).withColumn("kinds", F.coalesce(kinds_, F.array().cast("array<string>")))
+    out = out.withColumn("n_entities", F.when(F.col(swaps_).isNull(), F.lit(0)).otherwise(F.size(swaps_)))
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__swaps").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(documents.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(swaps_).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(documents.schema["n_chars"].dataType)))
     return out.select(*[c for c in documents.columns if c not in ("n_entities", "kinds")], "n_entities", "kinds")

@@ -29,7 +29,8 @@ def write(rows: DataFrame, separator: int, ids: str = "token_ids", width: int =
     """Write packed 32-bit ``ids`` of every row into flat files in the cluster's shared folder: each task one file.
 
     Returns (file, ordinal, doc_id, bytes): which document of a file belongs to which row, and the file's final size.
-    A task that runs again writes another file; only files named in the result count. Null ids are an empty document.
+    A task that runs again writes another file; only files named in the result count. Null ids are an empty document; an id or
+    separator that ``width`` bytes don't hold is an error.
     """
     spark = prepared(rows.sparkSession)
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
@@ -43,7 +44,10 @@ def write(rows: DataFrame, separator: int, ids: str = "token_ids", width: int =
                 system.create_dir(path.rpartition("/")[0], recursive=True)
                 out = system.open_output_stream(path)
             for packed in batch.column("ids").to_pylist():
-                data = np.append(np.frombuffer(packed or b"", "<u4"), np.uint32(separator)).astype(kind).tobytes()
+                ids_ = np.append(np.frombuffer(packed or b"", "<u4"), np.uint32(separator))
+                if int(ids_.max()) >> (8 * width):
+                    raise ValueError(f"a token id doesn't fit {width} bytes")
+                data = ids_.astype(kind).tobytes()
                 out.write(data)
                 size += len(data)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(batch), pa.string()), pa.array(np.arange(ordinal, ordinal + len(batch))), batch.column("doc_id"), pa.array(np.full(len(batch), size))], ["file", "ordinal", "doc_id", "bytes"])

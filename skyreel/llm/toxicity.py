@@ -38,16 +38,18 @@ def features(word: str) -> list[str]:
 class Model:
     bias: float
     weights: dict[str, float] = field(default_factory=dict)
+    share: float | None = None
+    """Without a feature: the score of every text with a word."""
 
     def of_word(self, word: str) -> float:
         return sum(self.weights.get(f, 0.0) for f in features(word))
 
 
 def _sampled(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(y, text) of at most SAMPLE_ROWS labelled documents."""
+    """(y, text) of at most SAMPLE_ROWS labelled documents, a row a doc_id (of several texts the smallest)."""
     known = labels.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    return documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("y", F.coalesce("text", F.lit("")).alias("text"))
+    return documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text")).select("y", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _chosen(sample: DataFrame) -> list[str]:
@@ -77,8 +79,8 @@ def _chosen(sample: DataFrame) -> list[str]:
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model:
-    """Fit to ``labels`` (doc_id, y: 0 or 1). Without labels of both kinds the score is the share of label 1 for any text
-    with a sentence."""
+    """Fit to ``labels`` (doc_id, y: 0 or 1). Without labels of both kinds, or without a feature that tells them
+    apart, the score is the share of label 1 for any text with a word, however long, and no sentence offends."""
     prepared(documents.sparkSession)
     sample = checkpointed(_sampled(documents, labels).where("y in (0, 1)").select(F.col("y").cast("int").alias("y"), "text"))
     names = _chosen(sample)
@@ -101,7 +103,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
         return Model(-50.0)
     if not names:
         share = min(max(y.mean(), 1e-9), 1 - 1e-9)
-        return Model(float(np.log(share / (1 - share))))
+        return Model(-50.0, share=float(share))
     bare = got["bare"].to_numpy().astype(float)
     told = got["told"].combine_chunks()
     told = told.combine_chunks() if isinstance(told, pa.ChunkedArray) else told
@@ -151,6 +153,10 @@ def scored(documents: DataFrame, model: Model, bar: float = 0.5) -> DataFrame:
             scores, spots = [], []
             for text in batch.column("text").to_pylist():
                 total, found = 0.0, []
+                if model.share is not None:
+                    scores.append(model.share if WORD.search(text or "") else 0.0)
+                    spots.append(found)
+                    continue
                 for m in SENTENCE.finditer(text or ""):
                     words = set(WORD.findall(m[0].lower()))
                     if not words:
@@ -176,6 +182,9 @@ def without_toxic(documents: DataFrame, model: Model, threshold: float = 0.5) ->
         for batch in batches:
             keep = []
             for text in batch.column("text").to_pylist():
+                if model.share is not None:
+                    keep.append(model.share < threshold or not WORD.search(text or ""))
+                    continue
                 total = 0.0
                 for s in SENTENCE.findall((text or "").lower()):
                     if words := set(WORD.findall(s)):

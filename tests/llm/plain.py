@@ -50,6 +50,6 @@ def components(sets):
 
 def kept_text(rows):
     """(doc_id, text) with later lines cut out, in order of doc_id; texts must be whole."""
-    lines = [(d, n, shingles(line)) for d, text in rows for n, line in enumerate((text or "").split("\n")) if len(words(line)) >= 5]
+    lines = [(d, n, shingles(line)) for d, text in rows for n, line in enumerate((text or "").split("\n")) if words(line)]
     gone = {lines[b][:2] for _, b in similar_pairs([x for _, _, x in lines])}
     return {d: "\n".join(line for n, line in enumerate(text.split("\n")) if (d, n) not in gone) for d, text in rows}

@@ -127,3 +127,27 @@ def test_rules_are_paths():
 def test_statistics_count(spark):
     one = quality.measured(spark.createDataFrame([(1, "Ab ab ab, 12\nX")], "doc_id long, text string")).select(*(F.round(n, 4) for n in quality.NAMES)).first()
     assert tuple(one) == (14.0, 5.0, 2.8, 1.0, 0.1429, 0.0714, 0.1429, 0.0, 0.2)
+
+
+def test_no_telling_feature_is_no_matter_of_length(spark):
+    """Labels of both kinds and nothing that tells them apart: the share for every text with a word."""
+    docs = frame(spark, [(k, "same words here. " * (1 + k % 3)) for k in range(40)] + [(100, "word. " * 1_000), (101, None), (102, " ."), (103, "one")])
+    model = toxicity.train(docs, spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(40)], "doc_id long, y int"))
+    got = {r.doc_id: (r.score, len(r.offending)) for r in toxicity.scored(docs, model).collect()}
+    assert {got[k] for k in [*range(40), 100, 103]} == {(0.25, 0)} and {got[101], got[102]} == {(0.0, 0)}
+    assert toxicity.without_toxic(docs, model).count() == 44 and toxicity.without_toxic(docs, model, 0.2).count() == 2
+
+
+def test_samples_hold_a_row_a_document(spark):
+    docs = frame(spark, [(1, f"text {k}") for k in range(500)] + [(2, "other"), (3, None)])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (1, 0)], "doc_id long, y int")
+    assert sorted((r.y, r.text) for r in toxicity._sampled(docs, labels).collect()) == [(0, ""), (0, "other"), (1, "text 0")]
+    many = docs.selectExpr("doc_id", "text", "'en' as lang")
+    assert language.dictionaries(many)["en"].count(b"text") == 1
+
+
+def test_rarer_languages_beyond_the_bound(spark):
+    rows = [(k, f"words of language {k % 5}", f"l{k % 5}") for k in range(50)] + [(100, "rare words", "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(language.dictionaries(docs)) == {"l0", "l1", "l2", "l3", "l4", "zz"}
+    assert set(language.dictionaries(docs, languages=5)) == {"l0", "l1", "l2", "l3", "l4"}

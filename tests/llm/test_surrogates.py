@@ -127,3 +127,12 @@ def test_edges(spark):
     assert all(r.n_chars == len(r.text) for r in got if r.text)
     assert next(r.text for r in got if r.doc_id == 4) == long.replace("10.20.30.40", address)
     assert surrogates.replaced(frame(spark, []), "k").count() == 0
+
+
+def test_names_end_at_titles_and_columns_may_be_called_anything(spark):
+    text = "Mr. Jones Mr Jones met Frau Anna Maria Schmidt Haus Boot."
+    rows = spark.createDataFrame([(1, text, "a", "b", "c", "d")], "doc_id long, text string, __swaps string, __mark string, __length string, __kinds string")
+    got = surrogates.replaced(rows, key="k").first()
+    assert got.n_entities == 3 and got["__swaps"] == "a" and got["__kinds"] == "d"
+    first, second = got.text.removeprefix("Mr. ").split(" met ")[0].split(" Mr ")
+    assert first == second != "Jones" and got.text.endswith(" Haus Boot.")

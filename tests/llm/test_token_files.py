@@ -51,3 +51,13 @@ def test_edges(spark):
     got = sorted(((r.doc_id, r.n_tokens) for r in token_files.counts_of_documents(rows, 9).collect()), key=str)
     assert got == sorted([(1, 0), (None, 2), (1, 1), (2, 0)], key=str)
     assert token_files.counts_of_documents(rows.limit(0), 9).count() == 0
+
+
+def test_ids_that_do_not_fit_are_an_error(spark):
+    ids = lambda *x: bytearray(np.array(x, "<u4").tobytes())
+    rows = spark.createDataFrame([(1, ids(5, 70_000))], "doc_id long, token_ids binary")
+    with pytest.raises(Exception, match="doesn't fit"):
+        token_files.counts_of_documents(rows, 9)
+    assert [(r.doc_id, r.n_tokens) for r in token_files.counts_of_documents(rows, 70_001, width=4).collect()] == [(1, 2)]
+    with pytest.raises(Exception, match="doesn't fit"):
+        token_files.counts_of_documents(rows.limit(1), 70_000, width=2)
