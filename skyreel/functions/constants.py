@@ -30,32 +30,79 @@ MEDIA_TYPES = {
 
 UNKNOWN_TYPE = "application/octet-stream"
 
-# Leading bytes in hexadecimal (at a byte offset) -> media type, for formats one signature decides.
+# Leading bytes in hexadecimal at byte offsets -> media type, for formats one signature decides.
 MAGIC_BYTES = [
-    (0, "FFD8FF", "image/jpeg"),
-    (0, "89504E470D0A1A0A", "image/png"),
-    (0, "474946383761", "image/gif"),
-    (0, "474946383961", "image/gif"),
-    (0, "25504446", "application/pdf"),
-    (0, "1F8B08", "application/gzip"),
-    (0, "377ABCAF271C", "application/x-7z-compressed"),
-    (0, "526172211A07", "application/x-rar-compressed"),
-    (0, "1A45DFA3", "video/x-matroska"),
-    (0, "464C5601", "video/x-flv"),
-    (0, "000001BA", "video/mpeg"),
-    (4, "6674797069736F6D", "video/mp4"),
-    (4, "667479706D703432", "video/mp4"),
-    (4, "6674797071742020", "video/quicktime"),
-    (0, "494433", "audio/mpeg"),
-    (0, "664C6143", "audio/flac"),
-    (0, "4F676753", "audio/ogg"),
-    (0, "4D546864", "audio/midi"),
-    (0, "38425053", "image/vnd.adobe.photoshop"),
-    (0, "0061736D", "application/wasm"),
-    (0, "3C3F786D6C20", "application/xml"),
-    (0, "3C21444F43545950452068746D6C", "text/html"),
-    (0, "3C68746D6C", "text/html"),
-    (0, "7B5C72746631", "application/rtf"),
+    (((0, "FFD8FF"),), "image/jpeg"),
+    (((0, "89504E470D0A1A0A"),), "image/png"),
+    (((0, "474946383761"),), "image/gif"),
+    (((0, "474946383961"),), "image/gif"),
+    (((0, "38425053"),), "image/vnd.adobe.photoshop"),
+    (((0, "00000100"),), "image/x-icon"),
+    (((0, "0000000C6A5020200D0A870A"),), "image/jp2"),
+    (((0, "52494646"), (8, "57454250")), "image/webp"),
+    (((4, "6674797068656963"),), "image/heic"),
+    (((4, "6674797061766966"),), "image/avif"),
+    (((0, "41542654464F524D"),), "image/vnd.djvu"),
+    (((0, "762F3101"),), "image/aces"),
+    (((0, "000001BA"),), "video/mpeg"),
+    (((0, "000001B3"),), "video/mpeg"),
+    (((0, "464C5601"),), "video/x-flv"),
+    (((0, "1A45DFA3"),), "video/x-matroska"),
+    (((0, "52494646"), (8, "41564920")), "video/x-msvideo"),
+    (((4, "6674797069736F6D"),), "video/mp4"),
+    (((4, "667479706D703431"),), "video/mp4"),
+    (((4, "667479706D703432"),), "video/mp4"),
+    (((4, "667479704D345620"),), "video/x-m4v"),
+    (((4, "6674797071742020"),), "video/quicktime"),
+    (((4, "6674797033677034"),), "video/3gpp"),
+    (((4, "6674797033677035"),), "video/3gpp"),
+    (((0, "47"), (188, "47"), (376, "47")), "video/mp2t"),
+    (((0, "494433"),), "audio/mpeg"),
+    (((0, "664C6143"),), "audio/flac"),
+    (((0, "4F676753"),), "audio/ogg"),
+    (((0, "4D546864"),), "audio/midi"),
+    (((0, "52494646"), (8, "57415645")), "audio/x-wav"),
+    (((0, "464F524D"), (8, "41494646")), "audio/x-aiff"),
+    (((0, "2321414D52"),), "audio/amr"),
+    (((0, "2E736E64"),), "audio/basic"),
+    (((4, "667479704D344120"),), "audio/mp4"),
+    (((0, "25504446"),), "application/pdf"),
+    (((0, "1F8B08"),), "application/gzip"),
+    (((0, "377ABCAF271C"),), "application/x-7z-compressed"),
+    (((0, "526172211A07"),), "application/x-rar-compressed"),
+    (((0, "425A68"),), "application/x-bzip2"),
+    (((0, "FD377A585A00"),), "application/x-xz"),
+    (((0, "28B52FFD"),), "application/zstd"),
+    (((0, "04224D18"),), "application/x-lz4"),
+    (((0, "4C5A4950"),), "application/x-lzip"),
+    (((0, "4D534346"),), "application/vnd.ms-cab-compressed"),
+    (((0, "EDABEEDB"),), "application/x-rpm"),
+    (((257, "7573746172"),), "application/x-tar"),
+    (((0, "0061736D"),), "application/wasm"),
+    (((0, "7F454C46"),), "application/x-elf"),
+    (((0, "3C3F786D6C20"),), "application/xml"),
+    (((0, "7B5C72746631"),), "application/rtf"),
+    (((0, "252150532D41646F6265"),), "application/postscript"),
+    (((0, "53514C69746520666F726D6174203300"),), "application/vnd.sqlite3"),
+    (((0, "435753"),), "application/x-shockwave-flash"),
+    (((0, "465753"),), "application/x-shockwave-flash"),
+    (((128, "4449434D"),), "application/dicom"),
+    (((0, "894844460D0A1A0A"),), "application/x-hdf5"),
+    (((0, "43444601"),), "application/x-netcdf"),
+    (((0, "53494D504C4520203D"),), "application/fits"),
+    (((0, "50415231"),), "application/vnd.apache.parquet"),
+    (((0, "4F626A01"),), "application/vnd.apache.avro"),
+    (((0, "4F524300"),), "application/vnd.apache.orc"),
+    (((0, "D4C3B2A1"),), "application/vnd.tcpdump.pcap"),
+    (((0, "A1B2C3D4"),), "application/vnd.tcpdump.pcap"),
+    (((0, "676C5446"),), "model/gltf-binary"),
+    (((0, "774F4646"),), "font/woff"),
+    (((0, "774F4632"),), "font/woff2"),
+    (((0, "4F54544F"),), "font/otf"),
+    (((0, "3C21444F43545950452068746D6C"),), "text/html"),
+    (((0, "3C68746D6C"),), "text/html"),
+    (((0, "424547494E3A5643415244"),), "text/vcard"),
+    (((0, "424547494E3A5643414C454E444152"),), "text/calendar"),
 ]
 
 # COCO category id -> name (1..90, with gaps); the dense 0..79 table is the same names in order.

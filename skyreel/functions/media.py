@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import names
-from .constants import MAGIC_BYTES, MEDIA_TYPES, MODEL_ALIASES, UNKNOWN_TYPE
+from . import names, signatures
+from .constants import MODEL_ALIASES, UNKNOWN_TYPE
 
 HEAD_BYTES = 512
 
@@ -15,11 +15,11 @@ def _literal_map(entries: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
 
 
-def guess_content_type(file_name: Column) -> Column:
-    """Media type by extension (of the last path segment)."""
+def guess_content_type(file_name: Column, types: dict[str, str] | None = None) -> Column:
+    """Media type by extension (of the last path segment), out of ``types`` or the public table (``signatures.read_types`` reads larger ones)."""
     base = F.element_at(F.split(file_name, "/", -1), -1)
     extension = F.lower(F.regexp_extract(base, r"\.([^.]*)$", 1))
-    return F.coalesce(_literal_map(MEDIA_TYPES)[extension], F.lit(UNKNOWN_TYPE))
+    return F.coalesce(_literal_map(signatures.public_types() if types is None else types)[extension], F.lit(UNKNOWN_TYPE))
 
 
 def _useless(content_type: Column) -> Column:
@@ -59,16 +59,7 @@ def can_analyze(content_type: Column, file_name: Column) -> Column:
 def detect_type(content: Column) -> Column:
     """Media type the leading bytes prove; null when no signature, or two disagreeing ones, match."""
     head = F.hex(F.substring(content.cast("binary"), 1, HEAD_BYTES))
-    hits = F.array_distinct(
-        F.array_compact(
-            F.array(
-                *[
-                    F.when(F.substring(head, 2 * offset + 1, len(magic)) == magic, F.lit(media_type))
-                    for offset, magic, media_type in MAGIC_BYTES
-                ]
-            )
-        )
-    )
+    hits = F.array_distinct(signatures.known().found(head))
     return F.when(F.size(hits) == 1, hits[0])
 
 

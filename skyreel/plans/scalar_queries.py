@@ -1,10 +1,12 @@
 """Column functions over whole tables: names, media types, geometry, wording."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import media, names, rules
-from ..functions.constants import CLASSIFICATIONS, COCO_NAMES, DETECTION_KEY, MEDIA_TYPES, UNKNOWN_TYPE
+from ..functions.constants import CLASSIFICATIONS, COCO_NAMES, DETECTION_KEY, UNKNOWN_TYPE
 from . import shapes
 from .registry import query
 from .shapes import with_shapes
@@ -14,7 +16,8 @@ BEATS = with_shapes("beats")
 BOXES = with_shapes("boxes")
 EXTENSION_LIST = ["", ".pdf", ".MP4", ".ts", ".jpeg", ".svg", ".mp3", ".json", ".xml", ".txt", ".zip", ".unknownext"]
 SQL_EXTENSIONS = "[" + ", ".join(f"'{e}'" for e in EXTENSION_LIST) + "]"
-SQL_TYPES = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in MEDIA_TYPES.items()) + "}"
+SQL_TYPES = """map {'pdf': 'application/pdf', 'mp4': 'video/mp4', 'ts': 'video/mp2t', 'jpeg': 'image/jpeg', 'svg': 'image/svg+xml', 'mp3': 'audio/mpeg',
+  'json': 'application/json', 'xml': 'application/xml', 'txt': 'text/plain', 'zip': 'application/zip'}"""
 
 FILES = f"""with files as (select page_id, url, html, 'clip-' || page_id || {SQL_EXTENSIONS}[page_id % {len(EXTENSION_LIST)} + 1]
     as file_name, case page_id % 5 when 0 then null when 1 then ' ' when 2 then 'application/octet-stream'
@@ -68,6 +71,46 @@ def _(t):
     )
 
 
+# What files of a kind begin with (``.`` is any byte, a number in braces so many of them), and their type.
+BEGINNINGS = """
+  ('FFD8FF', 'image/jpeg'), ('89504E470D0A1A0A', 'image/png'), ('474946383961', 'image/gif'), ('474946383761', 'image/gif'), ('38425053', 'image/vnd.adobe.photoshop'),
+  ('00000100', 'image/x-icon'), ('0000000C6A5020200D0A870A', 'image/jp2'), ('52494646{4}57454250', 'image/webp'), ('{4}6674797068656963', 'image/heic'), ('{4}6674797061766966', 'image/avif'),
+  ('41542654464F524D', 'image/vnd.djvu'), ('762F3101', 'image/aces'), ('000001BA', 'video/mpeg'), ('000001B3', 'video/mpeg'), ('464C5601', 'video/x-flv'), ('1A45DFA3', 'video/x-matroska'),
+  ('52494646{4}41564920', 'video/x-msvideo'), ('{4}6674797069736F6D', 'video/mp4'), ('{4}667479706D703431', 'video/mp4'), ('{4}667479706D703432', 'video/mp4'), ('{4}667479704D345620', 'video/x-m4v'),
+  ('{4}6674797071742020', 'video/quicktime'), ('{4}6674797033677034', 'video/3gpp'), ('{4}6674797033677035', 'video/3gpp'), ('47{187}47{187}47', 'video/mp2t'), ('494433', 'audio/mpeg'),
+  ('664C6143', 'audio/flac'), ('4F676753', 'audio/ogg'), ('4D546864', 'audio/midi'), ('52494646{4}57415645', 'audio/x-wav'), ('464F524D{4}41494646', 'audio/x-aiff'), ('2321414D52', 'audio/amr'),
+  ('2E736E64', 'audio/basic'), ('{4}667479704D344120', 'audio/mp4'), ('25504446', 'application/pdf'), ('1F8B08', 'application/gzip'), ('377ABCAF271C', 'application/x-7z-compressed'),
+  ('526172211A07', 'application/x-rar-compressed'), ('425A68', 'application/x-bzip2'), ('FD377A585A00', 'application/x-xz'), ('28B52FFD', 'application/zstd'), ('04224D18', 'application/x-lz4'),
+  ('4C5A4950', 'application/x-lzip'), ('4D534346', 'application/vnd.ms-cab-compressed'), ('EDABEEDB', 'application/x-rpm'), ('{257}7573746172', 'application/x-tar'), ('0061736D', 'application/wasm'),
+  ('7F454C46', 'application/x-elf'), ('3C3F786D6C20', 'application/xml'), ('7B5C72746631', 'application/rtf'), ('252150532D41646F6265', 'application/postscript'),
+  ('53514C69746520666F726D6174203300', 'application/vnd.sqlite3'), ('435753', 'application/x-shockwave-flash'), ('465753', 'application/x-shockwave-flash'), ('{128}4449434D', 'application/dicom'),
+  ('894844460D0A1A0A', 'application/x-hdf5'), ('43444601', 'application/x-netcdf'), ('53494D504C4520203D', 'application/fits'), ('50415231', 'application/vnd.apache.parquet'),
+  ('4F626A01', 'application/vnd.apache.avro'), ('4F524300', 'application/vnd.apache.orc'), ('D4C3B2A1', 'application/vnd.tcpdump.pcap'), ('A1B2C3D4', 'application/vnd.tcpdump.pcap'),
+  ('676C5446', 'model/gltf-binary'), ('774F4646', 'font/woff'), ('774F4632', 'font/woff2'), ('4F54544F', 'font/otf'), ('3C21444F43545950452068746D6C', 'text/html'), ('3C68746D6C', 'text/html'),
+  ('424547494E3A5643415244', 'text/vcard'), ('424547494E3A5643414C454E444152', 'text/calendar'), ('', null), ('504B0304', null), ('25504446{4}66747970', 'application/pdf'),
+  ('25504446{124}7573746172', 'application/pdf'), ('25504446{253}7573746172', null)"""
+FILLING = "41"
+
+
+def written(pattern: str) -> str:
+    """The hexadecimal beginning with its gaps filled."""
+    return re.sub(r"\{(\d+)\}", lambda m: FILLING * int(m[1]), pattern)
+
+
+@query(
+    "p03_detect_signatures",
+    f"""with known(pattern, kind) as (values {BEGINNINGS}), numbered as (select *, row_number() over (order by pattern, kind) - 1 as n from known)
+select page_id, kind from pages join numbered on page_id % (select count(*) from numbered) = n""",
+)
+def _(t):
+    """Every page behind one of the beginnings, dealt out by its id."""
+    known = re.findall(r"\('([^']*)', (?:'([^']*)'|null)\)", BEGINNINGS)
+    heads = [written(pattern) for pattern, _ in sorted(known)]
+    head = F.element_at(F.array(*[F.lit(h) for h in heads]), (F.col("page_id") % len(heads) + 1).cast("int"))
+    content = F.concat(F.unhex(head), F.encode(F.concat(F.lit("  "), "html"), "UTF-8"))
+    return t.pages.select("page_id", media.detect_type(content).alias("kind"))
+
+
 @query(
     "p04_can_analyze",
     f"""{FILES} select page_id, not contains(lower(kind_type), 'svg') and regexp_matches(lower(kind_type),
