@@ -138,6 +138,32 @@ TRACKER_NAME = "ByteTrack (Zhang et al., ECCV 2022)"
 ST0601_KEY = bytes.fromhex("060E2B34020B01010E01030101000000")
 ST0903_KEY = bytes.fromhex("060E2B34020B01010E01030306000000")
 
+# Fixed output: what a refused source and a refused stream name are told. Callers and tests compare these texts.
+SOURCE_REFUSALS = {
+    "transport": ("Transport '", "' is not allowed. Allowed: {allowed}."),
+    "same id": ("Two forwards share the id '", "'."),
+    "no url": "A forward needs a URL.",
+    "latitude": "A sensor latitude is -90 to 90 degrees.",
+    "longitude": "A sensor longitude is -180 to 180 degrees.",
+    "altitude": "A sensor altitude is -900 to 19000 metres.",
+    "bearing": "A true bearing is 0 to 360 degrees.",
+    "elevation": "A relative elevation is -180 to 180 degrees, positive above the horizon.",
+    "field of view": "A field of view is above 0 and up to 180 degrees.",
+    "classification": ("'", "' is not an ST 0102 classification. One of: {allowed}."),
+    "name": ("'", "' is not a usable stream name."),
+}
+NAME_REFUSALS = {
+    "unusable": ("'", "' is not a usable stream name; "),
+    "letters": "allowed are letters, digits, dot, dash, underscore and slash, up to 128 of them",
+    "slashes": "a slash must separate two non-empty segments and '..' is not one of them",
+    "publish": "the caller asked to receive (m=request) and this is the ingest port",
+    "subscribe": "the caller offered to send (m=publish) and this is the consumption port",
+    "none": "no stream identifier was presented",
+    "long": "the stream identifier is longer than {most} bytes",
+    "empty": "the stream identifier is empty, so the stream has no name",
+    "no resource": "the stream identifier carries no resource key (r), so the stream has no name",
+}
+
 NOTE_TRUNCATED = "Truncated: the recorder could not keep up with the stream."
 NOTE_FAILED = (
     "Incomplete: this recording failed before it finished, so it is short of what was "

@@ -34,7 +34,7 @@ def decode_parts(text: Column) -> Column:
     """JSON array text as parts; blank is empty, malformed fails: a lost list loses a recording."""
     blank = text.isNull() | (F.trim(text) == "")
     parsed = F.from_json(text, f"array<{PART.simpleString()}>")
-    failure = F.raise_error(F.concat(F.lit("A document's parts could not be read: "), text))
+    failure = F.raise_error(F.concat(F.lit("this is no list of parts: "), text))
     return (
         F.when(blank, F.array().cast(f"array<{PART.simpleString()}>"))
         .when(parsed.isNull() & (F.trim(text) != "null"), failure.cast(f"array<{PART.simpleString()}>"))

@@ -95,29 +95,30 @@ def describe_media(containers: DataFrame, tracks: DataFrame) -> DataFrame:
     ``containers(doc_no, container, seconds, bit_rate)``, ``tracks(doc_no, index, kind, codec, width, height, sar_num,
     sar_den, pixel_format, avg_num, avg_den, frames, channels, sample_rate, language, bit_rate)``.  Values that say
     nothing are left out.  Streams are numbered per kind from the second on.
+
+    Either may have ``tags``, an array of ``struct(key, value)`` in the file's order: they follow what the probe itself says of the container or
+    stream, with a ``place`` (0 for the probe's own) that orders them. A label that comes again keeps its first place and
+    its last text.
     """
+    tagged = "tags" in containers.columns or "tags" in tracks.columns
+    tags = lambda of: F.col("tags") if "tags" in of.columns else F.array().cast("array<struct<key: string, value: string>>")
     whole = containers.select(
         "doc_no",
         _entries(
-            0,
+            F.lit(0),
             [
                 (F.lit("Container"), F.col("container")),
                 (F.lit("Duration"), F.when(F.col("seconds") > 0, media.fmt_duration(F.col("seconds")))),
                 (F.lit("Overall bitrate"), F.when(F.col("bit_rate") > 0, media.fmt_bitrate(F.col("bit_rate")))),
             ],
+            F.lit(""), tags(containers),
         ).alias("e"),
-    )
+    )
     ordinal = numbered(tracks, lane(("doc_no", "kind"), "index", block("index", 4_096)), "__n")
-    ordinal = ordinal.withColumn("__label", media.stream_label(F.col("kind"), F.col("__n")))
+    ordinal = _with_aspect(ordinal.withColumn("__label", media.stream_label(F.col("kind"), F.col("__n"))))
     named = lambda what: F.concat("__label", F.lit(f" {what}"))
     only = lambda kind, value: F.when(F.col("kind") == kind, value)
     sized = (F.col("width") > 0) & (F.col("height") > 0)
-    shape_w, shape_h = F.col("width").cast("long") * F.col("sar_num"), F.col("height").cast("long") * F.col("sar_den")
-    shaped = (F.col("kind") == "video") & sized & (F.col("sar_num") > 0) & (F.col("sar_den") > 0)
-    reduced = F.transform(
-        F.array(_gcd(shape_w, shape_h)), lambda g: media.fmt_aspect(F.floor(shape_w / g), F.floor(shape_h / g))
-    )
-    aspect = F.when(shaped, reduced[0])  # worked out for pictures only, and once each
     per_track = ordinal.select(
         "doc_no",
         _entries(
@@ -125,7 +126,7 @@ def describe_media(containers: DataFrame, tracks: DataFrame) -> DataFrame:
             [
                 (named("codec"), F.col("codec")),
                 (named("dimensions"), only("video", F.when(sized, media.fmt_dimensions(F.col("width"), F.col("height"))))),
-                (named("aspect ratio"), aspect),
+                (named("aspect ratio"), F.col("__aspect")),
                 (named("pixel format"), only("video", F.col("pixel_format"))),
                 (named("frame rate"), only("video", media.fmt_frame_rate(F.col("avg_num"), F.col("avg_den")))),
                 (named("frames"), only("video", F.when(F.col("frames") > 0, F.col("frames").cast("string")))),
@@ -134,21 +135,39 @@ def describe_media(containers: DataFrame, tracks: DataFrame) -> DataFrame:
                 (named("language"), only("subtitle", F.col("language"))),
                 (named("bitrate"), F.when(F.col("bit_rate") > 0, media.fmt_bitrate(F.col("bit_rate")))),
             ],
+            F.concat("__label", F.lit(" ")), F.filter(tags(tracks), lambda t: F.lower(t["key"]) != "language"),
         ).alias("e"),
-    )
+    )
     entries = whole.unionByName(per_track).select("doc_no", F.explode("e").alias("e"))
-    worded = entries.select("doc_no", "e.position", "e.label", media.meaningful(F.col("e.text")).alias("text"))
-    return worded.where("text is not null")
-
-
-def _entries(base: Column | int, pairs: list[tuple[Column, Column]]) -> Column:
-    start = F.lit(base) if isinstance(base, int) else base
-    return F.array(
-        *[
-            F.struct((start * 100 + n).cast("long").alias("position"), label.alias("label"), value.alias("text"))
-            for n, (label, value) in enumerate(pairs)
-        ]
-    )
+    worded = entries.select("doc_no", "e.position", "e.place", "e.label", media.meaningful(F.col("e.text")).alias("text")).where("text is not null")
+    if not tagged:
+        return worded.drop("place")
+    order = F.struct("position", "place")
+    last = worded.groupBy("doc_no", "label").agg(F.min(order).alias("o"), F.max_by("text", order).alias("text"))
+    return last.select("doc_no", "o.position", "o.place", "label", "text")
+
+
+TAGS_AT = 10
+"""Where tags stand among the hundred positions of a container or stream."""
+
+
+def _entries(base: Column, pairs: list[tuple[Column, Column]], prefix: Column, tags: Column) -> Column:
+    entry = lambda n, place, label, text: F.struct((base * 100 + n).cast("long").alias("position"), place.cast("int").alias("place"), label.alias("label"), text.cast("string").alias("text"))
+    own = F.array(*[entry(n, F.lit(0), label, value) for n, (label, value) in enumerate(pairs)])
+    keyed = F.filter(tags, lambda t: F.length(t["key"]) > 0)
+    told = F.transform(keyed, lambda t, n: entry(TAGS_AT, n + 1, F.concat(prefix, media.capitalise(F.replace(t["key"], F.lit("_"), F.lit(" ")))), t["value"]))
+    return F.concat(own, F.coalesce(told, F.array().cast("array<struct<position: bigint, place: int, label: string, text: string>>")))
+
+
+def _with_aspect(tracks: DataFrame) -> DataFrame:
+    """Adds the display aspect, worked out once for each different shape: of these there are few."""
+    sides = ["width", "height", "sar_num", "sar_den"]
+    shaped = (F.col("kind") == "video") & (F.col("width") > 0) & (F.col("height") > 0) & (F.col("sar_num") > 0) & (F.col("sar_den") > 0)
+    wide, high = F.col("width").cast("long") * F.col("sar_num"), F.col("height").cast("long") * F.col("sar_den")
+    reduced = F.transform(F.array(_gcd(wide, high)), lambda g: media.fmt_aspect(F.floor(wide / g), F.floor(high / g)))
+    shapes = tracks.where(shaped).select(*sides).distinct().select(*sides, reduced[0].alias("__aspect"))
+    keyed = tracks.withColumns({f"__{c}": F.when(shaped, F.col(c)) for c in sides})
+    return keyed.join(shapes.withColumnsRenamed({c: f"__{c}" for c in sides}), [f"__{c}" for c in sides], "left")
 
 
 def _gcd(a: Column, b: Column) -> Column:

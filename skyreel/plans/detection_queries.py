@@ -270,6 +270,32 @@ def _(t):
     return layout.describe_media(containers, probed)
 
 
+@query(
+    "k11_media_tags",
+    f"""{TRACKS}, n as (select *, row_number() over (partition by stream, kind order by index) as n from tracks),
+  l as (select *, upper(kind[1]) || kind[2:] || case when n > 1 then ' ' || n else '' end as label, (index + 1) * 100 as base from n),
+  c as (select o_orderkey as doc_no, o_orderkey % 100 as seconds, o_orderpriority from orders)
+select doc_no, 10::bigint as position, 1::int as place, 'Creation time' as label, o_orderpriority as text from c
+union all select doc_no, case when seconds > 0 then 1 else 10 end, case when seconds > 0 then 0 else 2 end, 'Duration', 'told otherwise' from c where doc_no % 7 = 0
+union all select doc_no, 1, 0, 'Duration', case when seconds < 60 then seconds || ' s' else '1:' || lpad(cast(seconds - 60 as varchar), 2, '0') end from c where seconds > 0 and doc_no % 7 <> 0
+union all select stream, base + 10, 1, label || ' Handler name', 'handler ' || index from l where index % 2 = 1""",
+)
+def _(t):
+    """What the tags of containers and streams add, and where a tag replaces what the probe said."""
+    number = F.col("o_orderkey")
+    tag = lambda key, value: F.struct(F.lit(key).alias("key"), value.alias("value"))
+    containers = t.orders.select(
+        number.alias("doc_no"), F.lit("MPEG-TS").alias("container"), (number % 100).cast("double").alias("seconds"), F.lit(0).alias("bit_rate"),
+        F.array(tag("creation_time", F.col("o_orderpriority")), tag("duration", F.when(number % 7 == 0, " told otherwise ")), tag("", F.lit("no key")), tag("encoder", F.lit("N/A"))).alias("tags"),
+    )
+    probed = tracks(t).select(
+        F.col("stream").alias("doc_no"), "index", "kind", "codec", "width", "height", F.lit(1).alias("sar_num"), F.lit(1).alias("sar_den"), F.lit("yuv420p").alias("pixel_format"),
+        "avg_num", "avg_den", F.col("size").alias("frames"), F.lit(2).alias("channels"), "sample_rate", F.lit("eng").alias("language"), F.lit(0).alias("bit_rate"),
+        F.array(tag("LANGUAGE", F.lit("eng")), tag("handler_name", F.when(F.col("index") % 2 == 1, F.concat(F.lit("handler "), F.col("index").cast("string"))))).alias("tags"),
+    )
+    return layout.describe_media(containers, probed).where("place > 0 or label = 'Duration'")
+
+
 # --- packets of detections ----------------------------------------------------------------------
 
 
