@@ -348,6 +348,9 @@ def locate_position(offsets: DataFrame, positions: DataFrame, block_bytes: int)
     )
 
 
+PARTS_A_BLOCK = 1_024
+
+
 def byte_range_plan(offsets: DataFrame, requests: DataFrame, block_bytes: int) -> DataFrame:
     """Reads that serve each ``requests(request_id, doc_no, from_byte, length)``: one row per part touched.
 
@@ -369,7 +372,10 @@ def byte_range_plan(offsets: DataFrame, requests: DataFrame, block_bytes: int) -
     found = locate_position(offsets, both, block_bytes)
     side = lambda w: F.max(F.when(F.col("which") == w, F.col("part_no")))
     spans = found.groupBy("request_id", "doc_no", "from_byte", "__to").agg(side("first").alias("__a"), side("last").alias("__z"))
-    numbers = spans.withColumn("part_no", F.explode(F.sequence(F.col("__a"), F.col("__z")))).drop("__a", "__z")
+    # a block at a time, so that no row holds the numbers of a whole recording
+    blocks = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col("__a") / PARTS_A_BLOCK), F.floor(F.col("__z") / PARTS_A_BLOCK))))
+    inside = F.sequence(F.greatest("__a", F.col("__b") * PARTS_A_BLOCK), F.least(F.col("__z"), F.col("__b") * PARTS_A_BLOCK + PARTS_A_BLOCK - 1))
+    numbers = blocks.withColumn("part_no", F.explode(inside)).drop("__a", "__z", "__b")
     stored = offsets.where("size > 0").select("doc_no", "part_no", "start_byte", "end_byte")
     touched = numbers.join(stored, ["doc_no", "part_no"])
     begin = F.greatest("from_byte", "start_byte")

@@ -66,9 +66,28 @@ def _(t):
     return retained(t)
 
 
-@query("w04_buffer_small_ceiling")
-def _(t):
-    return ops.buffer_retained(segmented(t), packet_lane(), SPT, WINDOW, 60_000)
+SMALL = 60_000
+# The buffer packet by packet: the newest segment grows, then the longest suffix stays that is light enough and begins in the window.
+WALKED = f"""with recursive {SEGMENTED[5:]}, n as (select stream, pts, size, segment, row_number() {BY_STREAM} as rn,
+    segment > 0 and segment is distinct from lag(segment) {BY_STREAM} as starts from segmented),
+  w(stream, rn, held, ceiling_binding) as (
+    select distinct stream, 0::bigint, cast([] as struct(segment bigint, start_pts bigint, end_pts bigint, bytes bigint, startable boolean)[]), false from n
+    union all
+    select stream, rn, held[cut + 1:], case when cut > 0 then cut = light else ceiling_binding end from (
+      select *, coalesce(list_filter(range(light, len(held)), lambda i: i = len(held) - 1 or held[-1].end_pts - held[i + 1].start_pts <= {WINDOW * 1000})[1], len(held)) as cut from (
+        select *, len(list_filter(range(len(held)), lambda i: list_sum(list_transform(held[i + 1:], lambda s: s.bytes)) > {SMALL})) as light from (
+          select stream, rn, ceiling_binding, list_append(open[:-2], struct_pack(segment := open[-1].segment, start_pts := open[-1].start_pts,
+            end_pts := greatest(open[-1].end_pts, pts), bytes := cast(open[-1].bytes + size as bigint), startable := open[-1].startable)) as held from (
+              select n.stream, n.rn, n.pts, n.size, w.ceiling_binding, case when n.starts or len(w.held) = 0
+                then list_append(w.held, struct_pack(segment := n.segment, start_pts := n.pts, end_pts := n.pts, bytes := 0::bigint, startable := n.starts)) else w.held end as open
+              from w join n on n.stream = w.stream and n.rn = w.rn + 1))))),
+  last as (select stream, held, ceiling_binding from w qualify row_number() over (partition by stream order by rn desc) = 1)
+select stream, s.segment, s.start_pts, s.end_pts, s.bytes, s.startable, ceiling_binding from (select stream, unnest(held) as s, ceiling_binding from last)"""
+
+
+@query("w04_buffer_small_ceiling", WALKED)
+def _(t):
+    return ops.buffer_retained(segmented(t), packet_lane(), SPT, WINDOW, SMALL)
 
 
 PREROLL = f"""{RETAINED}, live as (select stream, arg_max(end_pts, segment) as edge_pts from kept group by stream),
