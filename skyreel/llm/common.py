@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, cut_lineage
 
-__all__ = ["checkpointed", "fold", "prepared", "shared_folder", "table", "unused"]
+__all__ = ["checkpointed", "fold", "prepared", "shared_folder", "table", "tidied", "unused"]
 
 BATCH_ROWS = 256
 """Rows of an Arrow batch that carries whole texts."""
@@ -40,6 +44,18 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def tidied(work):
+    """A function over Arrow batches that leaves its worker without unused memory: workers live on from task to task."""
+
+    def run(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # of the GNU library only
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows written once in the cluster's shared checkpoint folder."""
     return cut_lineage(df)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import checkpointed
+from .common import checkpointed, tidied
 
 NUM, DEN = 75, 100
 SHINGLE = 5
@@ -29,6 +29,8 @@ CHUNK = 1 << 19
 BUCKET_ROWS = 400_000
 BROADCAST_ROWS = 1 << 19
 """A list of rows to read again is broadcast up to so many (about 40 bytes each), else joined by a shuffle."""
+LEAST_LINKED = 3
+"""A smaller set is similar to equal ones only (2 of 3 is under NUM / DEN), which are of its class already: it gets no postings."""
 MOST = 65_535
 """Sizes and places are kept exactly below this. A larger set passes the filters unseen and is decided by its exact
 overlap; a smaller place only weakens a filter."""
@@ -116,6 +118,7 @@ def survey(texts: DataFrame, reader: Reader) -> DataFrame:
                 _, once = np.unique(found.key, return_index=True)
                 fresh = np.zeros(len(found.key), bool)
                 fresh[once] = True
+                fresh &= found.size >= LEAST_LINKED
                 held.append(found.tokens[np.repeat(fresh, found.size)])
                 total += len(held[-1])
                 if total >= CHUNK:
@@ -124,7 +127,7 @@ def survey(texts: DataFrame, reader: Reader) -> DataFrame:
         if held:
             yield flush()
 
-    return texts.mapInArrow(look, "kind int, id long, mark long, number long, n long, key long, sig long")
+    return texts.mapInArrow(tidied(look), "kind int, id long, mark long, number long, n long, key long, sig long")
 
 
 def common_tokens(seen: DataFrame, least: int = COMMON_LEAST, most: int = COMMON_MOST) -> tuple[np.ndarray, np.ndarray]:
@@ -211,7 +214,8 @@ def dealt(rows: DataFrame, reader: Reader, common: tuple[np.ndarray, np.ndarray]
         for batch in batches:
             for found, _, _ in reader(batch):
                 chosen = np.zeros(len(found.key), bool)
-                for at, key in enumerate(found.key.tolist()):  # a set that this chunk has had adds nothing
+                linking = np.flatnonzero(found.size >= LEAST_LINKED)
+                for at, key in zip(linking.tolist(), found.key[linking].tolist()):  # a set that this chunk has had adds nothing
                     if key not in met:
                         met.add(key)
                         chosen[at] = True
@@ -223,7 +227,7 @@ def dealt(rows: DataFrame, reader: Reader, common: tuple[np.ndarray, np.ndarray]
         if total:
             yield flush()
 
-    return rows.mapInArrow(pack, "bucket int, postings binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(tidied(pack), "bucket int, postings binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
 
 def whole_buckets(batches) -> Iterator[np.ndarray]:
@@ -342,7 +346,7 @@ def promising(found: DataFrame) -> DataFrame:
 
 
 def candidates(packed: DataFrame) -> DataFrame:
-    return packed.mapInArrow(runs, RUN_SCHEMA)
+    return packed.mapInArrow(tidied(runs), RUN_SCHEMA)
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -375,7 +379,7 @@ def set_table(texts: DataFrame, reader: Reader, keys: DataFrame) -> DataFrame:
 
     named = keys.groupBy("id").agg(F.collect_set("key").alias("keys"))
     named = F.broadcast(named) if keys.count() <= BROADCAST_ROWS else named.hint("shuffle_hash")
-    return texts.join(named, "id").select("id", "text", "keys").mapInArrow(pack, "key long, tokens binary")
+    return texts.join(named, "id").select("id", "text", "keys").mapInArrow(tidied(pack), "key long, tokens binary")
 
 
 def linked(common: int, nx: int, ny: int) -> bool:
@@ -397,4 +401,4 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     if pairs.count() <= BROADCAST_ROWS:
         pairs = F.broadcast(pairs)
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(tidied(exact), "a long, b long")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .common import checkpointed, prepared
+from .common import checkpointed, prepared, tidied
 
 SAMPLE_ROWS = 16_000
 """Labelled documents the model is fitted on at most, those with the smallest hashes of their ids."""
@@ -68,7 +68,7 @@ def _chosen(sample: DataFrame) -> list[str]:
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
         return []
-    counted = sample.mapInArrow(count, "f string, y int, n long").groupBy("f").agg(
+    counted = sample.mapInArrow(tidied(count), "f string, y int, n long").groupBy("f").agg(
         F.coalesce(F.sum(F.when(F.col("y") == 1, F.col("n"))), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(F.col("y") == 0, F.col("n"))), F.lit(0)).alias("c")
     )
     share = (F.col("a") + F.col("c")) / F.lit(bad + good)
@@ -97,7 +97,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
                 bare.append(sum(not f for f in found))
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(bare, pa.int64()), pa.array(told, pa.list_(pa.list_(pa.int32())))], ["y", "bare", "told"])
 
-    got = sample.mapInArrow(encode, "y int, bare long, told array<array<int>>").toArrow()
+    got = sample.mapInArrow(tidied(encode), "y int, bare long, told array<array<int>>").toArrow()
     y = got["y"].to_numpy().astype(float)
     if not len(y):
         return Model(-50.0)
@@ -170,7 +170,7 @@ def scored(documents: DataFrame, model: Model, bar: float = 0.5) -> DataFrame:
             kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(spots, kind)], ["doc_id", "score", "offending"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORED)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), SCORED)
 
 
 def without_toxic(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -193,4 +193,4 @@ def without_toxic(documents: DataFrame, model: Model, threshold: float = 0.5) ->
                 keep.append(bool(-np.expm1(-total) < threshold))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidied(run), documents.schema)
