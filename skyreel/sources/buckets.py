@@ -146,6 +146,22 @@ def update(
     return version
 
 
+def rebucketed(spark: SparkSession, table: Table, buckets: int, kept: int = KEPT_VERSIONS) -> int:
+    """The table with another number of buckets, as a new version: for tables that have outgrown theirs."""
+    root = table.root.rstrip("/")
+    held = manifest(spark, root)
+    if held is None:
+        raise ValueError(f"{root} holds no table")
+    files, version = _Files(spark, root), versions(spark, root)[-1] + 1
+    folder = f"data/{_name(version)}"
+    rows = _rows(spark, root, held).withColumn(BUCKET, bucket_of(table.keys, buckets))
+    rows.repartition(buckets, BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{root}/{folder}")
+    places = {n.removeprefix(f"{BUCKET}="): f"{folder}/{n}" for n in files.names(folder) if n.startswith(f"{BUCKET}=")}
+    files.put(f"manifests/{_name(version)}.json", json.dumps(held | {"buckets": buckets, "places": places}))
+    expire(spark, root, kept)
+    return version
+
+
 def expire(spark: SparkSession, root: str, kept: int = KEPT_VERSIONS) -> None:
     """Take away all but the newest ``kept`` versions, and the buckets' folders that no version left names."""
     files, done = _Files(spark, root), versions(spark, root)

@@ -93,6 +93,15 @@ def test_rows_of_other_buckets_are_refused(spark, table):
     assert buckets.versions(spark, table.root) == []
 
 
+def test_more_buckets_for_a_table_that_has_grown(spark, table):
+    first = [(str(k), 1, f"n{k}") for k in range(100)] + [(None, 1, "null key")]
+    buckets.update(rows(spark, first), table, put)
+    assert buckets.rebucketed(spark, table, 32) == 2
+    assert buckets.manifest(spark, table.root)["buckets"] == 32 and len(buckets.manifest(spark, table.root)["places"]) > 8
+    buckets.update(rows(spark, [("5", 2, "new")]), table, put)
+    assert {tuple(r) for r in buckets.read(spark, table.root).collect()} == {r for r in first if r[0] != "5"} | {("5", 2, "new")}
+
+
 def test_manifest_is_plain_json(spark, table):
     buckets.update(rows(spark, [("a", 1, "x")]), table, put)
     told = json.load(open(f"{table.root}/manifests/000000000001.json"))
