@@ -4,17 +4,23 @@ Boxes of a stream are followed frame by frame, so the work inside a tracker is s
 spread: a tracker starts anew where the frame size changes or time runs backwards, and between those it is
 *empty* once no usable box has been seen for longer than lost tracks are kept.  From an empty tracker on
 nothing earlier matters except how many ids are used up, which is added afterwards.
+
+A busy stretch, in which a tracker is never empty, is split in space. Boxes without overlap cannot match, so boxes whose grid cells are
+not connected over the whole stretch are followed apart; every part tells which cells its tracks were ever predicted in. A
+stretch in which one entered another part's cells is followed as a whole after all, so the result is the one-pass result. Ids are dealt
+anew in the order in which tracks began.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import TRACKER_NAME
 from ..session import cut_lineage
-from .ordered import Lane, around, block, previous, running, sessions
+from .ordered import Lane, around, block, following, numbered, previous, running, sessions
 from .sequential import replay
 
 FLOOR = 0.1
@@ -161,21 +167,28 @@ class Tracker:
         self.width, self.height = width, height
         self.threshold, self.match, self.buffer, self.frame = threshold, match, buffer, frame
         self.born = 0
+        self.births: list[tuple[int, int]] = []  # ids and boxes of tracks that the last frame began
         self.motion = Motion()
         self.info: list[dict] = []
 
     def _status(self, *wanted: int) -> np.ndarray:
         return np.array([t["status"] in wanted for t in self.info], dtype=bool)
 
+    def predicted(self) -> None:
+        """Called whenever tracks have moved on and nothing has been matched yet."""
+
     def predict(self) -> None:
         self.frame += 1
         self.motion.advance(~self._status(ACTIVE))
+        self.predicted()
         self._expire()
 
     def update(self, at: int, boxes: np.ndarray, confidence: np.ndarray, classes: list) -> None:
         """``boxes`` are one-based inclusive pixels, ``confidence`` percent with NaN for a certain box."""
         self.frame += 1
+        self.births = []
         self.motion.advance(~self._status(ACTIVE))
+        self.predicted()
         seen = boxes.astype(float).reshape(-1, 4) + np.array([0, 0, 1, 1])
         score = np.where(np.isnan(confidence), 100, confidence) / 100.0
         high = np.flatnonzero(score > self.threshold)
@@ -208,6 +221,7 @@ class Tracker:
 
     def _start(self, d, at, seen, confidence, classes) -> None:
         self.born += 1
+        self.births.append((self.born, int(d)))
         self.motion.add(centred(seen[d : d + 1]))
         self.info.append({"id": self.born, "status": ACTIVE, "started": at, "hits": 0})
         self._observe(len(self.info) - 1, d, at, seen, confidence, classes)
@@ -309,6 +323,159 @@ class _Run:
         return [(*self.who, seq, pts, *track, None) for track in self.tracker.reported()]
 
 
+CELL = 64
+"""Pixels of a grid cell's side. The result does not depend on it."""
+BUSY = 20_000
+"""Boxes from which on a stretch is looked at for parts. The result does not depend on it."""
+
+
+def cells_of(edges: np.ndarray, width: int, height: int, cell: int) -> set[int]:
+    """The grid cells that boxes touch inside the frame."""
+    out: set[int] = set()
+    across = -(-width // cell) + 1
+    low = np.floor(edges[:, :2] / cell).astype(np.int64)
+    high = np.floor(edges[:, 2:] / cell).astype(np.int64)
+    limit = np.array([width // cell, height // cell])
+    low, high = np.maximum(low, 0), np.minimum(high, limit)
+    for (left, top), (right, bottom) in zip(low.tolist(), high.tolist()):
+        for y in range(top, bottom + 1):
+            out.update(range(y * across + left, y * across + right + 1))
+    return out
+
+
+class _Watched(Tracker):
+    """A tracker that notes the cells its tracks are predicted in."""
+
+    def __init__(self, *args, cell: int = CELL, **settings):
+        super().__init__(*args, **settings)
+        self.cell, self.entered = cell, set()
+
+    def predicted(self) -> None:
+        if self.info:
+            self.entered |= cells_of(self.motion.edges(), self.width, self.height, self.cell)
+
+
+class _Part:
+    """One part of one stretch. Frames in which it has no box are not among its rows: the first of them ends all matches, the
+    others only move tracks on."""
+
+    def __init__(self, settings: dict, cell: int):
+        self.settings, self.cell = settings, cell
+        self.tracker: _Watched | None = None
+        self.frame: list[tuple] = []
+
+    def feed(self, rows: list[tuple]) -> list[tuple]:
+        self.who, out = rows[0][:4], []
+        for row in rows:
+            if self.frame and row[4] != self.frame[0][4]:
+                out.extend(self._frame_done())
+            self.frame.append(row)
+        return out
+
+    def finish(self) -> list[tuple]:
+        out = self._frame_done()
+        return out + [(*self.who, *[None] * 14, entered) for entered in sorted(self.tracker.entered)]
+
+    def _frame_done(self) -> list[tuple]:
+        seq, pts, width, height, step, before, number, following = self.frame[0][4:12]
+        if self.tracker is None:
+            self.tracker = _Watched(width, height, frame=step - 1, cell=self.cell, **self.settings)
+        else:
+            tracker = self.tracker
+            if number > self.last[1] + 1:
+                for _ in range(self.last[2]):
+                    tracker.predict()
+                tracker.update(pts, np.empty((0, 4)), np.empty(0), [])
+            while tracker.frame < step - 1:
+                if not tracker.info:
+                    tracker.frame = step - 1
+                    break
+                tracker.predict()
+        self.last = (seq, number, following)
+        array = np.array([row[13:17] for row in self.frame], dtype=float).reshape(-1, 4)
+        sure = np.array([np.nan if row[17] is None else row[17] for row in self.frame], dtype=float)
+        self.tracker.update(pts, array, sure, [row[18] for row in self.frame])
+        out = [(*self.who, seq, pts, *track, None, None, None) for track in self.tracker.reported()]
+        out += [(*self.who, seq, pts, local, *[None] * 9, self.frame[d][12], local, None) for local, d in self.tracker.births]
+        self.frame = []
+        return out
+
+
+PART_FIELDS = (
+    "seq long, pts long, local_id int, left int, top int, right int, bottom int, confidence int, class_name string, "
+    "started_pts long, last_seen_pts long, hits int, birth_det long, birth_id int, entered int"
+)
+
+
+def _labelled(cells: pd.DataFrame) -> pd.DataFrame:
+    """Connected cells of one stretch, corners included, as parts from 0. A frame has a bounded number of cells."""
+    part: dict[int, int] = {}
+    across = int(cells["across"].iloc[0])
+    wanted = set(cells["cell"].tolist())
+    count = 0
+    for cell in sorted(wanted):
+        if cell in part:
+            continue
+        open_ = [cell]
+        part[cell] = count
+        while open_:
+            at = open_.pop()
+            for dy in (-across, 0, across):
+                for dx in (-1, 0, 1):
+                    near = at + dy + dx
+                    if near in wanted and near not in part:
+                        part[near] = count
+                        open_.append(near)
+        count += 1
+    first = cells.iloc[0]
+    return pd.DataFrame({"stream": first["stream"], "epoch": first["epoch"], "run": first["run"], "cell": list(part), "part": list(part.values())})
+
+
+def _in_parts(rows: DataFrame, runs: DataFrame, settings: dict, cell: int, busy: int, block_rows: int) -> tuple[DataFrame, DataFrame] | None:
+    """What the parts of busy stretches report, shaped like the one-pass rows, and the stretches (keys) it covers; None if nothing can be split."""
+    keys = ["stream", "epoch", "run"]
+    crowded = rows.where("det is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= busy).select(*keys)
+    crowded = cut_lineage(crowded)
+    if crowded.isEmpty():
+        return None
+    boxes = rows.where("det is not null").join(crowded, keys, "left_semi")
+    across = F.ceil(F.col("width") / cell).cast("int") + 1
+    spot = lambda x, y: (F.floor(F.col(y) / cell) * across + F.floor(F.col(x) / cell)).cast("int")
+    # boxes as the tracker sees them, inside the frame
+    span = lambda low, high, most: F.sequence(F.floor(F.greatest(F.col(low), F.lit(0)) / cell), F.floor(F.least(F.col(high) + 1, F.col(most)) / cell))
+    fits = F.coalesce(F.expr("left <= width and top <= height and left >= 0 and top >= 0 and left <= right and top <= bottom"), F.lit(False))
+    inside = boxes.where(fits)
+    wide = inside.select(*keys, across.alias("across"), F.explode(span("top", "bottom", "height")).alias("y"), span("left", "right", "width").alias("xs"))
+    cells = wide.select(*keys, "across", F.explode(F.transform("xs", lambda x: (F.col("y") * F.col("across") + x).cast("int"))).alias("cell")).distinct()
+    labels = cut_lineage(cells.groupBy(*keys).applyInPandas(_labelled, "stream string, epoch long, run long, cell int, part int"))
+    # a box that lies outside the frame has no cell: its stretch stays whole
+    odd = boxes.where(~fits).select(*keys).distinct()
+    several = cut_lineage(labels.groupBy(*keys).agg(F.max("part").alias("parts")).where("parts > 0").select(*keys).join(odd, keys, "left_anti"))
+    if several.isEmpty():
+        return None
+    frames = runs.join(several, keys, "left_semi").select(*keys, "seq", "steps_before")
+    along = Lane(tuple(keys), ("seq",), block("seq", block_rows))
+    placed = following(numbered(frames, along, "number"), along, __next=F.col("steps_before")).drop("steps_before")
+    corner = boxes.join(several, keys, "left_semi").withColumn("cell", spot("left", "top"))
+    dealt = corner.join(labels, [*keys, "cell"]).join(placed, [*keys, "seq"]).select(
+        *keys, "part", "seq", "pts", "width", "height", "step", "steps_before", "number", F.coalesce("__next", F.lit(0)).alias("following"),
+        "det", "left", "top", "right", "bottom", "confidence", "class_name",
+    )
+    told = cut_lineage(replay(dealt, [*keys, "part"], ["seq", "det"], lambda: _Part(settings, cell), f"stream string, epoch long, run long, part int, {PART_FIELDS}"))
+    entered = told.where("entered is not null").select(*keys, F.col("part").alias("mine"), F.col("entered").alias("cell"))
+    strayed = entered.join(labels, [*keys, "cell"]).where("part <> mine").select(*keys).distinct()
+    sound = cut_lineage(several.join(strayed, keys, "left_anti"))
+    good = told.join(sound, keys, "left_semi")
+    births = numbered(good.where("birth_id is not null").select(*keys, "part", "seq", F.col("birth_det").alias("det"), F.col("birth_id").alias("local_id")), Lane(tuple(keys), ("seq", "det"), block("seq", block_rows)), "dealt_id")
+    tracks = good.where("entered is null and birth_id is null").join(births.select(*keys, "part", "local_id", "dealt_id"), [*keys, "part", "local_id"])
+    names = [f.split()[0] for f in OUT_FIELDS.split(", ")]
+    reported = tracks.select(*keys, *[F.col("dealt_id").cast("int").alias(n) if n == "local_id" else F.lit(None).cast("int").alias(n) if n == "born" else F.col(n) for n in names])
+    types = dict(reported.dtypes)
+    totals = births.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("born"))
+    ends = totals.select(*keys, *[F.col("born") if n == "born" else F.lit(None).cast(types[n]).alias(n) for n in names])
+    return reported.unionByName(ends), sound
+
+
 # --- the job ------------------------------------------------------------------------------------
 
 
@@ -339,6 +506,8 @@ def track_objects(
     match: float = 0.8,
     buffer: int = 30,
     block_rows: int = 65_536,
+    cell: int = CELL,
+    busy: int = BUSY,
 ) -> DataFrame:
     """Tracks reported at every frame.
 
@@ -372,9 +541,11 @@ def track_objects(
     )
     settings = {"threshold": threshold, "match": match, "buffer": buffer}
     keys = ["stream", "epoch", "run"]
-    tracked = cut_lineage(
-        replay(rows, keys, ["seq", "det"], lambda: _Run(settings), f"stream string, epoch long, run long, {OUT_FIELDS}")
-    )
+    rows = cut_lineage(rows)
+    apart = _in_parts(rows, runs, settings, cell, busy, block_rows)
+    whole = rows if apart is None else rows.join(apart[1], keys, "left_anti")
+    tracked = replay(whole, keys, ["seq", "det"], lambda: _Run(settings), f"stream string, epoch long, run long, {OUT_FIELDS}")
+    tracked = cut_lineage(tracked if apart is None else tracked.unionByName(apart[0]))
     births = tracked.where("born is not null").select("stream", "epoch", "run", "born")
     used = running(births, Lane(("stream", "epoch"), ("run",), block("run", 4_096)), inclusive=False, __used=("sum", F.col("born")))
     out = tracked.where("born is null").drop("born").join(used.drop("born"), keys)

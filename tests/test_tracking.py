@@ -165,3 +165,55 @@ def test_splitting_where_the_tracker_is_empty_changes_nothing(spark):
     got = tracking.track_objects(spark.createDataFrame(frames), spark.createDataFrame(rows, schema), block_rows=23)
     columns = ["stream", "epoch", "seq", "track_id", "left", "top", "right", "bottom"]
     assert sorted(tuple(r) for r in got.select(*columns).collect()) == one_pass(frames, boxes)
+
+
+def lanes_scene(seed, frames=160, lanes=5, wanderer=False):
+    """Objects that keep to lanes of their own, so that no tracker is ever empty; one may break off towards another lane and vanish."""
+    rng = np.random.default_rng(seed)
+    shots, rows = [], []
+    for seq in range(1, frames):
+        shots.append(("hot", seq, seq * 40, 1920, 1080, int(rng.integers(0, 2))))
+        det = 0
+        for lane in range(lanes):
+            if rng.random() < 0.25 or (lane == 2 and 60 <= seq % 120 < 80):
+                continue
+            x, y = 40 + (seq * (3 + lane)) % 1600, 20 + lane * 210
+            if wanderer and lane == 1 and seq % 40 > 30:
+                y += (seq % 40 - 30) * 12
+            rows.append(("hot", seq, det, x, y, x + 59, y + 59, None if rng.random() < 0.1 else int(rng.integers(5, 100)), "car"))
+            det += int(rng.integers(1, 3))
+            if rng.random() < 0.3:
+                rows.append(("hot", seq, det, x + 30, y + 10, x + 89, y + 69, int(rng.integers(50, 100)), "van"))
+                det += 1
+    order = rng.permutation(len(rows))
+    numbers = {}
+    for k in order:  # boxes are numbered in any order, so ids of different lanes interleave
+        seq = rows[k][1]
+        numbers[seq] = numbers.get(seq, 0) + 1
+        rows[k] = (*rows[k][:2], numbers[seq], *rows[k][3:])
+    rows.sort(key=lambda r: (r[1], r[2]))
+    frames_ = pd.DataFrame(shots, columns=["stream", "seq", "pts", "width", "height", "steps_before"])
+    boxes = pd.DataFrame(rows, columns=["stream", "seq", "det", "left", "top", "right", "bottom", "confidence", "class_name"])
+    return frames_, boxes.assign(confidence=boxes["confidence"].astype("Int32"))
+
+
+@pytest.mark.parametrize("seed, cell, wanderer, split", [(1, 64, False, True), (2, 32, False, True), (3, 64, True, None), (4, 16, True, None), (5, 2_000, False, False)])
+def test_a_busy_scene_in_parts_is_the_one_pass_result(spark, monkeypatch, seed, cell, wanderer, split):
+    frames, boxes = lanes_scene(seed, wanderer=wanderer)
+    found = []
+    whole = tracking._in_parts
+    monkeypatch.setattr(tracking, "_in_parts", lambda *a: found.append(whole(*a)) or found[-1])
+    schema = "stream string, seq long, det int, left int, top int, right int, bottom int, confidence int, class_name string"
+    plain = lambda v: None if v is pd.NA else v if isinstance(v, str) else int(v)
+    rows = [tuple(plain(v) for v in r) for r in boxes.itertuples(index=False, name=None)]
+    got = tracking.track_objects(spark.createDataFrame(frames), spark.createDataFrame(rows, schema), block_rows=41, cell=cell, busy=10)
+    columns = ["stream", "epoch", "seq", "track_id", "left", "top", "right", "bottom"]
+    assert sorted(tuple(r) for r in got.select(*columns).collect()) == one_pass(frames, boxes)
+    parts = 0 if found[0] is None else found[0][1].count()
+    assert split is None or (parts > 0) == split
+
+
+def test_labels_of_cells():
+    cells = pd.DataFrame({"stream": "s", "epoch": 1, "run": 1, "across": 10, "cell": [0, 1, 12, 5, 25, 34, 78]})
+    got = dict(tracking._labelled(cells)[["cell", "part"]].itertuples(index=False, name=None))
+    assert got[0] == got[1] == got[12] and got[25] == got[34] and len(set(got.values())) == 4
