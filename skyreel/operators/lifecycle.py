@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .ordered import Lane, around, running, sessions
-from .sequential import replay
+from .sequential import replay, width_for
 
 FEED_TIMEOUT_US = 5_000_000
 GRACE_US = 30_000_000
@@ -130,7 +130,7 @@ def recording_sessions(triggers: DataFrame, on: Lane, at_us: str = "at_us", seco
     rows = replayed.select(*keys, "run", *others, at_us, "__until")
     fields = ", ".join(f"{k} {dict(triggers.dtypes)[k]}" for k in keys)
     schema = f"{fields}, started_us long, ends_us long, triggers long"
-    capped = replay(rows, [*keys, "run"], list(on.order), lambda: _CappedRecordings(len(keys), cap), schema)
+    capped = replay(rows, [*keys, "run"], list(on.order), lambda: _CappedRecordings(len(keys), cap), schema, width_for(runs))
     return short.unionByName(capped)
 
 

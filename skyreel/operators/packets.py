@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .ordered import Lane, block, previous, running, sessions
-from .sequential import replay
+from .sequential import replay, width_for
 
 WINDOW_SECONDS = 30.0
 CEILING_BYTES = 96 << 20
@@ -81,7 +81,7 @@ def buffer_retained(
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + (
         ", segment long, start_pts long, end_pts long, bytes long, startable boolean, ceiling_binding boolean"
     )
-    walked = replay(rows, keys, list(on.order), lambda: _Buffer(len(keys), window_ticks, ceiling), schema)
+    walked = replay(rows, keys, list(on.order), lambda: _Buffer(len(keys), window_ticks, ceiling), schema, width_for(segmented))
     return closed.unionByName(walked)
 
 

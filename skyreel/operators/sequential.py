@@ -33,8 +33,9 @@ def replay(
     order: Sequence[str],
     machine: Callable[[], Machine],
     schema: StructType | str,
+    width: int | None = None,
 ) -> DataFrame:
-    """Run a fresh ``machine`` over every run of ``run_keys``, rows in ``order``."""
+    """Run a fresh ``machine`` over every run of ``run_keys``, rows in ``order``, on ``width`` tasks (``width_for`` counts written rows)."""
     keys = list(run_keys)
     out_type = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(out_type)
@@ -57,11 +58,19 @@ def replay(
             yield from _batch(live.finish(), arrow)
 
     # An explicit count: these rows are few but slow, so AQE must not fold them into one task by size.
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = width or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartition(width, *keys).sortWithinPartitions(*keys, *order)
     return placed.mapInArrow(run, out_type)
 
 
+ROWS_A_TASK = 250_000
+
+
+def width_for(written: DataFrame) -> int:
+    """Tasks for rows that have been written already (counting them is cheap): one for so many, and no fewer than a shuffle has."""
+    return max(int(written.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-written.count() // ROWS_A_TASK))
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     if rows:
         columns = [pa.array(values, type=field.type) for values, field in zip(zip(*rows), schema)]

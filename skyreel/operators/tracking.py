@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import TRACKER_NAME
 from ..session import cut_lineage
 from .ordered import Lane, around, block, following, numbered, previous, running, sessions
-from .sequential import replay
+from .sequential import replay, width_for
 
 FLOOR = 0.1
 SECOND_MATCH = 0.5
@@ -461,7 +461,7 @@ def _in_parts(rows: DataFrame, runs: DataFrame, settings: dict, cell: int, busy:
         *keys, "part", "seq", "pts", "width", "height", "step", "steps_before", "number", F.coalesce("__next", F.lit(0)).alias("following"),
         "det", "left", "top", "right", "bottom", "confidence", "class_name",
     )
-    told = cut_lineage(replay(dealt, [*keys, "part"], ["seq", "det"], lambda: _Part(settings, cell), f"stream string, epoch long, run long, part int, {PART_FIELDS}"))
+    told = cut_lineage(replay(dealt, [*keys, "part"], ["seq", "det"], lambda: _Part(settings, cell), f"stream string, epoch long, run long, part int, {PART_FIELDS}", width_for(rows)))
     entered = told.where("entered is not null").select(*keys, F.col("part").alias("mine"), F.col("entered").alias("cell"))
     strayed = entered.join(labels, [*keys, "cell"]).where("part <> mine").select(*keys).distinct()
     sound = cut_lineage(several.join(strayed, keys, "left_anti"))
@@ -544,7 +544,7 @@ def track_objects(
     rows = cut_lineage(rows)
     apart = _in_parts(rows, runs, settings, cell, busy, block_rows)
     whole = rows if apart is None else rows.join(apart[1], keys, "left_anti")
-    tracked = replay(whole, keys, ["seq", "det"], lambda: _Run(settings), f"stream string, epoch long, run long, {OUT_FIELDS}")
+    tracked = replay(whole, keys, ["seq", "det"], lambda: _Run(settings), f"stream string, epoch long, run long, {OUT_FIELDS}", width_for(rows))
     tracked = cut_lineage(tracked if apart is None else tracked.unionByName(apart[0]))
     births = tracked.where("born is not null").select("stream", "epoch", "run", "born")
     used = running(births, Lane(("stream", "epoch"), ("run",), block("run", 4_096)), inclusive=False, __used=("sum", F.col("born")))

@@ -37,6 +37,7 @@ def local_session(cores: int | str = "*", app: str = "skyreel", memory: str = "8
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(width))
         .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
