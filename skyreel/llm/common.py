@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import configure, cut_lineage
 
-__all__ = ["checkpointed", "fold", "prepared", "shared_folder", "table", "tidied", "unused"]
+__all__ = ["checkpointed", "fold", "prepared", "shared_folder", "table", "tidied", "unused", "written"]
 
 BATCH_ROWS = 256
 """Rows of an Arrow batch that carries whole texts."""
@@ -61,6 +62,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a columnar table in the cluster's shared folder: smaller than a checkpoint, and readers take the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that all hosts of the cluster share, as a URI."""
     context = spark.sparkContext._jsc.sc()

@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import postings as P
-from .common import checkpointed, prepared, unused
+from .common import checkpointed, prepared, unused, written
 
 EARLIEST = 4
 BROADCAST_KEYS = 1 << 20
 """A list of keys (8 bytes each) is broadcast up to so many."""
+BROADCAST_CLASSES = 1 << 19
+"""Classes that lose a line (48 bytes each) are broadcast up to so many, so that the lines do not move again, else joined by a shuffle."""
 BROADCAST_LINES = 1 << 21
 """The list of lines to cut is broadcast up to so many (at most about 60 bytes each), else joined by a shuffle."""
 
@@ -37,9 +39,9 @@ def later_lines(documents: DataFrame) -> DataFrame:
     """(id, mark, number): the lines to remove, by doc_id, hash of the text, and number of the line in it from 0."""
     spark = prepared(documents.sparkSession)
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
-    seen = checkpointed(P.survey(texts, P.line_sets))
+    seen = written(P.survey(texts, P.line_sets))
     lines = seen.where(F.col("kind") == P.UNIT)
-    classes = checkpointed(lines.groupBy("key", "sig").agg(F.min(F.struct("id", "mark", "number")).alias("at"), F.count(F.lit(1)).alias("lines")))
+    classes = written(lines.groupBy("key", "sig").agg(F.min(F.struct("id", "mark", "number")).alias("at"), F.count(F.lit(1)).alias("lines")))
     volume = lines.agg(F.sum("n")).first()[0] or 0
     packed = P.dealt(texts, P.line_sets, P.common_tokens(seen), P.buckets_for(volume, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     found = checkpointed(P.candidates(packed))
@@ -64,7 +66,9 @@ def later_lines(documents: DataFrame) -> DataFrame:
         gone = checkpointed(gone.unionByName(P.verified(meet, sets).select(F.col("a").alias("key"))).distinct())
     # only classes with something to remove meet their lines again
     kept = classes.join(_small(gone).withColumn("gone", F.lit(True)), "key", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
-    touched = kept.where("gone or lines > 1").select("key", "sig", "at", "gone")
+    touched = written(kept.where("gone or lines > 1").select("key", "sig", "at", "gone"))
+    if touched.count() <= BROADCAST_CLASSES:
+        touched = F.broadcast(touched)
     return lines.join(touched, ["key", "sig"]).where(F.col("gone") | (F.struct("id", "mark", "number") != F.col("at"))).select("id", "mark", "number")
 
 
