@@ -80,7 +80,7 @@ def nearest_rank(
     span = whole.agg(F.max(F.col("__hi") - F.col("__lo"))).first()[0] or 0
     levels = max(1, -(-int(span).bit_length() // bits))
     asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("left")) for name, rank in ranks.items()]))
-    want = whole.select(*keys, "__lo", asked.alias("r")).select(*keys, "__lo", "r.*", F.lit(0).cast("long").alias("__upper"))
+    want = whole.select(*keys, "n", "total", "__lo", asked.alias("r")).select(*keys, "n", "total", "__lo", "r.*", F.lit(0).cast("long").alias("__upper"))
     same = [F.col(f"__k_{k}").eqNullSafe(F.col(k)) for k in keys]
     few = F.broadcast if not keys else lambda small: small  # one row a rank
     for level in reversed(range(levels)):
@@ -93,14 +93,11 @@ def nearest_rank(
         upto = F.sum("__times").over(Window.partitionBy(*keys, "name").orderBy("__digit"))
         placed = spread.withColumn("__upto", upto).where((F.col("__upto") > F.col("left")) & (F.col("__upto") - F.col("__times") <= F.col("left")))
         want = cut_lineage(
-            placed.select(*keys, "__lo", "name", (F.col("left") - F.col("__upto") + F.col("__times")).alias("left"), (F.shiftleft("__upper", bits) + F.col("__digit")).alias("__upper"))
+            placed.select(*keys, "n", "total", "__lo", "name", (F.col("left") - F.col("__upto") + F.col("__times")).alias("left"), (F.shiftleft("__upper", bits) + F.col("__digit")).alias("__upper"))
         )
-    found = want.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(
-        *[F.max(F.when(F.col("name") == name, F.col("__lo") + F.col("__upper"))).alias(name) for name in ranks]
+    return want.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.max("total").alias("total"), *[F.max(F.when(F.col("name") == name, F.col("__lo") + F.col("__upper"))).alias(name) for name in ranks]
     )
-    both = whole.join(found, same, "left") if keys else whole.crossJoin(F.broadcast(found))  # one row each
-    result = both.select(*keys, "n", "total", *ranks)
-    return result if keys else result.agg(*[F.max(c).alias(c) for c in ("n", "total", *ranks)])
 
 
 # --- deltas and rates ---------------------------------------------------------------------------
